@@ -132,7 +132,8 @@ def execution_state(events: DataFrame) -> DataFrame:
 
 def append_execution(events: DataFrame, path: str) -> None:
     """Append lifecycle events, partitioned by the day they happened."""
-    events.withColumn("happened_on", F.to_date("at")).write.mode("append").partitionBy("happened_on").parquet(path)
+    dated = events.withColumn("happened_on", F.to_date("at")).hint("rebalance", "happened_on")
+    dated.write.mode("append").partitionBy("happened_on").parquet(path)
 
 
 def lifecycle_event(executions: DataFrame, status: str, at: datetime, error: str | None = None) -> DataFrame:

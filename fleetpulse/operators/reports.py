@@ -168,7 +168,8 @@ def parameter_settings(settings: DataFrame) -> DataFrame:
 
 def advice_table(settings: DataFrame) -> DataFrame:
     """The advice as a table of six rows, for joining."""
-    return settings.sparkSession.createDataFrame(list(SETTING_ADVICE.items()), "name string, recommendation string")
+    advice = F.create_map(*[F.lit(x) for pair in SETTING_ADVICE.items() for x in pair])
+    return settings.sparkSession.range(1).select(F.explode(advice).alias("name", "recommendation"))
 
 
 def settings_with_advice(settings: DataFrame, advice: DataFrame) -> DataFrame:

@@ -133,8 +133,9 @@ def parameter_changes(
         .select(
             *keys,
             F.col("executed_at").alias("detected_at"),
-            F.inline(changed_parameters(F.col("previous.parameters"), F.col("parameters"), include_removed)),
+            F.inline_outer(changed_parameters(F.col("previous.parameters"), F.col("parameters"), include_removed)),
         )
+        .filter(F.col("parameter").isNotNull())
     )
 
 
@@ -176,7 +177,8 @@ def snapshot_pair_by_date(
 
 def compare_params(pairs: DataFrame, keys: Sequence[str] = DATABASE, include_removed: bool = False) -> DataFrame:
     changed = changed_parameters(F.col("a.parameters"), F.col("b.parameters"), include_removed)
-    return pairs.select(*keys, F.col("b.executed_at").alias("detected_at"), F.inline(changed))
+    each = pairs.select(*keys, F.col("b.executed_at").alias("detected_at"), F.inline_outer(changed))
+    return each.filter(F.col("parameter").isNotNull())
 
 
 def compare_metrics(
@@ -193,7 +195,8 @@ def compare_metrics(
         ]
     )
     both = F.filter(rows, lambda r: r.m.before.isNotNull() & r.m.after.isNotNull())
-    return pairs.select(*keys, F.explode(both).alias("r")).select(*keys, "r.metric", "r.m.*")
+    each = pairs.select(*keys, F.explode_outer(both).alias("r")).filter(F.col("r").isNotNull())
+    return each.select(*keys, "r.metric", "r.m.*")
 
 
 def compare_metadata(pairs: DataFrame, keys: Sequence[str] = DATABASE) -> DataFrame:

@@ -7,7 +7,7 @@ whole log, or from a table of chosen ids (``execution_pairs``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,7 +147,7 @@ def metrics_table(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
         return row(label, joined(A), joined(B), F.lit(None).cast("string"), F.lit(impact), A.any(field) | B.any(field))
 
-    diff = perf_diff()
+    diff = F.col("_diff")
     time, cost = diff["time_difference_pct"], diff["cost_difference_pct"]
     rows = F.array(
         row(
@@ -175,7 +175,8 @@ def metrics_table(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         names("Indexes Used", "index_usage", "Index Efficiency"),
         names("Sort Methods", "sort_methods", "Memory Efficiency"),
     )
-    return pairs.select(*keys, F.inline(F.array_compact(rows)))
+    measured = pairs.select(*keys, "a", "b", perf_diff().alias("_diff"))
+    return measured.select(*keys, F.inline_outer(F.array_compact(rows))).filter(F.col("label").isNotNull())
 
 
 def rows_per_ms(m: Metrics) -> Column:
@@ -315,33 +316,35 @@ def comparison_recommendations() -> Column:
     )
 
 
-def compare_executions(pairs: DataFrame) -> DataFrame:
-    """Add every comparison of a pair as columns."""
-    return pairs.select(
-        "*",
-        perf_diff().alias("performance"),
-        winner().alias("winner"),
-        comparison_insights().alias("insights"),
-        time_impact(time_difference_pct()).alias("time_impact"),
-        cost_impact(cost_difference_pct()).alias("cost_impact"),
-        throughput().alias("throughput"),
-        efficiency_label(A).alias("efficiency_a"),
-        efficiency_label(B).alias("efficiency_b"),
-        bottlenecks(A).alias("bottlenecks_a"),
-        bottlenecks(B).alias("bottlenecks_b"),
-        optimization_score(A).alias("score_a"),
-        optimization_score(B).alias("score_b"),
-        score_grade(optimization_score(A)).alias("grade_a"),
-        score_grade(optimization_score(B)).alias("grade_b"),
-        score_gap().alias("score_gap"),
-        performance_findings().alias("performance_findings"),
-        index_findings().alias("index_findings"),
-        opportunities().alias("opportunities"),
-        comparison_recommendations().alias("recommendations"),
-    )
-
-
-def comparison_document(compared: DataFrame) -> Column:
+COMPARISONS: dict[str, Callable[[], Column]] = {
+    "performance": perf_diff,
+    "winner": winner,
+    "insights": comparison_insights,
+    "time_impact": lambda: time_impact(time_difference_pct()),
+    "cost_impact": lambda: cost_impact(cost_difference_pct()),
+    "throughput": throughput,
+    "efficiency_a": lambda: efficiency_label(A),
+    "efficiency_b": lambda: efficiency_label(B),
+    "bottlenecks_a": lambda: bottlenecks(A),
+    "bottlenecks_b": lambda: bottlenecks(B),
+    "score_a": lambda: optimization_score(A),
+    "score_b": lambda: optimization_score(B),
+    "grade_a": lambda: score_grade(optimization_score(A)),
+    "grade_b": lambda: score_grade(optimization_score(B)),
+    "score_gap": score_gap,
+    "performance_findings": performance_findings,
+    "index_findings": index_findings,
+    "opportunities": opportunities,
+    "recommendations": comparison_recommendations,
+}
+
+
+def compare_executions(pairs: DataFrame, names: Sequence[str] = tuple(COMPARISONS)) -> DataFrame:
+    """Add the named comparisons of each pair as columns."""
+    return pairs.select("*", *[COMPARISONS[n]().alias(n) for n in names])
+
+
+def comparison_document() -> Column:
     """One nested document per pair: both executions and their comparison."""
     return F.to_json(
         F.struct(
@@ -364,8 +367,8 @@ def plan_node_diff(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         return F.size(F.filter(array, lambda x: x.eqNullSafe(F.col("key")))).cast("long")
 
     listed = pairs.select(*keys, labels("a").alias("_a"), labels("b").alias("_b"))
-    each = listed.select(*keys, "_a", "_b", F.explode(F.array_distinct(F.concat("_a", "_b"))).alias("key"))
-    counted = each.select(
+    each = listed.select(*keys, "_a", "_b", F.explode_outer(F.array_distinct(F.concat("_a", "_b"))).alias("key"))
+    counted = each.filter(F.col("key").isNotNull()).select(
         *keys,
         F.col("key.node_type").alias("node_type"),
         F.col("key.relation_name").alias("relation_name"),

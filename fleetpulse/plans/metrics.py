@@ -111,9 +111,9 @@ def plan_summary() -> Column:
 
 
 def plan_buffer_stats(df: DataFrame, keys: tuple[str, ...] = ("exec_id",)) -> DataFrame:
-    """The seven block counters of the root node."""
+    """The seven block counters of the root node; NULLs for a row without a plan."""
     top = root()
-    return df.filter(F.col("plan_state") == "ok").select(*keys, *[top[f].alias(f) for f in BUFFER_FIELDS])
+    return df.select(*keys, *[top[f].alias(f) for f in BUFFER_FIELDS])
 
 
 def with_issues(df: DataFrame) -> DataFrame:

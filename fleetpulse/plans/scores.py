@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from fleetpulse.functions.ladders import (
     planning_ratio_insight,
     score_grade,
 )
-from fleetpulse.functions.numbers import ratio, round_half_up, timing_percentage
+from fleetpulse.functions.numbers import format_memory, ratio, round_half_up, timing_percentage
 
 SEQ_SCAN = "Seq Scan"
 DISK_SORT = "external merge"
@@ -229,42 +231,52 @@ def cost_per_row(m: Metrics) -> Column:
     return round_half_up(F.when(rows > 0, ratio(m.query_cost, rows)), 2)
 
 
-def score_executions(df: DataFrame) -> DataFrame:
-    """All scores and labels of each execution in one projection; no shuffle."""
+def worker_utilisation(m: Metrics) -> Column:
+    used = round_half_up(ratio(m.workers_launched, m.workers_planned) * 100, 0)
+    return F.when(m.workers_launched > 0, used)
+
+
+def rows_per_ms(m: Metrics) -> Column:
+    return round_half_up(F.when(m.total_time_ms > 0, ratio(m.rows_returned, m.total_time_ms)), 4)
+
+
+SCORES: dict[str, Callable[[Metrics], Column]] = {
+    "performance_class": lambda m: performance_class(m.total_time_ms),
+    "performance_rating": lambda m: performance_rating(m.total_time_ms),
+    "benchmark": lambda m: benchmark_text(m.total_time_ms),
+    "cost_level": lambda m: cost_level(m.query_cost),
+    "memory_level": lambda m: memory_level(m.memory_usage_kb),
+    "memory_text": lambda m: format_memory(m.memory_usage_kb),
+    "plan_efficiency": plan_efficiency_score,
+    "overall_score": overall_score,
+    "optimization_score": optimization_score,
+    "score_grade": lambda m: score_grade(optimization_score(m)),
+    "efficiency_label": efficiency_label,
+    "bottlenecks": bottlenecks,
+    "io_efficiency": io_efficiency,
+    "memory_efficiency": memory_efficiency,
+    "parallelization": parallelization,
+    "index_utilization": index_utilization,
+    "io_impact": io_impact,
+    "memory_impact": memory_impact,
+    "parallel_impact": parallel_impact,
+    "index_impact": index_impact,
+    "planning_insight": lambda m: planning_ratio_insight(m.planning_time_ms, m.execution_time_ms),
+    "planning_pct": lambda m: timing_percentage(m.planning_time_ms, m.total_time_ms),
+    "execution_pct": lambda m: timing_percentage(m.execution_time_ms, m.total_time_ms),
+    "cost_per_row": cost_per_row,
+    "io_efficiency_pct": lambda m: round_half_up(ratio(m.rows_returned, m.rows_scanned) * 100, 1),
+    "worker_utilisation": worker_utilisation,
+    "rows_per_ms": rows_per_ms,
+    "performance_issues": performance_issues,
+    "plan_optimizations": plan_optimizations,
+}
+
+
+def score_executions(df: DataFrame, names: Sequence[str] = tuple(SCORES)) -> DataFrame:
+    """The named scores and labels of each execution in one projection; no shuffle."""
     m = Metrics()
-    return df.select(
-        "*",
-        performance_class(m.total_time_ms).alias("performance_class"),
-        performance_rating(m.total_time_ms).alias("performance_rating"),
-        benchmark_text(m.total_time_ms).alias("benchmark"),
-        cost_level(m.query_cost).alias("cost_level"),
-        memory_level(m.memory_usage_kb).alias("memory_level"),
-        plan_efficiency_score(m).alias("plan_efficiency"),
-        overall_score(m).alias("overall_score"),
-        optimization_score(m).alias("optimization_score"),
-        score_grade(optimization_score(m)).alias("score_grade"),
-        efficiency_label(m).alias("efficiency_label"),
-        bottlenecks(m).alias("bottlenecks"),
-        io_efficiency(m).alias("io_efficiency"),
-        memory_efficiency(m).alias("memory_efficiency"),
-        parallelization(m).alias("parallelization"),
-        index_utilization(m).alias("index_utilization"),
-        io_impact(m).alias("io_impact"),
-        memory_impact(m).alias("memory_impact"),
-        parallel_impact(m).alias("parallel_impact"),
-        index_impact(m).alias("index_impact"),
-        planning_ratio_insight(m.planning_time_ms, m.execution_time_ms).alias("planning_insight"),
-        timing_percentage(m.planning_time_ms, m.total_time_ms).alias("planning_pct"),
-        timing_percentage(m.execution_time_ms, m.total_time_ms).alias("execution_pct"),
-        cost_per_row(m).alias("cost_per_row"),
-        round_half_up(ratio(m.rows_returned, m.rows_scanned) * 100, 1).alias("io_efficiency_pct"),
-        F.when(m.workers_launched > 0, round_half_up(ratio(m.workers_launched, m.workers_planned) * 100, 0)).alias(
-            "worker_utilisation"
-        ),
-        round_half_up(F.when(m.total_time_ms > 0, ratio(m.rows_returned, m.total_time_ms)), 4).alias("rows_per_ms"),
-        performance_issues(m).alias("performance_issues"),
-        plan_optimizations(m).alias("plan_optimizations"),
-    )
+    return df.select("*", *[SCORES[n](m).alias(n) for n in names])
 
 
 def recommendation_priority(text: Column, position: Column) -> Column:
@@ -300,7 +312,9 @@ def recommendation_hint(text: Column) -> Column:
 
 def recommendations(df: DataFrame, keys: tuple[str, ...] = ("exec_id",), source: str = "suggestions") -> DataFrame:
     """One row per suggestion with its priority, expected gain and hint."""
-    rows = df.select(*keys, F.posexplode(source).alias("position", "suggestion"))
+    rows = df.select(*keys, F.posexplode_outer(source).alias("position", "suggestion")).filter(
+        F.col("suggestion").isNotNull()
+    )
     text, position = F.col("suggestion"), F.col("position")
     return rows.select(
         "*",

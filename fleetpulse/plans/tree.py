@@ -103,10 +103,13 @@ def with_nodes(executions: DataFrame, plan: str = "execution_plan") -> DataFrame
 
 
 def flatten_plan(with_nodes_df: DataFrame, keys: tuple[str, ...] = ("exec_id",)) -> DataFrame:
-    """One row per plan node in pre-order position ``ord``."""
-    return with_nodes_df.select(*keys, F.posexplode("nodes").alias("ord", "node")).select(
-        *keys, "ord", F.col("node.level").alias("level"), "node.*"
-    ).drop("level").withColumn("level", F.size("path"))
+    """One row per plan node in pre-order position ``ord``.
+
+    The outer generator with a filter behind it keeps Spark from testing the
+    array's size ahead of the generator, which would parse every plan again.
+    """
+    each = with_nodes_df.select(*keys, F.posexplode_outer("nodes").alias("ord", "node"))
+    return each.filter(F.col("node").isNotNull()).select(*keys, "ord", "node.*")
 
 
 def root() -> Column:

@@ -22,18 +22,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_roots: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path under ``spark.checkpoint.dir``.
 
     The cluster names that folder and every executor can reach it.  Only a
     local master may run without the setting; it then gets a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="fleetpulse-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_roots.setdefault(context.applicationId, tempfile.mkdtemp(prefix="fleetpulse-"))
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -34,8 +34,12 @@ def _moment(value: datetime) -> Column:
 
 
 def append_check_result(results: DataFrame, store: str) -> None:
-    day = F.to_date("executed_at")
-    results.withColumn("executed_on", day).write.mode("append").partitionBy("check_type", "executed_on").parquet(store)
+    """Append results, few files per folder.
+
+    The rebalance puts a folder's rows together and splits a folder too large for one task.
+    """
+    dated = results.withColumn("executed_on", F.to_date("executed_at")).hint("rebalance", "check_type", "executed_on")
+    dated.write.mode("append").partitionBy("check_type", "executed_on").parquet(store)
 
 
 def read_check_results(
@@ -81,6 +85,10 @@ def latest_per_check(results: DataFrame, keys: Sequence[str] = ("database_id",))
     )
 
 
+def _every_type() -> Column:
+    return F.explode(F.array(*[F.lit(t) for t in CHECK_TYPES])).alias("check_type")
+
+
 def freshness(as_of: datetime, expiry: str = CHECK_EXPIRY) -> Column:
     """True while the result is younger than ``expiry``; NULL times are not fresh."""
     bound = _moment(as_of) - F.expr(f"INTERVAL {expiry}")
@@ -91,8 +99,7 @@ def check_status_payload(
     results: DataFrame, as_of: datetime, expiry: str = CHECK_EXPIRY, keys: Sequence[str] = ("database_id",)
 ) -> DataFrame:
     """Data, status, time and freshness for every database and every check type, with defaults."""
-    every = F.explode(F.array(*[F.lit(t) for t in CHECK_TYPES])).alias("check_type")
-    grid = results.select(*keys).distinct().select(*keys, every)
+    grid = results.select(*keys).distinct().select(*keys, _every_type())
     joined = grid.join(latest_per_check(results, keys), [*keys, "check_type"], "left")
     return joined.select(
         *keys,
@@ -120,7 +127,7 @@ def store_counts(results: DataFrame, as_of: datetime, expiry: str = CHECK_EXPIRY
         F.count_if(F.col("executed_at") > _moment(as_of - timedelta(hours=24))).alias("recent_24h"),
         F.max(F.when(success, F.col("executed_at"))).alias("executed_at"),
     )
-    types = results.sparkSession.createDataFrame([(t,) for t in CHECK_TYPES], "check_type string")
+    types = results.sparkSession.range(1).select(_every_type())
     joined = types.join(counted, "check_type", "left")
     known = F.col("executed_at").isNotNull()
     return joined.select(

@@ -12,10 +12,11 @@ from fleetpulse.operators.skew import newest
 from fleetpulse.session import shared_folder
 
 
-def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of the Parquet files at ``path``; a batch takes a bounded number of files."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def file_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
+    """Stream of the Parquet files in ``folder`` named like ``pattern``; a batch takes a bounded number of files."""
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return source.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def start_upserts(updates: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
