@@ -39,9 +39,10 @@ def shown(value: str) -> str:
     return f"CAST(ROUND(CAST({value} AS DECIMAL(28,10)), 1) AS DECIMAL(28,1))"
 
 
-def pairs(spark, sf):
+def pairs(spark, sf, carried=CARRIED):
+    """Consecutive runs of each statement; only ``carried`` columns are shuffled."""
     log = analysed(spark, sf).withColumn("statement", statement_key())
-    return compare.consecutive_pairs(log, CARRIED)
+    return compare.consecutive_pairs(log, carried)
 
 
 def ids():
@@ -62,7 +63,8 @@ def ids():
     **CTES,
 )
 def execution_regressions(spark, sf):
-    return pairs(spark, sf).select(
+    compared = ["exec_id", "total_time_ms", "query_cost", "seq_scan_present"]
+    return pairs(spark, sf, compared).select(
         *ids(), compare.perf_diff().alias("p"), compare.winner().alias("winner"), compare.comparison_insights().alias("insights")
     ).select("a_id", "b_id", "p.*", "winner", joined("insights"))
 

@@ -257,7 +257,7 @@ def score_executions(spark, sf):
       CASE WHEN memory_usage_kb IS NOT NULL AND rows_returned > 0
         THEN {steps(PER_ROW, [(1, 'Excellent'), (5, 'Good'), (20, 'Fair')], 'Poor', '<=')} ELSE 'N/A' END AS memory_efficiency,
       CASE WHEN memory_usage_kb IS NULL THEN 'N/A' WHEN memory_usage_kb >= 1048576 THEN concat({plain('memory_usage_kb / 1048576.0', 1)}, ' GB')
-        WHEN memory_usage_kb >= 1024 THEN concat({plain('memory_usage_kb / 1024.0', 1)}, ' MB') ELSE concat(memory_usage_kb, ' KB') END AS memory_text,
+        WHEN memory_usage_kb >= 1024 THEN concat({plain('memory_usage_kb / 1024.0', 1)}, ' MB') ELSE format('{{:,}} KB', memory_usage_kb) END AS memory_text,
       CASE WHEN workers_planned IS NULL OR workers_planned = 0 THEN 'N/A' WHEN workers_launched = 0 THEN 'None'
         ELSE {steps(USED + ' * 100', [(90, 'Excellent'), (70, 'Good'), (50, 'Fair')], 'Poor', '>=')} END AS parallelization,
       CASE WHEN has_index_scan AND NOT has_seq THEN 'Excellent' WHEN has_index_scan THEN 'Good' WHEN has_seq THEN 'Poor' ELSE 'N/A' END AS index_utilization,

@@ -36,29 +36,30 @@ def plain(value):
     return value
 
 
-def check(spark, con, name, query, sql, sf_dir) -> tuple[str, float]:
-    """Empty text when both sides agree, otherwise what differs; and the Spark time."""
+def check(spark, con, query, sql, sf_dir) -> tuple[str, float, str]:
+    """Empty text when both sides agree, otherwise what differs; the Spark time; and the physical plan."""
     started = time.time()
     df = query(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
     columns = sorted(df.columns)
     got = [tuple(plain(r[c]) for c in columns) for r in df.select(*[f"`{c}`" for c in columns]).collect()]
     took = time.time() - started
     if sql is None:
-        return ("" if got else "no rows"), took
+        return "", took, plan
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     kinds = {d[0]: str(d[1]) for d in cursor.description}
     rows = cursor.fetchall()
     if sorted(names) != columns:
-        return f"columns {columns} != {sorted(names)}", took
+        return f"columns {columns} != {sorted(names)}", took, plan
     spark_kinds = dict(df.dtypes)
     odd = {c: (spark_kinds[c], kinds[c]) for c in columns if kinds[c] not in SQL_KINDS.get(spark_kinds[c], set())}
     if odd:
-        return f"types {odd}", took
+        return f"types {odd}", took, plan
     at = [names.index(c) for c in columns]
     want = [tuple(plain(r[i]) for i in at) for r in rows]
     a, b = sorted(map(repr, got)), sorted(map(repr, want))
     if a != b:
         only_a, only_b = sorted(set(a) - set(b)), sorted(set(b) - set(a))
-        return f"{len(a)} vs {len(b)} rows; {columns}\n  spark {only_a[:3]}\n  sql   {only_b[:3]}", took
-    return ("" if a else "no rows"), took
+        return f"{len(a)} vs {len(b)} rows; {columns}\n  spark {only_a[:3]}\n  sql   {only_b[:3]}", took, plan
+    return "", took, plan
