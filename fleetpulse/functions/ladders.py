@@ -1,37 +1,53 @@
 """Step functions: a value falls into the first band whose bound holds.
 
-Bands are contiguous (upper bounds), so no decimal value falls between two of
-them.  Where a label carries a mark in the original wording, only the word is
-kept.
+The bands are tables of fixed values; a table ends in the label for the rest.
+Bands are contiguous, so no decimal value falls between two of them.  Where a
+label carries a mark in the original wording, only the word is kept.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import ge, gt, le, lt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fleetpulse import constants as fixed
 from fleetpulse.functions.numbers import ratio
 
 
-def bands(value: Column, upper: list[tuple[float, str]], rest: str, missing: str | None) -> Column:
-    """Label of the first band with ``value <= bound``; ``rest`` above all bounds."""
-    steps = reduce(lambda acc, b: acc.when(value <= b[0], b[1]), upper, F.when(value.isNull(), missing))
-    return steps.otherwise(rest)
+def _ladder(tests: list[tuple[Column, object]], rest: object) -> Column:
+    (first, label), *others = tests
+    return reduce(lambda steps, t: steps.when(*t), others, F.when(first, label)).otherwise(rest)
 
 
-def at_least(value: Column, lower: list[tuple[float, str]], rest: str, missing: str | None) -> Column:
-    """Label of the first band with ``value >= bound``; ``rest`` below all bounds."""
-    steps = reduce(lambda acc, b: acc.when(value >= b[0], b[1]), lower, F.when(value.isNull(), missing))
-    return steps.otherwise(rest)
+def _banded(compare):
+    def band(value: Column, table: tuple, missing: str | None = None) -> Column:
+        *bounds, rest = table
+        steps = _ladder([(compare(value, bound), label) for bound, label in bounds], rest)
+        return steps if missing is None else F.when(value.isNull(), missing).otherwise(steps)
 
+    return band
 
-def above(value: Column, lower: list[tuple[float, object]], rest: object) -> Column:
-    """Result of the first band with ``value > bound``; NULL counts as ``rest``."""
-    first, *others = lower
-    steps = F.when(value > first[0], first[1])
-    return reduce(lambda acc, b: acc.when(value > b[0], b[1]), others, steps).otherwise(rest)
+
+upto = _banded(le)
+below = _banded(lt)
+at_least = _banded(ge)
+above = _banded(gt)
+
+
+def by_pattern(text: Column, table: tuple) -> Column:
+    *patterns, rest = table
+    return _ladder([(text.rlike(pattern), label) for pattern, label in patterns], rest)
+
+
+def by_words(text: Column, table: tuple) -> Column:
+    """Label of the first entry all of whose words occur in the lower-case text."""
+    *entries, rest = table
+    lower = F.lower(text)
+    tests = [(reduce(lambda a, b: a & b, [lower.contains(w) for w in words]), label) for words, label in entries]
+    return _ladder(tests, rest)
 
 
 def clamp_score(score: Column) -> Column:
@@ -39,77 +55,58 @@ def clamp_score(score: Column) -> Column:
 
 
 def performance_class(total_ms: Column) -> Column:
-    return (
-        F.when(total_ms.isNull(), "performance-unknown")
-        .when(total_ms < 50, "performance-excellent")
-        .when(total_ms < 200, "performance-good")
-        .when(total_ms < 1000, "performance-fair")
-        .otherwise("performance-poor")
-    )
+    return below(total_ms, fixed.CLASS_BELOW, "performance-unknown")
 
 
 def performance_rating(total_ms: Column) -> Column:
-    return bands(total_ms, [(50, "Excellent"), (200, "Good"), (1000, "Fair")], "Slow", "Unknown")
+    return upto(total_ms, fixed.RATING_UPPER, "Unknown")
 
 
 def benchmark_text(total_ms: Column) -> Column:
-    return bands(
-        total_ms, [(100, "Excellent"), (500, "Good"), (2000, "Acceptable"), (10000, "Slow")], "Very Slow", ""
-    )
+    return upto(total_ms, fixed.BENCHMARK_UPPER, "")
 
 
 def cost_level(cost: Column) -> Column:
-    return bands(cost, [(1000, "Low"), (10000, "Medium"), (100000, "High")], "Very High", "")
+    return upto(cost, fixed.COST_UPPER, "")
 
 
 def memory_level(kb: Column) -> Column:
-    return bands(kb, [(10000, "Low"), (50000, "Medium"), (200000, "High")], "Very High", "")
+    return upto(kb, fixed.MEMORY_UPPER, "")
 
 
 def planning_ratio_insight(planning_ms: Column, execution_ms: Column) -> Column:
     share = ratio(planning_ms, execution_ms)
-    return F.when(
-        planning_ms.isNotNull() & (execution_ms > 0),
-        F.when(share > 0.5, "High planning overhead")
-        .when(share > 0.2, "Moderate planning cost")
-        .when(share < 0.05, "Efficient planning")
-        .otherwise("Balanced timing"),
-    ).otherwise("")
+    small, efficient, balanced = fixed.PLANNING_SHARE_SMALL
+    rest = F.when(share < small, efficient).otherwise(balanced)
+    label = above(share, (*fixed.PLANNING_SHARE_ABOVE, rest))
+    return F.when(planning_ms.isNotNull() & (execution_ms > 0), label).otherwise("")
 
 
 def metric_category(name: Column) -> Column:
-    return (
-        F.when(name.rlike("cache|hit"), "Memory")
-        .when(name.rlike("query|time"), "Performance")
-        .when(name.rlike("connection"), "Concurrency")
-        .when(name.rlike("bloat|table"), "Storage")
-        .otherwise("Database")
-    )
+    return by_pattern(name, fixed.METRIC_CATEGORIES)
 
 
 def metric_status(name: Column, value: Column) -> Column:
-    hit = above(value, [(95, "excellent"), (85, "good"), (70, "ok")], "attention")
-    time = (
-        F.when(value < 10, "excellent").when(value < 50, "good").when(value < 100, "ok").otherwise("attention")
+    return (
+        F.when(name.rlike("rate|hit"), above(value, fixed.HIT_STATUS_ABOVE))
+        .when(name.contains("time"), below(value, fixed.TIME_STATUS_BELOW))
+        .otherwise("neutral")
     )
-    return F.when(name.rlike("rate|hit"), hit).when(name.contains("time"), time).otherwise("neutral")
 
 
 def bloat_severity(dead_pct: Column) -> Column:
-    return F.when(dead_pct > 50, "danger").otherwise("warning")
+    return F.when(dead_pct > fixed.DANGEROUS_BLOAT_PCT, "danger").otherwise("warning")
 
 
 def time_impact(diff_pct: Column) -> Column:
-    size = F.abs(diff_pct)
-    label = above(size, [(50, "Critical"), (25, "High"), (10, "Moderate")], "Low")
-    return F.when(diff_pct.isNull() | (diff_pct == 0), "Negligible").otherwise(label)
+    known = F.coalesce(diff_pct != 0, F.lit(False))
+    return F.when(known, above(F.abs(diff_pct), fixed.TIME_IMPACT_ABOVE)).otherwise("Negligible")
 
 
 def cost_impact(diff_pct: Column) -> Column:
-    size = F.abs(diff_pct)
-    label = above(size, [(100, "Very High"), (50, "High"), (20, "Moderate")], "Low")
-    return F.when(diff_pct.isNull() | (diff_pct == 0), "Same").otherwise(label)
+    known = F.coalesce(diff_pct != 0, F.lit(False))
+    return F.when(known, above(F.abs(diff_pct), fixed.COST_IMPACT_ABOVE)).otherwise("Same")
 
 
 def score_grade(score: Column) -> Column:
-    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").otherwise("D")
+    return at_least(score, fixed.GRADE_LOWER)

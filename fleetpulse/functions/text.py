@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetpulse.constants import FORBIDDEN_KEYWORDS, MAX_ROWS
+from fleetpulse.constants import (
+    FORBIDDEN_KEYWORDS,
+    MAX_ROWS,
+    REFUSED_EMPTY,
+    REFUSED_KEYWORD,
+    REFUSED_SEMICOLON,
+    REFUSED_START,
+)
 
 KEYWORD_PATTERN = r"(?i)\b(" + "|".join(FORBIDDEN_KEYWORDS) + r")\b"
 LIMIT_PATTERN = r"(?i)limit\s+\d+"
 
 
+def fill(template: str, *values: Column | str) -> Column:
+    """``template`` with each ``%s`` replaced by the next value; NULL when a value is NULL."""
+    pieces = template.split("%s")
+    parts = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:], strict=True):
+        parts += [F.lit(value) if isinstance(value, str) else value.cast("string"), F.lit(piece)]
+    return F.concat(*parts)
+
+
 def truncate_text(value: Column, length: int) -> Column:
     shortened = F.concat(F.substring(value, 1, length - 3), F.lit("..."))
     return F.when(F.length(value) > length, shortened).otherwise(value)
@@ -36,16 +52,10 @@ def read_only_reason(sql: Column) -> Column:
     body = strip(F.coalesce(sql, F.lit("")))
     keyword = F.upper(F.regexp_extract(body, KEYWORD_PATTERN, 1))
     return (
-        F.when(body == "", "Please enter a SQL query")
-        .when(~F.lower(body).startswith("select"), "Only SELECT statements are allowed")
-        .when(
-            body.contains(";"),
-            "Semicolons (;) are not allowed. Please use a single SELECT statement only.",
-        )
-        .when(
-            keyword != "",
-            F.concat(keyword, F.lit(" statements are not allowed. Only SELECT queries are permitted.")),
-        )
+        F.when(body == "", REFUSED_EMPTY)
+        .when(~F.lower(body).startswith("select"), REFUSED_START)
+        .when(body.contains(";"), REFUSED_SEMICOLON)
+        .when(keyword != "", fill(REFUSED_KEYWORD, keyword))
     )
 
 

@@ -66,7 +66,7 @@ def _whole_row(df: DataFrame, keys: Sequence[str], pick) -> DataFrame:
     return df.groupBy(*keys).agg(pick(row, F.col("executed_at"), F.col("id")).alias("_row")).select(*keys, "_row.*")
 
 
-def previous_snapshot(snapshots: DataFrame, keys: Sequence[str] = DATABASE, piece: str = "month") -> DataFrame:
+def previous_snapshot(snapshots: DataFrame, keys: Sequence[str] = DATABASE, piece: str = "week") -> DataFrame:
     """Each snapshot with the one before it in ``previous``."""
     carried = [c for c in snapshots.columns if c not in keys]
     return split_lag(snapshots, keys, ["executed_at", "id"], carried, F.date_trunc(piece, "executed_at"))
@@ -123,7 +123,7 @@ def parameter_changes(
     days: int = 7,
     keys: Sequence[str] = DATABASE,
     include_removed: bool = False,
-    piece: str = "month",
+    piece: str = "week",
 ) -> DataFrame:
     """One row per changed parameter between consecutive snapshots of the last ``days`` days."""
     recent = since(snapshots, as_of, days).select(*keys, "id", "executed_at", "parameters")

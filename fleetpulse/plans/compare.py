@@ -12,18 +12,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetpulse import constants as fixed
 from fleetpulse.functions.ladders import cost_impact, score_grade, time_impact
 from fleetpulse.functions.numbers import ratio, round_half_up
+from fleetpulse.functions.text import fill
 from fleetpulse.operators.skew import split_lag
-from fleetpulse.plans.scores import (
-    DISK_SORT,
-    SEQ_SCAN,
-    Metrics,
-    bottlenecks,
-    efficiency_label,
-    lines,
-    optimization_score,
-)
+from fleetpulse.plans.scores import Metrics, bottlenecks, efficiency_label, lines, optimization_score, slow_text
 
 A, B = Metrics("a"), Metrics("b")
 
@@ -32,7 +26,7 @@ def consecutive_pairs(
     executions: DataFrame,
     carried: Sequence[str],
     keys: Sequence[str] = ("database_id", "statement"),
-    piece: str = "month",
+    piece: str = "day",
 ) -> DataFrame:
     """Each execution (``b``) with the one before it of the same statement (``a``)."""
     paired = split_lag(
@@ -89,25 +83,34 @@ def _shown(value: Column, digits: int = 1) -> Column:
     return F.round(value.cast("decimal(28,10)"), digits).cast(f"decimal(28,{digits})").cast("string")
 
 
+def slower_gap() -> Column:
+    """Difference of the total times in percent of the larger one."""
+    larger = F.greatest(A.total_time_ms, B.total_time_ms)
+    return F.when(_timed(), ratio(F.abs(A.total_time_ms - B.total_time_ms), larger) * 100)
+
+
+def _faster() -> Column:
+    return F.when(A.total_time_ms < B.total_time_ms, "A").otherwise("B")
+
+
+def _one_sided(fact_a: Column, fact_b: Column, template: str) -> Column:
+    """``template`` filled (B, A) when the fact holds for a only, (A, B) when for b only."""
+    return F.when(fact_a & ~fact_b, fill(template, "B", "A")).when(fact_b & ~fact_a, fill(template, "A", "B"))
+
+
 def comparison_insights() -> Column:
-    gap = round_half_up(
-        ratio(F.abs(A.total_time_ms - B.total_time_ms), F.greatest(A.total_time_ms, B.total_time_ms)) * 100, 1
-    )
-    faster = F.when(A.total_time_ms < B.total_time_ms, "Query A").otherwise("Query B")
-    seq_a = F.coalesce(A.seq_scan_present, F.lit(False))
-    seq_b = F.coalesce(B.seq_scan_present, F.lit(False))
+    gap = round_half_up(slower_gap(), 1)
+    seq_a, seq_b = (F.coalesce(m.seq_scan_present, F.lit(False)) for m in (A, B))
     return lines(
-        F.when(_timed() & (gap > 20), F.concat(faster, F.lit(" is "), _shown(gap), F.lit("% faster in execution time"))),
-        F.when(seq_a & ~seq_b, "Query B uses index scans while Query A uses sequential scans").when(
-            seq_b & ~seq_a, "Query A uses index scans while Query B uses sequential scans"
-        ),
+        F.when(gap > fixed.FASTER_PCT, fill(fixed.PAIR_FASTER, _faster(), _shown(gap))),
+        _one_sided(seq_a, seq_b, fixed.PAIR_SCANS),
     )
 
 
 def pct_difference(a: Column, b: Column) -> Column:
     """``x.x% A|B faster``; NULL when a side is missing or zero, or below one percent."""
     pct = F.abs(ratio(b - a, a)) * 100
-    known = (a != 0) & (b != 0) & (a != b) & (pct >= 1)
+    known = (a != 0) & (b != 0) & (a != b) & (pct >= fixed.SMALLEST_DIFFERENCE_PCT)
     return F.when(
         known, F.concat(_shown(pct), F.lit("% "), F.when(a < b, "A").otherwise("B"), F.lit(" faster"))
     )
@@ -193,127 +196,75 @@ def throughput() -> Column:
 def score_gap() -> Column:
     a, b = optimization_score(A), optimization_score(B)
     better = F.when(a > b, "A").otherwise("B")
-    text = F.concat(better, F.lit(": "), F.abs(a - b).cast("string"), F.lit(" points better"))
-    return F.when(F.abs(a - b) > 5, text).otherwise("Similar performance")
+    text = fill("%s: %s points better", better, F.abs(a - b))
+    return F.when(F.abs(a - b) > fixed.SCORE_GAP, text).otherwise(fixed.PAIR_SIMILAR)
+
+
+def _both(finding: Callable[[Metrics, str], list[Column] | Column]) -> list[Column]:
+    """A finding for a, then for b."""
+    found = []
+    for m, name in ((A, "A"), (B, "B")):
+        made = finding(m, name)
+        found += made if isinstance(made, list) else [made]
+    return found
 
 
 def performance_findings() -> Column:
     def of(m: Metrics, name: str) -> list[Column]:
-        start = F.lit(f"Query {name}: ")
-        ms = F.concat(F.lit("("), round_half_up(m.total_time_ms, 3).cast("string"), F.lit("ms)"))
+        ms = round_half_up(m.total_time_ms, 3)
+        workers = fill(fixed.PAIR_WORKERS, name, m.workers_launched, m.workers_planned)
+        large = m.seq & m.over("rows_scanned", fixed.LARGE_SCAN_ROWS)
         return [
-            F.when(m.over("total_time_ms", 5000), F.concat(start, F.lit("Very slow execution "), ms)).when(
-                m.over("total_time_ms", 1000), F.concat(start, F.lit("Slow execution time "), ms)
-            ),
-            F.when(
-                m.over("memory_usage_kb", 100000),
-                F.concat(start, F.lit("High memory usage ("), m.memory_usage_kb.cast("string"), F.lit("KB)")),
-            ),
-            F.when(m.has("sort_methods", DISK_SORT), F.concat(start, F.lit("Sorting spilled to disk"))),
-            F.when(
-                m.short_of_workers,
-                F.concat(
-                    start, F.lit("Only "), m.workers_launched.cast("string"), F.lit("/"),
-                    m.workers_planned.cast("string"), F.lit(" parallel workers launched"),
-                ),
-            ),
-            F.when(
-                m.has("scan_types", SEQ_SCAN) & m.over("rows_scanned", 100000),
-                F.concat(start, F.lit("Large sequential scan ("), m.rows_scanned.cast("string"), F.lit(" rows)")),
-            ),
+            slow_text(m, fill(fixed.PAIR_VERY_SLOW, name, ms), fill(fixed.PAIR_SLOW, name, ms)),
+            F.when(m.over("memory_usage_kb", fixed.HIGH_MEMORY_KB), fill(fixed.PAIR_MEMORY, name, m.memory_usage_kb)),
+            F.when(m.disk_sort, fill(fixed.PAIR_DISK_SORT, name)),
+            F.when(m.short_of_workers, workers),
+            F.when(large, fill(fixed.PAIR_LARGE_SCAN, name, m.rows_scanned)),
         ]
 
-    return lines(*of(A, "A"), *of(B, "B"), empty="No major performance issues detected")
+    return lines(*_both(of), empty=fixed.TEXT_NO_ISSUES)
 
 
 def index_findings() -> Column:
     def of(m: Metrics, name: str) -> Column:
-        used = F.concat(
-            F.lit(f"Query {name}: Uses "), m.index_count.cast("string"), F.lit(" index(es) - "),
-            F.array_join(m.index_usage, ", "),
-        )
-        return F.when(m.any("index_usage"), used).otherwise(
-            f"Query {name}: No indexes used (may cause performance issues)"
-        )
+        used = fill(fixed.PAIR_INDEXES, name, m.index_count, F.array_join(m.index_usage, ", "))
+        return F.when(m.any("index_usage"), used).otherwise(fill(fixed.PAIR_NO_INDEXES, name))
 
-    seq_a, seq_b = A.has("scan_types", SEQ_SCAN), B.has("scan_types", SEQ_SCAN)
-    verdict = (
-        F.when(seq_a & ~seq_b, "Query B has better index utilization than Query A")
-        .when(seq_b & ~seq_a, "Query A has better index utilization than Query B")
-        .when(~seq_a & ~seq_b, "Both queries efficiently use indexes")
-    )
-    return lines(of(A, "A"), of(B, "B"), verdict)
+    neither = F.when(~A.seq & ~B.seq, fixed.PAIR_BOTH_INDEXED)
+    return lines(*_both(of), F.coalesce(_one_sided(A.seq, B.seq, fixed.PAIR_BETTER_INDEXES), neither))
 
 
 def opportunities() -> Column:
-    gap = ratio(F.abs(A.total_time_ms - B.total_time_ms), F.greatest(A.total_time_ms, B.total_time_ms)) * 100
-
-    def each(make) -> list[Column]:
-        return [make(A, "A"), make(B, "B")]
-
+    a_slower = A.total_time_ms > B.total_time_ms
+    strategy = F.when(a_slower, fill(fixed.PAIR_STRATEGY, "A", "B")).otherwise(fill(fixed.PAIR_STRATEGY, "B", "A"))
+    kb_a, kb_b = A.memory_usage_kb, B.memory_usage_kb
     return lines(
-        F.when(
-            _timed() & (gap > 50),
-            F.when(
-                A.total_time_ms > B.total_time_ms, "Query A could benefit from Query B's execution strategy"
-            ).otherwise("Query B could benefit from Query A's execution strategy"),
-        ),
-        F.when(
-            A.memory_usage_kb > B.memory_usage_kb * 2, "Query A uses significantly more memory - consider optimizing"
-        ).when(
-            B.memory_usage_kb > A.memory_usage_kb * 2, "Query B uses significantly more memory - consider optimizing"
-        ),
-        *each(
-            lambda m, n: F.when(
-                (m.workers_launched == 0) & m.over("total_time_ms", 1000),
-                f"Query {n} could benefit from parallel execution",
+        F.when(slower_gap() > fixed.STRATEGY_PCT, strategy),
+        F.when(kb_a > kb_b * 2, fill(fixed.PAIR_MORE_MEMORY, "A")).when(kb_b > kb_a * 2, fill(fixed.PAIR_MORE_MEMORY, "B")),
+        *_both(
+            lambda m, name: F.when(
+                (m.workers_launched == 0) & m.over("total_time_ms", fixed.SLOW_MS), fill(fixed.PAIR_PARALLEL, name)
             )
         ),
-        *each(
-            lambda m, n: F.when(
-                m.has("sort_methods", DISK_SORT), f"Query {n}: Increase work_mem to avoid disk-based sorting"
-            )
+        *_both(lambda m, name: F.when(m.disk_sort, fill(fixed.PAIR_WORK_MEM, name))),
+        *_both(
+            lambda m, name: F.when(m.seq & m.over("rows_scanned", fixed.SCANNED_ROWS), fill(fixed.PAIR_ADD_INDEXES, name))
         ),
-        *each(
-            lambda m, n: F.when(
-                m.has("scan_types", SEQ_SCAN) & m.over("rows_scanned", 10000),
-                f"Query {n}: Consider adding indexes to eliminate sequential scans",
-            )
-        ),
-        empty="Both queries are well-optimized",
+        empty=fixed.PAIR_OPTIMIZED,
     )
 
 
 def comparison_recommendations() -> Column:
-    def item(priority: str, text: Column) -> Column:
-        return F.struct(F.lit(priority).alias("priority"), text.alias("text"))
-
-    faster = F.when(A.total_time_ms < B.total_time_ms, "A").otherwise("B")
-    return F.array_compact(
-        F.array(
-            F.when(
-                A.over("total_time_ms", 1000) | B.over("total_time_ms", 1000),
-                item(
-                    "HIGH",
-                    F.lit("Consider adding appropriate indexes to reduce sequential scans and improve query performance."),
-                ),
-            ),
-            F.when(
-                F.abs(A.total_time_ms - B.total_time_ms) > 200,
-                item(
-                    "MEDIUM",
-                    F.concat(
-                        F.lit("Analyze Query "), faster,
-                        F.lit("'s execution plan to optimize the slower query's performance."),
-                    ),
-                ),
-            ),
-            item(
-                "LOW",
-                F.lit("Monitor query performance over time and consider query result caching for frequently accessed data."),
-            ),
-        )
+    """array<struct(priority, text)>, most urgent first."""
+    slow = A.over("total_time_ms", fixed.SLOW_MS) | B.over("total_time_ms", fixed.SLOW_MS)
+    apart = F.abs(A.total_time_ms - B.total_time_ms) > fixed.SLOWER_BY_MS
+    found = (
+        ("HIGH", slow, F.lit(fixed.PAIR_HIGH)),
+        ("MEDIUM", apart, fill(fixed.PAIR_MEDIUM, _faster())),
+        ("LOW", F.lit(True), F.lit(fixed.PAIR_LOW)),
     )
+    items = [F.when(hit, F.struct(F.lit(p).alias("priority"), text.alias("text"))) for p, hit, text in found]
+    return F.array_compact(F.array(*items))
 
 
 COMPARISONS: dict[str, Callable[[], Column]] = {

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetpulse import constants as fixed
 from fleetpulse.functions.numbers import plain_number
+from fleetpulse.functions.text import fill
 from fleetpulse.plans.tree import BUFFER_FIELDS, root
 
 METRIC_COLUMNS = (
@@ -125,27 +127,20 @@ def with_issues(df: DataFrame) -> DataFrame:
     def finding(n: Column) -> Column:
         kind, time = n["node_type"], n["actual_time"]
         relation = F.coalesce(n["relation_name"], F.lit(""))
-        seq = (kind == "Seq Scan") & (n["actual_rows"] > 1000)
-        sort = (kind == "Sort") & (time > 100)
-        loop = (kind == "Nested Loop") & (time > 50)
-        spill = (kind == "Hash Join") & (n["temp_written_blocks"] > 0)
-        rows = n["actual_rows"].cast("string")
-        slow = (
-            F.when(seq, F.concat(F.lit("Sequential scan on "), relation, F.lit(" ("), rows, F.lit(" rows)")))
-            .when(sort, F.concat(F.lit("Expensive sort operation ("), plain_number(time, 2), F.lit("ms)")))
-            .when(loop, "Potentially expensive nested loop join")
-            .when(spill, "Hash join spilling to disk")
-        )
-        advice = (
-            F.when(
-                seq, F.concat(F.lit("Consider adding an index on "), relation, F.lit(" to avoid full table scan"))
-            )
-            .when(sort, "Consider adding an index to avoid sorting, or increase work_mem")
-            .when(loop, "Consider adding indexes on join columns or using different join strategy")
-            .when(spill, "Consider increasing work_mem to avoid disk spilling")
+        seq = (kind == fixed.SEQ_SCAN) & (n["actual_rows"] > fixed.ISSUE_SEQ_ROWS)
+        # (condition, texts, what fills the slow-operation text, what fills the suggestion)
+        rules = (
+            (seq, fixed.ISSUE_SEQ, (relation, n["actual_rows"]), (relation,)),
+            ((kind == "Sort") & (time > fixed.ISSUE_SORT_MS), fixed.ISSUE_SORT, (plain_number(time, 2),), ()),
+            ((kind == "Nested Loop") & (time > fixed.ISSUE_LOOP_MS), fixed.ISSUE_LOOP, (), ()),
+            ((kind == "Hash Join") & (n["temp_written_blocks"] > 0), fixed.ISSUE_SPILL, (), ()),
         )
+        slow = [F.when(hit, fill(texts[0], *of_slow)) for hit, texts, of_slow, _ in rules]
+        advice = [F.when(hit, fill(texts[1], *of_advice)) for hit, texts, _, of_advice in rules]
         return F.struct(
-            slow.alias("slow"), advice.alias("advice"), F.when(seq, n["relation_name"]).alias("missing")
+            F.coalesce(*slow).alias("slow"),
+            F.coalesce(*advice).alias("advice"),
+            F.when(seq, n["relation_name"]).alias("missing"),
         )
 
     def collected(field: str) -> Column:

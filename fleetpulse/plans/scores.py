@@ -1,4 +1,7 @@
-"""Scores, labels and findings of single executions: projections over ``plan_metrics`` rows."""
+"""Scores, labels and findings of single executions: projections over ``plan_metrics`` rows.
+
+Bands, points, limits and texts are the fixed values of ``fleetpulse.constants``.
+"""
 
 from __future__ import annotations
 
@@ -7,27 +10,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.ladders import (
-    above,
-    at_least,
-    bands,
-    benchmark_text,
-    clamp_score,
-    cost_level,
-    memory_level,
-    performance_class,
-    performance_rating,
-    planning_ratio_insight,
-    score_grade,
-)
+from fleetpulse import constants as fixed
+from fleetpulse.functions import ladders
+from fleetpulse.functions.ladders import above, at_least, below, clamp_score, upto
 from fleetpulse.functions.numbers import format_memory, ratio, round_half_up, timing_percentage
 
-SEQ_SCAN = "Seq Scan"
-DISK_SORT = "external merge"
-
 
 class Metrics:
-    """Columns of one execution's metrics, plain or inside a struct (``side``)."""
+    """Columns of one execution's metrics, plain or inside a struct (``side``), and facts read from them."""
 
     def __init__(self, side: str = "") -> None:
         self.prefix = f"{side}." if side else ""
@@ -44,6 +34,18 @@ class Metrics:
     def over(self, field: str, bound: float) -> Column:
         return F.coalesce(getattr(self, field) > bound, F.lit(False))
 
+    @property
+    def seq(self) -> Column:
+        return self.has("scan_types", fixed.SEQ_SCAN)
+
+    @property
+    def index(self) -> Column:
+        return F.coalesce(F.exists(self.scan_types, lambda t: t.contains("Index")), F.lit(False))
+
+    @property
+    def disk_sort(self) -> Column:
+        return self.has("sort_methods", fixed.DISK_SORT)
+
     @property
     def short_of_workers(self) -> Column:
         return F.coalesce(self.workers_planned > self.workers_launched, F.lit(False))
@@ -52,9 +54,19 @@ class Metrics:
     def index_count(self) -> Column:
         return F.greatest(F.coalesce(F.size(self.index_usage), F.lit(0)), F.lit(0))
 
+    @property
+    def selectivity(self) -> Column:
+        return ratio(self.rows_returned, self.rows_scanned)
+
+
+def scored(*parts: Column) -> Column:
+    """100 with all parts added."""
+    return sum(parts, F.lit(100))
+
 
-def points(condition: Column, value: int) -> Column:
-    return F.when(condition, value).otherwise(0)
+def points(table: dict[str, int], **facts: Column) -> Column:
+    """Points of the facts that hold."""
+    return sum((F.when(fact, table[name]).otherwise(0) for name, fact in facts.items()), F.lit(0))
 
 
 def lines(*texts: Column, empty: str | None = None) -> Column:
@@ -64,164 +76,145 @@ def lines(*texts: Column, empty: str | None = None) -> Column:
 
 
 def plan_efficiency_score(m: Metrics) -> Column:
-    share = ratio(m.rows_returned, m.rows_scanned) * 100
-    score = (
-        F.lit(100)
-        + F.when(m.rows_scanned > 0, F.when(share < 20, -40).when(share < 50, -20).otherwise(0)).otherwise(0)
-        + points(m.any("index_usage"), 10)
-        + points(m.has("scan_types", SEQ_SCAN) & m.over("rows_scanned", 10000), -20)
-        + points(m.has("sort_methods", DISK_SORT), -15)
-        + points(m.over("workers_launched", 0), 5)
+    io = F.when(m.rows_scanned > 0, below(m.selectivity * 100, fixed.PLAN_IO_BELOW)).otherwise(0)
+    facts = points(
+        fixed.PLAN_POINTS,
+        index=m.any("index_usage"),
+        large_seq_scan=m.seq & m.over("rows_scanned", fixed.SCANNED_ROWS),
+        disk_sort=m.disk_sort,
+        workers=m.over("workers_launched", 0),
     )
-    label = at_least(clamp_score(score), [(80, "Excellent"), (60, "Good"), (40, "Fair")], "Poor", None)
+    label = at_least(clamp_score(scored(io, facts)), fixed.PLAN_EFFICIENCY_LOWER)
     return F.when(m.rows_returned.isNull() | m.rows_scanned.isNull(), "N/A").otherwise(label)
 
 
 def overall_score(m: Metrics) -> Column:
-    score = (
-        F.lit(100)
-        + above(m.total_time_ms, [(10000, -40), (5000, -25), (1000, -15), (500, -8)], 0)
-        + above(m.query_cost, [(1000000, -20), (100000, -10)], 0)
-        + points(m.any("index_usage"), 5)
-        + points(m.over("workers_launched", 0), 5)
-        + points(m.has("sort_methods", DISK_SORT), -10)
+    facts = points(
+        fixed.OVERALL_POINTS,
+        index=m.any("index_usage"),
+        workers=m.over("workers_launched", 0),
+        disk_sort=m.disk_sort,
     )
+    score = scored(above(m.total_time_ms, fixed.OVERALL_TIME_ABOVE), above(m.query_cost, fixed.OVERALL_COST_ABOVE), facts)
     unknown = m.total_time_ms.isNull() | m.query_cost.isNull()
-    return F.when(unknown, 75).otherwise(clamp_score(score))
+    return F.when(unknown, fixed.OVERALL_UNKNOWN).otherwise(clamp_score(score))
 
 
 def efficiency_label(m: Metrics) -> Column:
     """The comparison view's own efficiency label."""
-    score = (
-        F.lit(100)
-        + above(m.total_time_ms, [(5000, -40), (1000, -20), (500, -10)], 0)
-        + points(m.over("workers_launched", 0), 10)
-        + points(m.over("memory_usage_kb", 50000), -15)
-        + points(m.any("index_usage"), 5)
-        + points(m.has("scan_types", SEQ_SCAN), -10)
-        + points(m.has("sort_methods", DISK_SORT), -15)
+    facts = points(
+        fixed.COMPARED_POINTS,
+        workers=m.over("workers_launched", 0),
+        memory=m.over("memory_usage_kb", fixed.COMPARED_MEMORY_KB),
+        index=m.any("index_usage"),
+        seq_scan=m.seq,
+        disk_sort=m.disk_sort,
     )
-    label = at_least(clamp_score(score), [(85, "Excellent"), (70, "Good"), (50, "Fair")], "Needs Review", None)
-    return F.when(m.total_time_ms.isNull() | (m.total_time_ms == 0), "N/A").otherwise(label)
+    score = clamp_score(scored(above(m.total_time_ms, fixed.COMPARED_TIME_ABOVE), facts))
+    timed = F.coalesce(m.total_time_ms != 0, F.lit(False))
+    return F.when(timed, at_least(score, fixed.COMPARED_EFFICIENCY_LOWER)).otherwise("N/A")
 
 
 def optimization_score(m: Metrics) -> Column:
-    thin = (m.rows_returned > 0) & (m.total_time_ms > 0) & (ratio(m.rows_returned, m.total_time_ms) < 0.1)
-    score = (
-        F.lit(100)
-        + above(m.total_time_ms, [(1000, -30), (500, -15), (100, -5)], 0)
-        + above(m.query_cost, [(10000, -20), (1000, -10)], 0)
-        + points(F.coalesce(thin, F.lit(False)), -15)
+    bound, penalty = fixed.OPTIMIZATION_THIN
+    thin = (m.rows_returned > 0) & (m.total_time_ms > 0) & (ratio(m.rows_returned, m.total_time_ms) < bound)
+    score = scored(
+        above(m.total_time_ms, fixed.OPTIMIZATION_TIME_ABOVE),
+        above(m.query_cost, fixed.OPTIMIZATION_COST_ABOVE),
+        F.when(thin, penalty).otherwise(0),
     )
     return F.greatest(F.lit(0), score)
 
 
 def bottlenecks(m: Metrics) -> Column:
-    return F.array_join(
-        lines(
-            F.when(m.has("scan_types", SEQ_SCAN), "Sequential Scans"),
-            F.when(m.has("sort_methods", DISK_SORT), "Disk Sorting"),
-            F.when(m.over("memory_usage_kb", 100000), "High Memory"),
-            F.when(m.short_of_workers, "Worker Shortage"),
-            F.when(~m.any("index_usage") & m.over("rows_scanned", 10000), "Missing Indexes"),
-            empty="None",
-        ),
-        ", ",
-    )
+    facts = {
+        "seq_scan": m.seq,
+        "disk_sort": m.disk_sort,
+        "memory": m.over("memory_usage_kb", fixed.HIGH_MEMORY_KB),
+        "workers": m.short_of_workers,
+        "indexes": ~m.any("index_usage") & m.over("rows_scanned", fixed.SCANNED_ROWS),
+    }
+    named = [F.when(fact, fixed.BOTTLENECK_NAMES[name]) for name, fact in facts.items()]
+    return F.array_join(lines(*named, empty="None"), ", ")
 
 
 def io_efficiency(m: Metrics) -> Column:
-    share = ratio(m.rows_returned, m.rows_scanned) * 100
     known = m.rows_returned.isNotNull() & (m.rows_scanned > 0)
-    return F.when(known, at_least(share, [(80, "Excellent"), (50, "Good"), (20, "Fair")], "Poor", "N/A")).otherwise("N/A")
+    return F.when(known, at_least(m.selectivity * 100, fixed.IO_LOWER)).otherwise("N/A")
 
 
 def memory_efficiency(m: Metrics) -> Column:
-    per_row = ratio(m.memory_usage_kb, m.rows_returned)
     known = m.memory_usage_kb.isNotNull() & (m.rows_returned > 0)
-    return F.when(known, bands(per_row, [(1, "Excellent"), (5, "Good"), (20, "Fair")], "Poor", "N/A")).otherwise("N/A")
+    per_row = ratio(m.memory_usage_kb, m.rows_returned)
+    return F.when(known, upto(per_row, fixed.MEMORY_PER_ROW_UPPER)).otherwise("N/A")
 
 
 def parallelization(m: Metrics) -> Column:
     used = ratio(m.workers_launched, m.workers_planned) * 100
-    label = at_least(used, [(90, "Excellent"), (70, "Good"), (50, "Fair")], "Poor", "None")
+    label = F.when(m.workers_launched != 0, at_least(used, fixed.PARALLEL_LOWER)).otherwise("None")
+    return F.when(m.workers_planned > 0, label).otherwise("N/A")
+
+
+def _index_use(m: Metrics, labels: dict[str, str], nothing: str) -> Column:
     return (
-        F.when(m.workers_planned.isNull() | (m.workers_planned <= 0), "N/A")
-        .when(m.workers_launched.isNull() | (m.workers_launched == 0), "None")
-        .otherwise(label)
+        F.when(m.index & ~m.seq, labels["only"]).when(m.index, labels["mixed"]).when(m.seq, labels["seq"]).otherwise(nothing)
     )
 
 
-def _index_scan(m: Metrics) -> Column:
-    return F.coalesce(F.exists(m.scan_types, lambda t: t.contains("Index")), F.lit(False))
+def index_utilization(m: Metrics) -> Column:
+    return _index_use(m, fixed.INDEX_USE_LABELS, "N/A")
 
 
-def index_utilization(m: Metrics) -> Column:
-    seq, index = m.has("scan_types", SEQ_SCAN), _index_scan(m)
-    return F.when(index & ~seq, "Excellent").when(index, "Good").when(seq, "Poor").otherwise("N/A")
+def index_impact(m: Metrics) -> Column:
+    text = _index_use(m, fixed.INDEX_USE_IMPACT, fixed.INDEX_USE_IMPACT["none"])
+    return F.when(m.any("scan_types"), text).otherwise("N/A")
 
 
 def io_impact(m: Metrics) -> Column:
     """Selectivity text; more rows returned than scanned counts as poor."""
-    share = ratio(m.rows_returned, m.rows_scanned)
-    label = (
-        F.when(share > 1, "Poor selectivity")
-        .when(share >= 0.8, "Excellent selectivity")
-        .when(share >= 0.5, "Good filtering")
-        .when(share >= 0.1, "Moderate waste")
-        .otherwise("Poor selectivity")
-    )
-    return F.when(m.rows_returned.isNull() | m.rows_scanned.isNull(), "N/A").otherwise(label)
+    poor = fixed.IO_IMPACT_LOWER[-1]
+    text = F.when(m.selectivity > 1, poor).otherwise(at_least(m.selectivity, fixed.IO_IMPACT_LOWER))
+    return F.when(m.rows_returned.isNull() | m.rows_scanned.isNull(), "N/A").otherwise(text)
 
 
 def memory_impact(m: Metrics) -> Column:
-    per_row = ratio(m.memory_usage_kb, m.rows_returned)
-    label = bands(per_row, [(1, "Very efficient"), (10, "Reasonable usage"), (100, "High consumption")], "Memory intensive", "Memory intensive")
-    return F.when(m.memory_usage_kb.isNull() | m.rows_returned.isNull(), "N/A").otherwise(label)
+    text = upto(ratio(m.memory_usage_kb, m.rows_returned), fixed.MEMORY_IMPACT_UPPER)
+    return F.when(m.memory_usage_kb.isNull() | m.rows_returned.isNull(), "N/A").otherwise(text)
 
 
 def parallel_impact(m: Metrics) -> Column:
-    return (
-        F.when(m.workers_planned.isNull(), "N/A")
-        .when(m.workers_launched == 0, "No parallelization")
-        .when(m.workers_launched == m.workers_planned, "Full utilization")
-        .otherwise("Partial utilization")
-    )
+    text = fixed.PARALLEL_IMPACT
+    all_used = m.workers_launched == m.workers_planned
+    used = F.when(m.workers_launched == 0, text["none"]).when(all_used, text["full"]).otherwise(text["part"])
+    return F.when(m.workers_planned.isNotNull(), used).otherwise("N/A")
 
 
-def index_impact(m: Metrics) -> Column:
-    seq, index = m.has("scan_types", SEQ_SCAN), _index_scan(m)
-    label = (
-        F.when(index & ~seq, "Optimal access")
-        .when(index & seq, "Mixed access pattern")
-        .when(seq, "Sequential scans")
-        .otherwise("Unknown pattern")
-    )
-    return F.when(m.any("scan_types"), label).otherwise("N/A")
+def slow_text(m: Metrics, very_slow: Column | str, slow: Column | str) -> Column:
+    too_slow = m.total_time_ms > fixed.VERY_SLOW_MS
+    return F.when(too_slow, very_slow).when(m.total_time_ms > fixed.SLOW_MS, slow)
 
 
 def performance_issues(m: Metrics) -> Column:
     return lines(
-        F.when(m.over("total_time_ms", 5000), "Very slow execution time (>5 seconds)").when(
-            m.over("total_time_ms", 1000), "Slow execution time (>1 second)"
-        ),
-        F.when(m.over("memory_usage_kb", 100000), "High memory usage (>100MB)"),
-        F.when(m.has("sort_methods", DISK_SORT), "Sorting spilled to disk"),
-        F.when(m.has("scan_types", SEQ_SCAN) & m.over("rows_scanned", 100000), "Large sequential scan detected"),
-        F.when(m.short_of_workers, "Worker shortage detected"),
-        empty="No major performance issues detected",
+        slow_text(m, fixed.TEXT_VERY_SLOW, fixed.TEXT_SLOW),
+        F.when(m.over("memory_usage_kb", fixed.HIGH_MEMORY_KB), fixed.TEXT_MEMORY),
+        F.when(m.disk_sort, fixed.TEXT_DISK_SORT),
+        F.when(m.seq & m.over("rows_scanned", fixed.LARGE_SCAN_ROWS), fixed.TEXT_LARGE_SCAN),
+        F.when(m.short_of_workers, fixed.TEXT_WORKERS),
+        empty=fixed.TEXT_NO_ISSUES,
     )
 
 
 def plan_optimizations(m: Metrics) -> Column:
     idle = F.coalesce(m.workers_launched, F.lit(0)) == 0
+    unindexed = ~m.any("index_usage") & m.over("rows_scanned", fixed.SCANNED_ROWS)
     return lines(
-        F.when(m.has("scan_types", SEQ_SCAN), "Consider adding indexes to eliminate sequential scans"),
-        F.when(m.has("sort_methods", DISK_SORT), "Increase work_mem to avoid disk-based sorting"),
-        F.when(idle & m.over("total_time_ms", 1000), "Query could benefit from parallel execution"),
-        F.when(~m.any("index_usage") & m.over("rows_scanned", 10000), "Add indexes to improve query performance"),
-        F.when(m.any("join_types") & m.over("total_time_ms", 500), "Review join strategy and column statistics"),
-        empty="Query is well-optimized",
+        F.when(m.seq, fixed.TEXT_ADD_INDEXES),
+        F.when(m.disk_sort, fixed.TEXT_WORK_MEM),
+        F.when(idle & m.over("total_time_ms", fixed.SLOW_MS), fixed.TEXT_PARALLEL),
+        F.when(unindexed, fixed.TEXT_INDEXES),
+        F.when(m.any("join_types") & m.over("total_time_ms", fixed.JOIN_REVIEW_MS), fixed.TEXT_JOINS),
+        empty=fixed.TEXT_OPTIMIZED,
     )
 
 
@@ -241,16 +234,16 @@ def rows_per_ms(m: Metrics) -> Column:
 
 
 SCORES: dict[str, Callable[[Metrics], Column]] = {
-    "performance_class": lambda m: performance_class(m.total_time_ms),
-    "performance_rating": lambda m: performance_rating(m.total_time_ms),
-    "benchmark": lambda m: benchmark_text(m.total_time_ms),
-    "cost_level": lambda m: cost_level(m.query_cost),
-    "memory_level": lambda m: memory_level(m.memory_usage_kb),
+    "performance_class": lambda m: ladders.performance_class(m.total_time_ms),
+    "performance_rating": lambda m: ladders.performance_rating(m.total_time_ms),
+    "benchmark": lambda m: ladders.benchmark_text(m.total_time_ms),
+    "cost_level": lambda m: ladders.cost_level(m.query_cost),
+    "memory_level": lambda m: ladders.memory_level(m.memory_usage_kb),
     "memory_text": lambda m: format_memory(m.memory_usage_kb),
     "plan_efficiency": plan_efficiency_score,
     "overall_score": overall_score,
     "optimization_score": optimization_score,
-    "score_grade": lambda m: score_grade(optimization_score(m)),
+    "score_grade": lambda m: ladders.score_grade(optimization_score(m)),
     "efficiency_label": efficiency_label,
     "bottlenecks": bottlenecks,
     "io_efficiency": io_efficiency,
@@ -261,11 +254,11 @@ SCORES: dict[str, Callable[[Metrics], Column]] = {
     "memory_impact": memory_impact,
     "parallel_impact": parallel_impact,
     "index_impact": index_impact,
-    "planning_insight": lambda m: planning_ratio_insight(m.planning_time_ms, m.execution_time_ms),
+    "planning_insight": lambda m: ladders.planning_ratio_insight(m.planning_time_ms, m.execution_time_ms),
     "planning_pct": lambda m: timing_percentage(m.planning_time_ms, m.total_time_ms),
     "execution_pct": lambda m: timing_percentage(m.execution_time_ms, m.total_time_ms),
     "cost_per_row": cost_per_row,
-    "io_efficiency_pct": lambda m: round_half_up(ratio(m.rows_returned, m.rows_scanned) * 100, 1),
+    "io_efficiency_pct": lambda m: round_half_up(m.selectivity * 100, 1),
     "worker_utilisation": worker_utilisation,
     "rows_per_ms": rows_per_ms,
     "performance_issues": performance_issues,
@@ -280,34 +273,19 @@ def score_executions(df: DataFrame, names: Sequence[str] = tuple(SCORES)) -> Dat
 
 
 def recommendation_priority(text: Column, position: Column) -> Column:
+    """By what the suggestion is about, else by its place in the list."""
     t = F.lower(text)
-    return (
-        F.when(t.contains("index") & t.rlike("avoid|eliminate"), "HIGH")
-        .when(t.rlike("work_mem|memory"), "MEDIUM")
-        .when(position == 0, "HIGH")
-        .when(position <= 2, "MEDIUM")
-        .otherwise("LOW")
-    )
+    place = F.when(position == 0, "HIGH").when(position <= 2, "MEDIUM").otherwise("LOW")
+    about_index = t.contains("index") & t.rlike("avoid|eliminate")
+    return F.when(about_index, "HIGH").when(t.rlike("work_mem|memory"), "MEDIUM").otherwise(place)
 
 
 def recommendation_impact(text: Column) -> Column:
-    t = F.lower(text)
-    return (
-        F.when(t.contains("index") & t.contains("avoid"), "~50-80% faster")
-        .when(t.contains("work_mem"), "~20-40% improvement")
-        .when(t.contains("parallel"), "~30-60% faster")
-        .otherwise("Performance gain")
-    )
+    return ladders.by_words(text, fixed.RECOMMENDATION_IMPACTS)
 
 
 def recommendation_hint(text: Column) -> Column:
-    t = F.lower(text)
-    return (
-        F.when(t.contains("index") & t.contains("order_items"), "CREATE INDEX ON order_items(...)")
-        .when(t.contains("work_mem"), "SET work_mem = '256MB'")
-        .when(t.contains("parallel"), "Adjust max_parallel_workers")
-        .otherwise("See PostgreSQL docs")
-    )
+    return ladders.by_words(text, fixed.RECOMMENDATION_HINTS)
 
 
 def recommendations(df: DataFrame, keys: tuple[str, ...] = ("exec_id",), source: str = "suggestions") -> DataFrame:

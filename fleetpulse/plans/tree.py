@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetpulse.constants import NODE_CLASSES, PLAN_UNREADABLE
+from fleetpulse.functions.ladders import by_pattern
+
 # Fixed keys of a plan node: output field, key, type.
 NODE_KEYS = (
     ("node_type", "Node Type", "string"),
@@ -120,20 +123,10 @@ def plan_error_document(plan: str = "execution_plan") -> Column:
     """What a malformed plan is replaced with."""
     return F.when(
         F.col("plan_state") == "malformed",
-        F.to_json(F.struct(F.lit("Failed to parse execution plan").alias("error"), F.col(plan).alias("raw_output"))),
+        F.to_json(F.struct(F.lit(PLAN_UNREADABLE).alias("error"), F.col(plan).alias("raw_output"))),
     )
 
 
 def node_class(node_type: Column) -> Column:
     """Operation class of a node type; the first matching pattern decides."""
-    text = F.lower(node_type)
-    return (
-        F.when(text.rlike("seq scan"), "seq-scan")
-        .when(text.rlike("index.*scan"), "index-scan")
-        .when(text.rlike("hash"), "hash")
-        .when(text.rlike("sort"), "sort")
-        .when(text.rlike("aggregate"), "aggregate")
-        .when(text.rlike("limit"), "limit")
-        .when(text.rlike("join"), "join")
-        .otherwise("other")
-    )
+    return by_pattern(F.lower(node_type), NODE_CLASSES)

@@ -42,7 +42,7 @@ def shown(value: str) -> str:
 def pairs(spark, sf, carried=CARRIED):
     """Consecutive runs of each statement; only ``carried`` columns are shuffled."""
     log = analysed(spark, sf).withColumn("statement", statement_key())
-    return compare.consecutive_pairs(log, carried)
+    return compare.consecutive_pairs(log, carried, piece="month")
 
 
 def ids():
@@ -212,7 +212,7 @@ def plan_node_diff(spark, sf):
     slim = log.withColumn(
         "nodes", F.transform("nodes", lambda n: F.struct(n["node_type"].alias("node_type"), n["relation_name"].alias("relation_name")))
     )
-    both = compare.consecutive_pairs(slim, ["exec_id", "nodes"]).select(*ids(), "a", "b")
+    both = compare.consecutive_pairs(slim, ["exec_id", "nodes"], piece="month").select(*ids(), "a", "b")
     return compare.plan_node_diff(both, ["a_id", "b_id"])
 
 

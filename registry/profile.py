@@ -58,10 +58,18 @@ def numeric_result_stats(spark, sf):
     return profile.result_column_stats(table(spark, sf, "orders").select("o_orderstatus", "o_totalprice"))
 
 
+def _type(name: str) -> str:
+    text = f"CAST({name} AS VARCHAR)"
+    number = f"regexp_full_match({text}, '-?[0-9]+([.][0-9]+)?')"
+    day = f"regexp_matches({text}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')"
+    return f"""SELECT '{name}' AS "column", CASE WHEN COUNT(*) FILTER (WHERE {number}) > 0.7 * COUNT(*) THEN 'number'
+      WHEN COUNT(*) FILTER (WHERE {day} AND NOT {number}) > 0.7 * COUNT(*) THEN 'date' ELSE 'text' END AS inferred_type
+    FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10) h"""
+
+
 @register(
     "infer_column_type",
-    """SELECT * FROM (VALUES ('o_orderkey', 'number'), ('o_totalprice', 'number'), ('o_orderdate', 'date'),
-      ('o_orderpriority', 'text')) t("column", inferred_type)""",
+    " UNION ALL ".join(_type(c) for c in ("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")),
 )
 def infer_column_type(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")
@@ -122,8 +130,8 @@ def chart_eligible(spark, sf):
 
 @register(
     "result_to_document",
-    """SELECT concat('{"r_regionkey":', r_regionkey, ',"r_name":"', r_name, '"}') AS row, 2 AS fields FROM region""",
+    """SELECT concat('{"c_custkey":', c_custkey, ',"c_name":"', c_name, '","c_nationkey":', c_nationkey, '}') AS row, 3 AS fields FROM customer""",
 )
 def result_to_document(spark, sf):
-    out = profile.result_to_document(table(spark, sf, "region"))
+    out = profile.result_to_document(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"))
     return out.select("row", F.json_array_length(F.get_json_object("column_types", "$.fields")).alias("fields"))
