@@ -254,12 +254,18 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Execution log rows whose ``execution_plan`` is EXPLAIN-style JSON text."""
     ex = spread(view(spark, sf_dir, "v_executions"))
 
-    def node(children: str | None, **fields: str) -> str:
-        pairs = ", ".join(f"'{k.replace('_', ' ')}', {v}" for k, v in fields.items())
-        body = f"to_json(named_struct({pairs}))"
-        if children is None:
-            return body
-        return f"concat('{{\"Plans\":[', {children}, '],', substring({body}, 2))"
+    quoted = ("Relation_Name", "Index_Name", "Join_Type", "Sort_Method")
+
+    def node(children: str | None, Node_Type: str, **fields: str) -> str:
+        """SQL text of a JSON object; a NULL field is left out."""
+        parts = ["'{\"Node Type\":\"'", Node_Type, "'\"'"]
+        for name, value in fields.items():
+            key = name.replace("_", " ")
+            mark = '"' if name in quoted else ""
+            parts.append(f"coalesce(concat(',\"{key}\":{mark}', {value}, '{mark}'), '')")
+        if children is not None:
+            parts += ["',\"Plans\":['", children, "']'"]
+        return f"concat({', '.join(parts)}, '}}')"
 
     scan = node(
         None,
@@ -268,10 +274,10 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
         Actual_Rows="(m div (i + 1)) % 3000 * CASE WHEN q % 11 = 0 THEN 100 ELSE 1 END",
         Index_Name="CASE WHEN (q + w + i) % 3 <> 0 THEN concat('idx_', (w + i) % 50) END",
     )
-    wrapped = node("s", Node_Type="'Materialize'", Actual_Rows="m % 3000 * 100")
+    wrapped = node("x.s", Node_Type="'Materialize'", Actual_Rows="m % 3000 * 100")
     scans = (
         f"array_join(transform(transform(sequence(0L, q % 3), i -> struct(i, {scan} AS s)),"
-        f" x -> CASE WHEN x.i = 0 AND q % 11 = 0 THEN {wrapped.replace(', s,', ', x.s,')} ELSE x.s END), ',')"
+        f" x -> CASE WHEN x.i = 0 AND q % 11 = 0 THEN {wrapped} ELSE x.s END), ',')"
     )
     join = node(
         scans,
