@@ -125,13 +125,17 @@ def parameter_changes(
     include_removed: bool = False,
     piece: str = "week",
 ) -> DataFrame:
-    """One row per changed parameter between consecutive snapshots of the last ``days`` days."""
+    """One row per changed parameter between consecutive snapshots of the last ``days`` days.
+
+    ``id`` is the newer snapshot's.
+    """
     recent = since(snapshots, as_of, days).select(*keys, "id", "executed_at", "parameters")
     paired = split_lag(recent, keys, ["executed_at", "id"], ["parameters"], F.date_trunc(piece, "executed_at"))
     return (
         paired.filter(F.col("previous.parameters").isNotNull() & F.col("parameters").isNotNull())
         .select(
             *keys,
+            "id",
             F.col("executed_at").alias("detected_at"),
             F.inline_outer(changed_parameters(F.col("previous.parameters"), F.col("parameters"), include_removed)),
         )
@@ -140,9 +144,9 @@ def parameter_changes(
 
 
 def change_events(changes: DataFrame, keys: Sequence[str] = DATABASE) -> DataFrame:
-    """Changes nested per detection; a snapshot tracks few settings, so the map stays small."""
+    """Changes nested per newer snapshot; a snapshot tracks few settings, so the map stays small."""
     value = F.struct("from", "to", "change_type", "detected_at")
-    return changes.groupBy(*keys, "detected_at").agg(
+    return changes.groupBy(*keys, "detected_at", "id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("parameter", value.alias("change"))))).alias("changes")
     )
 
@@ -274,7 +278,7 @@ def snapshot_status(
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.date_format("executed_at", "yyyy-MM-dd HH:mm")), asc=False).alias("recent"))
     )
-    events = changes.groupBy(*keys).agg(F.count_distinct("detected_at").alias("change_events"))
+    events = changes.groupBy(*keys).agg(F.count_distinct("detected_at", "id").alias("change_events"))
     out = totals.join(times, list(keys), "left").join(events, list(keys), "left")
     return out.fillna(0, subset=["change_events"])
 

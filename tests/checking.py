@@ -30,7 +30,7 @@ def plain(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
     if isinstance(value, float):
-        return round(value, 6) + 0.0
+        return value + 0.0
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None).isoformat()
     return value

@@ -67,6 +67,15 @@ def test_change_rules(spark):
     assert changes(df, include_removed=True) == sorted(expected + [(2, "gone", "1", None, "change")], key=lambda r: r[1])
 
 
+def test_two_snapshots_of_one_moment_are_two_events(spark):
+    df = history(spark, {"a": "1"}, {"a": "2"}, {"a": "3"}).withColumn(
+        "executed_at", F.when(F.col("id") == 0, F.col("executed_at")).otherwise(F.lit("2024-01-09 00:00:00").cast("timestamp_ntz"))
+    )
+    found = snap.parameter_changes(df, datetime(2024, 12, 31), 366)
+    events = snap.change_events(found).orderBy("id").collect()
+    assert [(e.id, e.changes["a"]["from"], e.changes["a"]["to"]) for e in events] == [(1, "1", "2"), (2, "2", "3")]
+
+
 def test_a_snapshot_has_no_changes_to_itself(spark):
     df = history(spark, {"a": "1"}, {"a": "1"})
     assert changes(df) == []
