@@ -1,14 +1,6 @@
 """All registered queries; importing a module registers its own."""
 
-import importlib
-
+from registry import audit, compare, health, history, plans, profile, snapshots, store, streams  # noqa: F401
 from registry.base import ORACLES, QUERIES
 
-for _module in ("health", "snapshots", "store", "plans", "compare", "history", "profile", "audit", "streams"):
-    try:
-        importlib.import_module(f"registry.{_module}")
-    except ModuleNotFoundError as missing:
-        if missing.name != f"registry.{_module}":
-            raise
-
 __all__ = ["ORACLES", "QUERIES"]

@@ -22,21 +22,13 @@ def events(spark, sf):
     return sinks.file_stream(spark, sf, "events.parquet")
 
 
-def readings(spark, sf):
-    body = READINGS[READINGS.index("(") + 1 : -1]
-    select = body[len("SELECT ") : body.rindex(" FROM events")]
-    return events(spark, sf).selectExpr(*_split(select))
+def over_stream(spark, sf, select: str):
+    """A SELECT over ``events`` with the event stream in its place."""
+    return spark.sql(select.replace("FROM events", "FROM {events}"), events=events(spark, sf))
 
 
-def _split(columns: str) -> list[str]:
-    """Split a select list at its top-level commas."""
-    parts, depth, start = [], 0, 0
-    for i, ch in enumerate(columns):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            parts.append(columns[start:i])
-            start = i + 1
-    return [*parts, columns[start:]]
+def readings(spark, sf):
+    return over_stream(spark, sf, READINGS[READINGS.index("(") + 1 : -1])
 
 
 @register(
@@ -67,9 +59,7 @@ def stream_snapshot_windows(spark, sf):
     WHERE status = 'success' QUALIFY row_number() OVER (PARTITION BY database_id, check_type ORDER BY executed_at DESC, id DESC) = 1""",
 )
 def stream_latest_per_check(spark, sf):
-    body = VIEWS["v_check_results"].strip()
-    columns = _split(body[len("SELECT ") : body.rindex("FROM events")])
-    latest = snapshots.stream_latest_per_check(events(spark, sf).selectExpr(*columns))
+    latest = snapshots.stream_latest_per_check(over_stream(spark, sf, VIEWS["v_check_results"]))
     out = sinks.run_upserts(latest, ["database_id", "check_type"], "stream-latest")
     return out.select("database_id", "check_type", "id", *seconds("executed_at"), "execution_time_ms")
 
