@@ -14,6 +14,7 @@ the base rules decide; repeated rows and null ids are judged row by row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ def gram_counts(docs: DataFrame, trusted: list[int]) -> DataFrame:
     """Per bucket the trigrams of trusted documents and of all documents; each task sends one row a bucket."""
     chosen = frozenset(trusted)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             held: tuple[list, list] = ([], [])
@@ -76,7 +77,7 @@ def gram_counts(docs: DataFrame, trusted: list[int]) -> DataFrame:
             names=["bucket", "trusted", "raw"],
         )
 
-    counts = docs.select("doc_id", "text").mapInArrow(count, "bucket int, trusted long, raw long")
+    counts = docs.select("doc_id", "text").mapInArrow(tally, "bucket int, trusted long, raw long")
     return counts.groupBy("bucket").agg(F.sum("trusted").alias("trusted"), F.sum("raw").alias("raw"))
 
 
@@ -107,14 +108,16 @@ def repeat_words(words: list[bytes]) -> int:
     if n < 4:
         return 0
     ids: dict[bytes, int] = {}
-    w = np.array([ids.setdefault(x, len(ids)) for x in words], np.int64)
-    if len(ids) < 1 << 21:
-        windows = (w[:-2] * len(ids) + w[1:-1]) * len(ids) + w[2:]
+    w = np.fromiter(map(ids.setdefault, words, count()), np.int64, n)  # a word's number is its first place
+    if n < 1 << 21:
+        windows = (w[:-2] * n + w[1:-1]) * n + w[2:]
     else:  # the product would overflow: number the pairs first
-        pairs = np.unique(w[:-1] * len(ids) + w[1:], return_inverse=True)[1]
-        windows = pairs[:-1] * len(ids) + w[2:]
-    _, which, found = np.unique(windows, return_inverse=True, return_counts=True)
-    at = np.flatnonzero(found[which] > 1)
+        windows = np.unique(w[:-1] * n + w[1:], return_inverse=True)[1][:-1] * n + w[2:]
+    ordered = np.sort(windows)
+    repeated = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(repeated):
+        return 0
+    at = np.flatnonzero(np.isin(windows, repeated))
     hit = np.zeros(n, bool)
     for k in range(3):
         hit[at + k] = True
