@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op1_bpe_encoding
 from .quality import op6_quality_rules
+from .secrets import op7_secret_scans
 
 QUERIES = {
+    "op1_bpe_encoding": op1_bpe_encoding,
     "op6_quality_rules": op6_quality_rules,
+    "op7_secret_scans": op7_secret_scans,
 }
 
 ORACLES: dict[str, str] = {}
