@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from . import mixing
 from .bpe import op1_bpe_encoding
+from .mixing import op4_mixing
 from .quality import op6_quality_rules
 from .secrets import op7_secret_scans
+from .simhash import op5_simhash_near_dedup
 
 QUERIES = {
     "op1_bpe_encoding": op1_bpe_encoding,
+    "op4_mixing": op4_mixing,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE}
