@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, mixing
 from .bpe import op1_bpe_encoding
+from .chat import op9_chat_formatting
+from .fingerprint import op8_document_fingerprints
 from .mixing import op4_mixing
 from .quality import op6_quality_rules
 from .secrets import op7_secret_scans
@@ -15,6 +17,8 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
+    "op8_document_fingerprints": op8_document_fingerprints,
+    "op9_chat_formatting": op9_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op9_chat_formatting": chat.ORACLE}
