@@ -6,13 +6,17 @@ from . import chat, mixing
 from .bpe import op1_bpe_encoding
 from .chat import op9_chat_formatting
 from .fingerprint import op8_document_fingerprints
+from .html import op2_html_extraction
 from .mixing import op4_mixing
 from .quality import op6_quality_rules
 from .secrets import op7_secret_scans
 from .simhash import op5_simhash_near_dedup
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_bpe_encoding": op1_bpe_encoding,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
