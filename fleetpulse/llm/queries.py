@@ -11,6 +11,7 @@ from .mixing import op4_mixing
 from .quality import op6_quality_rules
 from .secrets import op7_secret_scans
 from .simhash import op5_simhash_near_dedup
+from .suffixes import op10_suffix_array_dedup
 from .toxicity import op3_toxicity
 
 QUERIES = {
@@ -23,6 +24,7 @@ QUERIES = {
     "op7_secret_scans": op7_secret_scans,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op9_chat_formatting": chat.ORACLE}
