@@ -1,0 +1,5 @@
+"""Shared by the tests of this folder."""
+
+
+def by_rows(df) -> list[tuple]:
+    return sorted(map(tuple, df.collect()), key=repr)
