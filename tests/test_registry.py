@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as driver
 from checking import check, connect
+from registry.catalogue import ORACLES, QUERIES
 
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "PythonRDD")
 
 
