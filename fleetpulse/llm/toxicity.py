@@ -34,13 +34,16 @@ from .common import table, text_column, written
 EXAMPLES = 10_000
 #: Bound of the indexed terms, the most telling ones first.
 TERMS = 4096
-LEAST_DOCS = 4
-LEAST_CHI2 = 10.0
+LEAST_DOCS = 5
+LEAST_CHI2 = 40.0
 PREFIXES = (3, 4, 5, 6, 7)
 NEIGHBOURS = 15
 BLOCK = 64
-#: Weight of the prior against the votes, whose weights are squared cosines.
-PRIOR_WEIGHT = 0.05
+#: A vote weighs 1 / (``NEAR`` + 1 - cosine), the prior as much as a distant vote.
+NEAR = 0.02
+PRIOR_WEIGHT = 1.0
+#: All words that no term fits are one more term, so the share of telling words counts and not only their kind.
+OTHERS_IDF = 2.0
 FOLDS = 5
 
 SCORED = "score double, predicted int, n_terms int, evidence string"
@@ -66,7 +69,7 @@ class ExampleIndex:
     """Block-max inverted index of the labelled examples; its size is bounded by ``EXAMPLES`` and ``TERMS``."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # of the terms, and last of all other words
     labels: np.ndarray  # of the indexed examples
     ids: list[int]
     starts: np.ndarray  # [term, block]: where the postings of the block begin
@@ -80,7 +83,7 @@ class ExampleIndex:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sorted terms of a text and their weights, of length one."""
-        known, found = self.token_terms, Counter()
+        known, found, others = self.token_terms, Counter(), 0
         for token in _tokens(text):
             ids = known.get(token)
             if ids is None:
@@ -90,6 +93,10 @@ class ExampleIndex:
                 known[token] = ids
             if ids:
                 found.update(ids)
+            else:
+                others += 1
+        if found and others:
+            found[len(self.vocabulary)] = others
         terms = np.array(sorted(found), np.int64)
         weights = np.array([1 + math.log(found[t]) for t in terms.tolist()]) * self.idf[terms]
         return terms, weights / math.sqrt(float((weights**2).sum())) if len(terms) else weights
@@ -120,7 +127,7 @@ class ExampleIndex:
             if len(self.answers) >= _CACHE // 40:
                 self.answers.clear()
             best = self.nearest(terms, weights)
-            votes = [(s * s, self.labels[i]) for s, i in best]
+            votes = [(1 / (NEAR + 1 - s), self.labels[i]) for s, i in best]
             mass = sum(v for v, _ in votes) + PRIOR_WEIGHT
             p = min(1.0, (sum(v * y for v, y in votes) + PRIOR_WEIGHT * self.share) / mass)
             shown = ",".join(f"{self.ids[i]}:{self.labels[i]}:{s:.3f}" for s, i in best[:3])
@@ -182,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> ExampleInd
     n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     found = telling_terms(sample, n, n_toxic).collect() if 0 < n_toxic < n else []
     vocabulary = {r["term"]: i for i, r in enumerate(found)}
-    idf = np.array([math.log((n + 1) / (r["docs"] + 1)) + 1 for r in found])
+    idf = np.array([*(math.log((n + 1) / (r["docs"] + 1)) + 1 for r in found), OTHERS_IDF])
     empty = np.zeros(0)
     index = ExampleIndex(vocabulary, idf, empty, [], empty, empty, empty, empty, 0.0, 0.0)
 
@@ -196,15 +203,15 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> ExampleInd
     rows = vectors.where(F.size("v.terms") > 0).select("toxic", "doc_id", "v.*").collect()
     rows.sort(key=lambda r: (r["terms"], r["doc_id"]))  # like examples share blocks, which makes their bounds tight
     blocks = -(-len(rows) // BLOCK)
-    posted: list[list[tuple[int, float]]] = [[] for _ in found]
+    posted: list[list[tuple[int, float]]] = [[] for _ in idf]
     for i, r in enumerate(rows):
         for t, w in zip(r["terms"], r["weights"]):
             posted[t].append((i, w))
     flat = [x for p in posted for x in p]
     index.posted = np.array([i for i, _ in flat], np.int64)
     index.weights = np.array([w for _, w in flat], np.float64)
-    index.starts = np.zeros((len(found), blocks + 1), np.int64)
-    index.block_max = np.zeros((len(found), blocks))
+    index.starts = np.zeros((len(idf), blocks + 1), np.int64)
+    index.block_max = np.zeros((len(idf), blocks))
     at = 0
     for t, p in enumerate(posted):
         index.starts[t] = at + np.searchsorted([i for i, _ in p], np.arange(blocks + 1) * BLOCK)
