@@ -68,10 +68,12 @@ FORBIDDEN_KEYWORDS = ("insert", "update", "delete", "alter", "drop", "create", "
 CHECK_EXPIRY = "5 minutes"
 SNAPSHOT_RETENTION_DAYS = 90
 RESULT_RETENTION_DAYS = 30
-SNAPSHOT_LIST_LIMIT = 90
 MAX_ROWS = 1000
 CHART_MAX_ROWS = 50
-TYPE_SAMPLE_ROWS = 10
+# Fixed values of type inference.
+TYPE_SHARE = 0.7
+NUMBER_TEXT = r"^-?\d+(\.\d+)?$"
+DATE_TEXT = r"^\d{4}-\d{2}-\d{2}"
 
 # Bands of one number.  UPPER bands hold up to and including their
 # bound, LOWER bands from their bound on, ABOVE bands for values over it; the

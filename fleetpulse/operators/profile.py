@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetpulse.constants import CHART_MAX_ROWS, TYPE_SAMPLE_ROWS
+from fleetpulse.constants import CHART_MAX_ROWS, DATE_TEXT, NUMBER_TEXT, TYPE_SHARE
 from fleetpulse.functions.numbers import is_numeric_text, parse_numeric
 from fleetpulse.functions.text import strip, truncate_text
 
@@ -84,33 +84,32 @@ def cell_class_profile(result: DataFrame) -> DataFrame:
     )
 
 
-def infer_column_type(result: DataFrame, order: Sequence[str], sample: int = TYPE_SAMPLE_ROWS) -> DataFrame:
-    """Type of each column from its first ``sample`` cells in ``order``.
+def infer_column_type(result: DataFrame, share: float = TYPE_SHARE) -> DataFrame:
+    """Type of each column from all its cells, in one aggregate.
 
-    More than 70 % numbers make a number column, more than 70 % ISO dates a date.
+    More than ``share`` of numbers make a number column, of ISO dates a date column.
     """
-    head = result.orderBy(*order).limit(sample)
 
     def measure(name: str) -> Column:
         text = strip(F.col(name).cast("string"))
-        number = text.rlike(r"^-?\d+(\.\d+)?$")
-        day = text.rlike(r"^\d{4}-\d{2}-\d{2}")
-        share = [F.try_divide(F.count_if(hit), F.count("*")) for hit in (number, ~number & day)]
-        return (
-            F.when(share[0] > 0.7, "number").when(share[1] > 0.7, "date").otherwise("text").alias(name)
-        )
-
-    row = head.agg(*[measure(c) for c in result.columns])
+        number = text.rlike(NUMBER_TEXT)
+        day = text.rlike(DATE_TEXT)
+        part = [F.try_divide(F.count_if(hit), F.count("*")) for hit in (number, ~number & day)]
+        return F.when(part[0] > share, "number").when(part[1] > share, "date").otherwise("text").alias(name)
+
+    row = result.agg(*[measure(c) for c in result.columns])
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("inferred_type")) for c in result.columns])
     return row.select(F.inline(entries))
 
 
 def chart_series(result: DataFrame, label: str | None = None, value: str | None = None) -> DataFrame:
-    """(label, value) of the first two columns; rows without a number are dropped."""
+    """Label, its short form for an axis, and value of the first two columns; rows without a number are dropped."""
     label = label or result.columns[0]
     value = value or result.columns[1]
+    text = F.coalesce(F.col(label).cast("string"), F.lit(""))
     return result.select(
-        truncate_text(F.coalesce(F.col(label).cast("string"), F.lit("")), 30).alias("label"),
+        text.alias("label"),
+        truncate_text(text, 30).alias("short_label"),
         _numeric(result, value).cast("double").alias("value"),
     ).filter(F.col("value").isNotNull())
 

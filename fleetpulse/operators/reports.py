@@ -1,13 +1,17 @@
 """Health checks and curated ranking reports over telemetry.
 
-Top-k reports end in ``orderBy(...).limit(k)`` on the final rows, which Spark
-runs as TakeOrderedAndProject: each task keeps k rows.  NULL counters sort
-first, and the last sort keys are the object's names so that ties are stable.
+Reports rank within each database (``keys``) and keep its columns; with
+``keys=()`` a fleet is ranked as one.  They expect current counters: reduce a
+history with ``latest_capture`` first.  NULL counters sort first, and the last
+sort keys are the object's names so that ties are stable.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.constants import REVIEWED_SETTINGS, SETTING_ADVICE
@@ -17,6 +21,7 @@ from fleetpulse.functions.sizes import bytes_to_mb, setting_bytes, size_pretty
 from fleetpulse.functions.text import qualified_name
 
 MIB = 1024 * 1024
+KEYS = ("database_id",)
 
 
 def schema_filter(df: DataFrame, schema: str | None) -> DataFrame:
@@ -50,101 +55,127 @@ def is_bloated(min_share: float = 0.1, min_dead: int = 1000, min_bytes: int = MI
     )
 
 
-def without_constraint(indexes: DataFrame, constraints: DataFrame) -> DataFrame:
-    """Indexes that back no constraint, with the meaning of ``NOT IN``.
+def latest_capture(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows of each database's newest capture, out of a telemetry history with ``captured_at``.
 
-    An anti join on the ids can be hashed or sorted at any size, where ``NOT IN``
-    itself would have to broadcast the constraints.  The NULL rule is kept: one
-    NULL constraint id, or a NULL index id beside any constraint, removes the row.
+    The newest times are one row per database, joined back; no history is sorted.
     """
-    facts = constraints.agg(
-        F.coalesce(F.bool_or(F.col("conindid").isNull()), F.lit(False)).alias("has_null"),
-        F.count("*").alias("n"),
-    ).select(F.struct("has_null", "n").alias("facts"))
-    kept = indexes.join(
-        constraints.select(F.col("conindid").alias("indexrelid")).filter(F.col("indexrelid").isNotNull()),
-        "indexrelid",
-        "left_anti",
-    )
-    known = facts.scalar()
-    return (
-        kept.withColumn("_facts", known)
-        .filter((F.col("_facts.n") == 0) | (~F.col("_facts.has_null") & F.col("indexrelid").isNotNull()))
-        .drop("_facts")
-    )
+    left, right = df.alias("l"), df.groupBy(*keys).agg(F.max("captured_at").alias("captured_at")).alias("r")
+    return left.join(right, _same((*keys, "captured_at")), "left_semi")
+
+
+def _same(names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names])
+
+
+def _top(df: DataFrame, keys: Sequence[str], limit: int | None, *order: Column | str) -> DataFrame:
+    """First ``limit`` rows in ``order`` of each key, or of all rows without keys; all rows without a limit.
+
+    Per key, Spark cuts the rows to ``limit`` in every map task before the shuffle.
+    """
+    if limit is None:
+        return df
+    if not keys:
+        return df.orderBy(*order).limit(limit)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+
+
+def _down(name: str) -> Column:
+    return F.col(name).desc_nulls_first()
+
+
+def without_constraint(indexes: DataFrame, constraints: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Indexes that back no constraint of their own database, with the meaning of ``NOT IN``.
+
+    Object ids repeat across databases, so both the anti join and the NULL rule
+    go by ``keys``: in a database, one NULL constraint id removes every index, and
+    an index without id goes if there is any constraint.  An anti join can be
+    hashed or sorted at any size, where ``NOT IN`` would broadcast the constraints.
+    """
+    own = constraints.select(*keys, F.col("conindid").alias("indexrelid"))
+    left, right = indexes.alias("l"), own.filter(F.col("indexrelid").isNotNull()).alias("r")
+    same_id = F.col("l.indexrelid") == F.col("r.indexrelid")
+    kept = left.join(right, _same(keys) & same_id if keys else same_id, "left_anti")
+    facts = own.groupBy(*keys).agg(F.bool_or(F.col("indexrelid").isNull()).alias("_has_null"), F.count("*").alias("_n"))
+    if keys:
+        left, right = kept.alias("l"), facts.alias("r")
+        known = left.join(right, _same(keys), "left").select("l.*", "_has_null", "_n")
+    else:
+        known = kept.withColumn("_facts", facts.select(F.struct("_has_null", "_n").alias("f")).scalar())
+        known = known.select("*", "_facts._has_null", "_facts._n").drop("_facts")
+    none = F.coalesce(F.col("_n"), F.lit(0)) == 0
+    return known.filter(none | (~F.col("_has_null") & F.col("indexrelid").isNotNull())).drop("_has_null", "_n")
 
 
 def unused_indexes(
-    indexes: DataFrame, constraints: DataFrame, schema: str | None = "public", max_scans: int = 50, limit: int = 10
+    indexes: DataFrame,
+    constraints: DataFrame,
+    schema: str | None = "public",
+    max_scans: int = 50,
+    limit: int | None = 10,
+    keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     rare = schema_filter(indexes, schema).filter(F.col("idx_scan") < max_scans)
-    return (
-        without_constraint(rare, constraints)
-        .orderBy(F.col("index_bytes").desc_nulls_first(), "schemaname", "indexrelname")
-        .limit(limit)
-        .select(
-            _table().alias("table"),
-            F.col("indexrelname").alias("index"),
-            size_pretty(F.col("index_bytes")).alias("index_size"),
-            F.col("idx_scan").alias("index_scans"),
-        )
+    free = without_constraint(rare, constraints, keys)
+    return _top(free, keys, limit, _down("index_bytes"), "schemaname", "indexrelname").select(
+        *keys,
+        _table().alias("table"),
+        F.col("indexrelname").alias("index"),
+        size_pretty(F.col("index_bytes")).alias("index_size"),
+        F.col("idx_scan").alias("index_scans"),
     )
 
 
 def missing_indexes(
-    tables: DataFrame, schema: str | None = "public", min_seq: int = 1000, limit: int = 10
+    tables: DataFrame,
+    schema: str | None = "public",
+    min_seq: int = 1000,
+    limit: int | None = 10,
+    keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    return (
-        schema_filter(tables, schema)
-        .filter((F.col("seq_scan") > min_seq) & (F.col("idx_scan") == 0))
-        .orderBy(F.col("seq_scan").desc_nulls_first(), "schemaname", "relname")
-        .limit(limit)
-        .select(_table().alias("table"), "seq_scan", "idx_scan", size_pretty(F.col("total_bytes")).alias("table_size"))
+    bare = schema_filter(tables, schema).filter((F.col("seq_scan") > min_seq) & (F.col("idx_scan") == 0))
+    return _top(bare, keys, limit, _down("seq_scan"), "schemaname", "relname").select(
+        *keys, _table().alias("table"), "seq_scan", "idx_scan", size_pretty(F.col("total_bytes")).alias("table_size")
     )
 
 
 def sequential_scans(
-    tables: DataFrame, schema: str | None = "public", min_seq: int = 100, limit: int = 10
+    tables: DataFrame,
+    schema: str | None = "public",
+    min_seq: int = 100,
+    limit: int | None = 10,
+    keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    return (
-        schema_filter(tables, schema)
-        .filter(F.col("seq_scan") > min_seq)
-        .orderBy(F.col("seq_scan").desc_nulls_first(), "schemaname", "relname")
-        .limit(limit)
-        .select(_table().alias("table"), "seq_scan", "seq_tup_read", size_pretty(F.col("total_bytes")).alias("table_size"))
+    scanned = schema_filter(tables, schema).filter(F.col("seq_scan") > min_seq)
+    return _top(scanned, keys, limit, _down("seq_scan"), "schemaname", "relname").select(
+        *keys, _table().alias("table"), "seq_scan", "seq_tup_read", size_pretty(F.col("total_bytes")).alias("table_size")
     )
 
 
-def slow_queries(statements: DataFrame, limit: int = 10) -> DataFrame:
-    return (
-        statements.orderBy(F.col("total_exec_time").desc_nulls_first(), "query")
-        .limit(limit)
-        .select("query", "calls", "total_exec_time", "mean_exec_time", "rows")
+def slow_queries(statements: DataFrame, limit: int | None = 10, keys: Sequence[str] = KEYS) -> DataFrame:
+    return _top(statements, keys, limit, _down("total_exec_time"), "query").select(
+        *keys, "query", "calls", "total_exec_time", "mean_exec_time", "rows"
     )
 
 
-def table_bloat(tables: DataFrame, schema: str | None = "public", limit: int = 10) -> DataFrame:
-    return (
-        schema_filter(tables, schema)
-        .filter(is_bloated())
-        .withColumn("dead_tuple_pct", dead_tuple_pct())
-        .orderBy(
-            F.col("dead_tuple_pct").desc_nulls_first(), F.col("n_dead_tup").desc_nulls_first(), "schemaname", "relname"
-        )
-        .limit(limit)
-        .select(
-            _table().alias("table_name"),
-            size_pretty(F.col("total_bytes")).alias("table_size"),
-            "n_dead_tup",
-            "n_live_tup",
-            "dead_tuple_pct",
-            bytes_to_mb(F.col("total_bytes")).alias("table_mb"),
-            bloat_severity(F.col("dead_tuple_pct")).alias("severity"),
-            "last_vacuum",
-            "last_autovacuum",
-            "last_analyze",
-            "last_autoanalyze",
-        )
+def table_bloat(
+    tables: DataFrame, schema: str | None = "public", limit: int | None = 10, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    bloated = schema_filter(tables, schema).filter(is_bloated()).withColumn("dead_tuple_pct", dead_tuple_pct())
+    return _top(bloated, keys, limit, _down("dead_tuple_pct"), _down("n_dead_tup"), "schemaname", "relname").select(
+        *keys,
+        _table().alias("table_name"),
+        size_pretty(F.col("total_bytes")).alias("table_size"),
+        "n_dead_tup",
+        "n_live_tup",
+        "dead_tuple_pct",
+        bytes_to_mb(F.col("total_bytes")).alias("table_mb"),
+        bloat_severity(F.col("dead_tuple_pct")).alias("severity"),
+        "last_vacuum",
+        "last_autovacuum",
+        "last_analyze",
+        "last_autoanalyze",
     )
 
 
@@ -152,11 +183,11 @@ def settings_in_list(settings: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return settings.filter(F.col("name").isin(*names))
 
 
-def parameter_settings(settings: DataFrame) -> DataFrame:
+def parameter_settings(settings: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Reviewed settings with their advice, looked up in a literal map of six entries."""
     advice = F.create_map(*[F.lit(x) for pair in SETTING_ADVICE.items() for x in pair])
     return settings_in_list(settings, REVIEWED_SETTINGS).select(
-        *[c for c in settings.columns if c == "database_id"],
+        *keys,
         "name",
         "setting",
         "unit",
@@ -177,84 +208,76 @@ def settings_with_advice(settings: DataFrame, advice: DataFrame) -> DataFrame:
     return settings.join(advice, "name", "left")
 
 
-def table_sizes(tables: DataFrame, schema: str | None = "public", limit: int = 10) -> DataFrame:
-    return (
-        schema_filter(tables, schema)
-        .orderBy(F.col("total_bytes").desc_nulls_first(), "relname")
-        .limit(limit)
-        .select(F.col("relname").alias("table_name"), F.col("total_bytes").alias("size_bytes"))
+def table_sizes(
+    tables: DataFrame, schema: str | None = "public", limit: int | None = 10, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    return _top(schema_filter(tables, schema), keys, limit, _down("total_bytes"), "relname", "schemaname").select(
+        *keys, F.col("relname").alias("table_name"), F.col("total_bytes").alias("size_bytes")
     )
 
 
-def table_activity(tables: DataFrame, schema: str | None = "public", limit: int = 8) -> DataFrame:
+def table_activity(
+    tables: DataFrame, schema: str | None = "public", limit: int | None = 8, keys: Sequence[str] = KEYS
+) -> DataFrame:
     changed = F.col("n_tup_ins") + F.col("n_tup_upd") + F.col("n_tup_del")
-    return (
-        schema_filter(tables, schema)
-        .orderBy(changed.desc_nulls_first(), "schemaname", "relname")
-        .limit(limit)
-        .select(
-            _table().alias("table"),
-            F.col("n_tup_ins").alias("inserts"),
-            F.col("n_tup_upd").alias("updates"),
-            F.col("n_tup_del").alias("deletes"),
-        )
+    ranked = _top(schema_filter(tables, schema), keys, limit, changed.desc_nulls_first(), "schemaname", "relname")
+    return ranked.select(
+        *keys,
+        _table().alias("table"),
+        F.col("n_tup_ins").alias("inserts"),
+        F.col("n_tup_upd").alias("updates"),
+        F.col("n_tup_del").alias("deletes"),
     )
 
 
-def index_usage(indexes: DataFrame, schema: str | None = "public", limit: int = 10) -> DataFrame:
-    return (
-        schema_filter(indexes, schema)
-        .filter(F.col("idx_scan") > 0)
-        .orderBy(F.col("idx_scan").desc_nulls_first(), "schemaname", "indexrelname")
-        .limit(limit)
-        .select(_index().alias("index"), F.col("idx_scan").alias("scans"), F.col("idx_tup_read").alias("tuples_read"))
+def index_usage(
+    indexes: DataFrame, schema: str | None = "public", limit: int | None = 10, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    used = schema_filter(indexes, schema).filter(F.col("idx_scan") > 0)
+    return _top(used, keys, limit, _down("idx_scan"), "schemaname", "indexrelname").select(
+        *keys, _index().alias("index"), F.col("idx_scan").alias("scans"), F.col("idx_tup_read").alias("tuples_read")
     )
 
 
-def never_used_indexes(indexes: DataFrame, schema: str | None = "public", limit: int = 12) -> DataFrame:
-    return (
-        schema_filter(indexes, schema)
-        .filter(F.col("idx_scan") == 0)
-        .orderBy(F.col("index_bytes").desc_nulls_first(), "schemaname", "indexrelname")
-        .limit(limit)
-        .select(
-            _index().alias("index"), F.col("idx_scan").alias("scans"), size_pretty(F.col("index_bytes")).alias("index_size")
-        )
+def never_used_indexes(
+    indexes: DataFrame, schema: str | None = "public", limit: int | None = 12, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    idle = schema_filter(indexes, schema).filter(F.col("idx_scan") == 0)
+    return _top(idle, keys, limit, _down("index_bytes"), "schemaname", "indexrelname").select(
+        *keys,
+        _index().alias("index"),
+        F.col("idx_scan").alias("scans"),
+        size_pretty(F.col("index_bytes")).alias("index_size"),
     )
 
 
-def slowest_queries(statements: DataFrame, limit: int = 10) -> DataFrame:
-    return (
-        statements.orderBy(F.col("mean_exec_time").desc_nulls_first(), "query")
-        .limit(limit)
-        .select(
-            "query",
-            "calls",
-            round_half_up(F.col("mean_exec_time"), 2).alias("mean_time_ms"),
-            round_half_up(F.col("total_exec_time"), 2).alias("total_time_ms"),
-        )
+def slowest_queries(statements: DataFrame, limit: int | None = 10, keys: Sequence[str] = KEYS) -> DataFrame:
+    return _top(statements, keys, limit, _down("mean_exec_time"), "query").select(
+        *keys,
+        "query",
+        "calls",
+        round_half_up(F.col("mean_exec_time"), 2).alias("mean_time_ms"),
+        round_half_up(F.col("total_exec_time"), 2).alias("total_time_ms"),
     )
 
 
-def dead_rows_report(tables: DataFrame, schema: str | None = "public", limit: int = 10) -> DataFrame:
-    return (
-        schema_filter(tables, schema)
-        .filter(F.col("n_dead_tup") > 0)
-        .orderBy(F.col("n_dead_tup").desc_nulls_first(), "relname")
-        .limit(limit)
-        .select(
-            F.col("relname").alias("table"),
-            F.col("n_live_tup").alias("live_rows"),
-            F.col("n_dead_tup").alias("dead_rows"),
-            size_pretty(F.col("total_bytes")).alias("table_size"),
-        )
+def dead_rows_report(
+    tables: DataFrame, schema: str | None = "public", limit: int | None = 10, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    dead = schema_filter(tables, schema).filter(F.col("n_dead_tup") > 0)
+    return _top(dead, keys, limit, _down("n_dead_tup"), "relname", "schemaname").select(
+        *keys,
+        F.col("relname").alias("table"),
+        F.col("n_live_tup").alias("live_rows"),
+        F.col("n_dead_tup").alias("dead_rows"),
+        size_pretty(F.col("total_bytes")).alias("table_size"),
     )
 
 
-def health_card_counts(reports: dict[str, DataFrame]) -> DataFrame:
-    """Number of items per report."""
-    parts = [df.agg(F.count("*").alias("items")).select(F.lit(name).alias("report"), "items") for name, df in reports.items()]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    return stacked
+def health_card_counts(reports: dict[str, DataFrame], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Number of items per key and report; give reports without a limit to count all there is."""
+    parts = [
+        df.groupBy(*keys).agg(F.count("*").alias("items")).select(*keys, F.lit(name).alias("report"), "items")
+        for name, df in reports.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from fleetpulse.constants import (
     COMPARED_METRICS,
     NUMERIC_SETTINGS,
-    SNAPSHOT_LIST_LIMIT,
 )
 from fleetpulse.functions.ladders import metric_category, metric_status
 from fleetpulse.functions.numbers import metric_change
@@ -45,7 +44,7 @@ def between_dates(df: DataFrame, first: date, last: date) -> DataFrame:
     )
 
 
-def newest_snapshots(snapshots: DataFrame, rows: int = SNAPSHOT_LIST_LIMIT, keys: Sequence[str] = DATABASE) -> DataFrame:
+def newest_snapshots(snapshots: DataFrame, rows: int, keys: Sequence[str] = DATABASE) -> DataFrame:
     return newest_rows(snapshots, keys, ["executed_at", "id"], rows)
 
 
@@ -294,7 +293,13 @@ def metric_board(snapshots: DataFrame, keys: Sequence[str] = DATABASE) -> DataFr
 
 def timeline_rows(snapshots: DataFrame, keys: Sequence[str] = DATABASE) -> DataFrame:
     """The flat export columns of each snapshot."""
-    whole = ["bloated_tables", "total_connections", "active_connections", "high_seq_scan_tables"]
+    # The export's column titles, here and below.
+    whole = {
+        "bloated_tables": "Bloated Tables",
+        "total_connections": "Total Connections",
+        "active_connections": "Active Connections",
+        "high_seq_scan_tables": "High Seq Scan Tables",
+    }
     return snapshots.select(
         *keys,
         F.date_format("executed_at", "yyyy-MM-dd").alias("Date"),
@@ -302,10 +307,7 @@ def timeline_rows(snapshots: DataFrame, keys: Sequence[str] = DATABASE) -> DataF
         dig_metric("cache_hit_rate", None).alias("Cache Hit Rate %"),
         dig_metric("avg_query_time", None).alias("Avg Query Time (ms)"),
         dig_metric("p95_query_time", None).alias("P95 Query Time (ms)"),
-        *[
-            dig_metric(n, None).cast("long").alias(" ".join(w.capitalize() for w in n.split("_")))
-            for n in whole
-        ],
+        *[dig_metric(n, None).cast("long").alias(title) for n, title in whole.items()],
         size_pretty(F.col("metadata.size_bytes")).alias("Database Size"),
         version_token(F.col("metadata.version")).alias("Version"),
     )

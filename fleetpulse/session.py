@@ -38,12 +38,3 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = _local_roots.setdefault(context.applicationId, tempfile.mkdtemp(prefix="fleetpulse-"))
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a scan of few partitions one per core before work that costs much per row.
-
-    Large inputs already have more splits than that and pass unchanged, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

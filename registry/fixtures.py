@@ -13,8 +13,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.session import spread
-
 TABLES = ("orders", "lineitem", "part", "events", "nation", "customer", "supplier", "documents")
 
 VIEWS = {
@@ -42,12 +40,16 @@ FROM lineitem GROUP BY l_suppkey""",
 SELECT concat('db_', CAST(l_partkey % 5 AS STRING)) AS database_id,
   CASE WHEN l_partkey % 10 = 0 THEN 'archive' ELSE 'public' END AS schemaname,
   concat('rel_', CAST(l_partkey % 100 AS STRING)) AS relname,
-  concat('idx_', CAST(l_partkey AS STRING)) AS indexrelname, l_partkey AS indexrelid,
+  concat('idx_', CAST(l_partkey AS STRING)) AS indexrelname, CAST(FLOOR(l_partkey / 5) AS BIGINT) AS indexrelid,
   CAST(CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE COUNT(*) END AS BIGINT) AS idx_scan,
   CAST(SUM(l_linenumber) AS BIGINT) AS idx_tup_read,
   CAST(SUM(l_linenumber) * 8192 AS BIGINT) AS index_bytes
 FROM lineitem GROUP BY l_partkey""",
-    "v_constraints": "SELECT p_partkey AS conindid FROM part WHERE p_size <= 10",
+    # Object ids repeat across databases, and one database has constraints without an index.
+    "v_constraints": """
+SELECT concat('db_', CAST(p_partkey % 5 AS STRING)) AS database_id,
+  CASE WHEN p_partkey % 5 = 3 AND p_partkey % 3 = 0 THEN NULL ELSE CAST(FLOOR(p_partkey / 5) AS BIGINT) END AS conindid
+FROM part WHERE p_size <= 10""",
     "v_statements": """
 SELECT concat('db_', CAST(user_id % 5 AS STRING)) AS database_id,
   concat('SELECT * FROM ', event_type, ' WHERE user_id = ', CAST(user_id AS STRING)) AS query,
@@ -60,6 +62,25 @@ FROM events GROUP BY event_type, user_id""",
 SELECT concat('db_', CAST(o_custkey % 5 AS STRING)) AS database_id, o_orderkey AS pid,
   CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'idle' ELSE 'idle in transaction' END AS state
 FROM orders""",
+    # Telemetry as the collector leaves it: several captures, of which the last lacks dropped objects.
+    "v_table_history": """
+SELECT *, CASE WHEN database_id = 'db_1' THEN TIMESTAMP '2024-01-30 22:00:00' ELSE TIMESTAMP '2024-01-31 00:00:00' END AS captured_at
+FROM v_table_stats WHERE relid % 17 <> 5
+UNION ALL SELECT *, TIMESTAMP '2024-01-30 12:00:00' AS captured_at FROM v_table_stats
+UNION ALL SELECT *, TIMESTAMP '2024-01-29 12:00:00' AS captured_at FROM v_table_stats WHERE relid % 3 <> 0""",
+    "v_index_history": """
+SELECT *, CASE WHEN database_id = 'db_1' THEN TIMESTAMP '2024-01-30 22:00:00' ELSE TIMESTAMP '2024-01-31 00:00:00' END AS captured_at
+FROM v_index_stats WHERE indexrelid % 17 <> 5
+UNION ALL SELECT *, TIMESTAMP '2024-01-30 12:00:00' AS captured_at FROM v_index_stats
+UNION ALL SELECT *, TIMESTAMP '2024-01-29 12:00:00' AS captured_at FROM v_index_stats WHERE indexrelid % 3 <> 0""",
+    "v_statement_history": """
+SELECT *, CASE WHEN database_id = 'db_1' THEN TIMESTAMP '2024-01-30 22:00:00' ELSE TIMESTAMP '2024-01-31 00:00:00' END AS captured_at
+FROM v_statements WHERE calls % 7 <> 5
+UNION ALL SELECT *, TIMESTAMP '2024-01-30 12:00:00' AS captured_at FROM v_statements""",
+    # What the last captures hold.
+    "v_tables_now": "SELECT * FROM v_table_stats WHERE relid % 17 <> 5",
+    "v_indexes_now": "SELECT * FROM v_index_stats WHERE indexrelid % 17 <> 5",
+    "v_statements_now": "SELECT * FROM v_statements WHERE calls % 7 <> 5",
     # One row per database and setting name; the value follows the database's activity.
     "v_settings": """
 SELECT concat('db_', CAST(CAST(FLOOR(user_id / 10) AS BIGINT) AS STRING)) AS database_id,
@@ -252,7 +273,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Execution log rows whose ``execution_plan`` is EXPLAIN-style JSON text."""
-    ex = spread(view(spark, sf_dir, "v_executions"))
+    ex = view(spark, sf_dir, "v_executions")
 
     quoted = ("Relation_Name", "Index_Name", "Join_Type", "Sort_Method")
 

@@ -21,128 +21,157 @@ ADVICE = """CASE name WHEN 'shared_buffers' THEN 'Recommended: 25% of total syst
 REVIEWED = "('shared_buffers', 'work_mem', 'effective_cache_size', 'max_connections', 'maintenance_work_mem', 'checkpoint_completion_target')"
 
 
+def _now(spark, sf, name):
+    """The newest captures of a telemetry history."""
+    return reports.latest_capture(view(spark, sf, name))
+
+
+def _tables(spark, sf):
+    return _now(spark, sf, "v_table_history")
+
+
+def _indexes(spark, sf):
+    return _now(spark, sf, "v_index_history")
+
+
+def _statements(spark, sf):
+    return _now(spark, sf, "v_statement_history")
+
+
+def _top(rows: int, order: str) -> str:
+    return f"QUALIFY row_number() OVER (PARTITION BY database_id ORDER BY {order}) <= {rows}"
+
+
+FREE = "indexrelid NOT IN (SELECT conindid FROM v_constraints c WHERE c.database_id = i.database_id)"
+UNUSED = f"v_indexes_now i WHERE {PUBLIC} AND idx_scan < 50 AND {FREE}"
+DEAD = f"""v_tables_now WHERE {PUBLIC} AND n_live_tup + n_dead_tup > 0
+  AND (n_dead_tup * 10 > n_live_tup + n_dead_tup OR n_dead_tup > 1000) AND total_bytes > 1048576"""
+
+
 @register(
     "unused_indexes",
-    f"""SELECT concat(schemaname, '.', relname) AS "table", indexrelname AS "index", {pretty('index_bytes')} AS index_size,
-      idx_scan AS index_scans FROM v_index_stats
-    WHERE {PUBLIC} AND idx_scan < 50 AND indexrelid NOT IN (SELECT conindid FROM v_constraints)
-    ORDER BY index_bytes DESC NULLS FIRST, schemaname, indexrelname LIMIT 10""",
+    f"""SELECT database_id, concat(schemaname, '.', relname) AS "table", indexrelname AS "index",
+      {pretty('index_bytes')} AS index_size, idx_scan AS index_scans
+    FROM (SELECT * FROM {UNUSED}) u {_top(10, "index_bytes DESC NULLS FIRST, schemaname, indexrelname")}""",
 )
-def unused_indexes(spark, sf):
-    return reports.unused_indexes(view(spark, sf, "v_index_stats"), view(spark, sf, "v_constraints"))
+def unused_indexes(spark, sf, limit=10):
+    return reports.unused_indexes(_indexes(spark, sf), view(spark, sf, "v_constraints"), limit=limit)
 
 
 @register(
     "unused_index_antijoin",
-    """SELECT indexrelid, indexrelname, idx_scan FROM v_index_stats
-    WHERE indexrelid NOT IN (SELECT conindid FROM v_constraints)""",
+    f"SELECT database_id, indexrelid, indexrelname, idx_scan FROM v_indexes_now i WHERE {FREE}",
 )
 def unused_index_antijoin(spark, sf):
-    kept = reports.without_constraint(view(spark, sf, "v_index_stats"), view(spark, sf, "v_constraints"))
-    return kept.select("indexrelid", "indexrelname", "idx_scan")
+    kept = reports.without_constraint(_indexes(spark, sf), view(spark, sf, "v_constraints"))
+    return kept.select("database_id", "indexrelid", "indexrelname", "idx_scan")
 
 
 @register(
     "missing_indexes",
-    f"""SELECT concat(schemaname, '.', relname) AS "table", seq_scan, idx_scan, {pretty('total_bytes')} AS table_size
-    FROM v_table_stats WHERE {PUBLIC} AND seq_scan > 180 AND idx_scan = 0
-    ORDER BY seq_scan DESC NULLS FIRST, schemaname, relname LIMIT 10""",
+    f"""SELECT database_id, concat(schemaname, '.', relname) AS "table", seq_scan, idx_scan, {pretty('total_bytes')} AS table_size
+    FROM v_tables_now WHERE {PUBLIC} AND seq_scan > 180 AND idx_scan = 0 {_top(10, "seq_scan DESC NULLS FIRST, schemaname, relname")}""",
 )
 def missing_indexes(spark, sf):
-    return reports.missing_indexes(view(spark, sf, "v_table_stats"), min_seq=180)
+    return reports.missing_indexes(_tables(spark, sf), min_seq=180)
 
 
 @register(
     "sequential_scans",
-    f"""SELECT concat(schemaname, '.', relname) AS "table", seq_scan, seq_tup_read, {pretty('total_bytes')} AS table_size
-    FROM v_table_stats WHERE {PUBLIC} AND seq_scan > 100
-    ORDER BY seq_scan DESC NULLS FIRST, schemaname, relname LIMIT 10""",
+    f"""SELECT database_id, concat(schemaname, '.', relname) AS "table", seq_scan, seq_tup_read, {pretty('total_bytes')} AS table_size
+    FROM v_tables_now WHERE {PUBLIC} AND seq_scan > 100 {_top(10, "seq_scan DESC NULLS FIRST, schemaname, relname")}""",
 )
 def sequential_scans(spark, sf):
-    return reports.sequential_scans(view(spark, sf, "v_table_stats"))
+    return reports.sequential_scans(_tables(spark, sf))
 
 
 @register(
     "slow_queries",
-    """SELECT query, calls, total_exec_time, mean_exec_time, "rows" FROM v_statements
-    ORDER BY total_exec_time DESC NULLS FIRST, query LIMIT 10""",
+    f"""SELECT database_id, query, calls, total_exec_time, mean_exec_time, "rows" FROM v_statements_now
+    {_top(10, "total_exec_time DESC NULLS FIRST, query")}""",
 )
-def slow_queries(spark, sf):
-    return reports.slow_queries(view(spark, sf, "v_statements"))
+def slow_queries(spark, sf, limit=10):
+    return reports.slow_queries(_statements(spark, sf), limit)
 
 
 @register(
     "table_bloat",
-    f"""SELECT concat(schemaname, '.', relname) AS table_name, {pretty('total_bytes')} AS table_size, n_dead_tup, n_live_tup,
-      {PCT} AS dead_tuple_pct, total_bytes // 1048576 AS table_mb,
+    f"""SELECT database_id, concat(schemaname, '.', relname) AS table_name, {pretty('total_bytes')} AS table_size, n_dead_tup,
+      n_live_tup, {PCT} AS dead_tuple_pct, total_bytes // 1048576 AS table_mb,
       CASE WHEN {PCT} > 50 THEN 'danger' ELSE 'warning' END AS severity,
       {sec('last_vacuum')} AS last_vacuum, {sec('last_autovacuum')} AS last_autovacuum,
       {sec('last_analyze')} AS last_analyze, {sec('last_autoanalyze')} AS last_autoanalyze
-    FROM v_table_stats WHERE {PUBLIC} AND n_live_tup + n_dead_tup > 0
-      AND (n_dead_tup * 10 > n_live_tup + n_dead_tup OR n_dead_tup > 1000) AND total_bytes > 1048576
-    ORDER BY 5 DESC NULLS FIRST, n_dead_tup DESC NULLS FIRST, schemaname, relname LIMIT 10""",
+    FROM {DEAD} {_top(10, f"{PCT} DESC NULLS FIRST, n_dead_tup DESC NULLS FIRST, schemaname, relname")}""",
 )
 def table_bloat(spark, sf):
-    out = reports.table_bloat(view(spark, sf, "v_table_stats"))
+    out = reports.table_bloat(_tables(spark, sf))
     times = ["last_vacuum", "last_autovacuum", "last_analyze", "last_autoanalyze"]
     return out.select(*[c for c in out.columns if c not in times], *seconds(*times))
 
 
 @register(
-    "table_sizes",
-    f"""SELECT relname AS table_name, total_bytes AS size_bytes FROM v_table_stats WHERE {PUBLIC}
+    "fleet_table_sizes",
+    f"""SELECT relname AS table_name, total_bytes AS size_bytes FROM v_tables_now WHERE {PUBLIC}
     ORDER BY total_bytes DESC NULLS FIRST, relname LIMIT 10""",
 )
+def fleet_table_sizes(spark, sf):
+    """One ranking over all databases: each task keeps ten rows."""
+    return reports.table_sizes(_tables(spark, sf), keys=())
+
+
+@register(
+    "table_sizes",
+    f"""SELECT database_id, relname AS table_name, total_bytes AS size_bytes FROM v_tables_now WHERE {PUBLIC}
+    {_top(10, "total_bytes DESC NULLS FIRST, relname")}""",
+)
 def table_sizes(spark, sf):
-    return reports.table_sizes(view(spark, sf, "v_table_stats"))
+    return reports.table_sizes(_tables(spark, sf))
 
 
 @register(
     "table_activity",
-    f"""SELECT concat(schemaname, '.', relname) AS "table", n_tup_ins AS inserts, n_tup_upd AS updates, n_tup_del AS deletes
-    FROM v_table_stats WHERE {PUBLIC}
-    ORDER BY n_tup_ins + n_tup_upd + n_tup_del DESC NULLS FIRST, schemaname, relname LIMIT 8""",
+    f"""SELECT database_id, concat(schemaname, '.', relname) AS "table", n_tup_ins AS inserts, n_tup_upd AS updates,
+      n_tup_del AS deletes FROM v_tables_now WHERE {PUBLIC}
+    {_top(8, "n_tup_ins + n_tup_upd + n_tup_del DESC NULLS FIRST, schemaname, relname")}""",
 )
 def table_activity(spark, sf):
-    return reports.table_activity(view(spark, sf, "v_table_stats"))
+    return reports.table_activity(_tables(spark, sf))
 
 
 @register(
     "index_usage",
-    f"""SELECT concat(schemaname, '.', indexrelname) AS "index", idx_scan AS scans, idx_tup_read AS tuples_read
-    FROM v_index_stats WHERE {PUBLIC} AND idx_scan > 0
-    ORDER BY idx_scan DESC NULLS FIRST, schemaname, indexrelname LIMIT 10""",
+    f"""SELECT database_id, concat(schemaname, '.', indexrelname) AS "index", idx_scan AS scans, idx_tup_read AS tuples_read
+    FROM v_indexes_now WHERE {PUBLIC} AND idx_scan > 0 {_top(10, "idx_scan DESC NULLS FIRST, schemaname, indexrelname")}""",
 )
 def index_usage(spark, sf):
-    return reports.index_usage(view(spark, sf, "v_index_stats"))
+    return reports.index_usage(_indexes(spark, sf))
 
 
 @register(
     "never_used_indexes",
-    f"""SELECT concat(schemaname, '.', indexrelname) AS "index", idx_scan AS scans, {pretty('index_bytes')} AS index_size
-    FROM v_index_stats WHERE {PUBLIC} AND idx_scan = 0
-    ORDER BY index_bytes DESC NULLS FIRST, schemaname, indexrelname LIMIT 12""",
+    f"""SELECT database_id, concat(schemaname, '.', indexrelname) AS "index", idx_scan AS scans, {pretty('index_bytes')} AS index_size
+    FROM v_indexes_now WHERE {PUBLIC} AND idx_scan = 0 {_top(12, "index_bytes DESC NULLS FIRST, schemaname, indexrelname")}""",
 )
 def never_used_indexes(spark, sf):
-    return reports.never_used_indexes(view(spark, sf, "v_index_stats"))
+    return reports.never_used_indexes(_indexes(spark, sf))
 
 
 @register(
     "slowest_queries",
-    f"""SELECT query, calls, {rnd('mean_exec_time', 2)} AS mean_time_ms, {rnd('total_exec_time', 2)} AS total_time_ms
-    FROM v_statements ORDER BY mean_exec_time DESC NULLS FIRST, query LIMIT 10""",
+    f"""SELECT database_id, query, calls, {rnd('mean_exec_time', 2)} AS mean_time_ms, {rnd('total_exec_time', 2)} AS total_time_ms
+    FROM v_statements_now {_top(10, "mean_exec_time DESC NULLS FIRST, query")}""",
 )
 def slowest_queries(spark, sf):
-    return reports.slowest_queries(view(spark, sf, "v_statements"))
+    return reports.slowest_queries(_statements(spark, sf))
 
 
 @register(
     "dead_rows_report",
-    f"""SELECT relname AS "table", n_live_tup AS live_rows, n_dead_tup AS dead_rows, {pretty('total_bytes')} AS table_size
-    FROM v_table_stats WHERE {PUBLIC} AND n_dead_tup > 0 ORDER BY n_dead_tup DESC NULLS FIRST, relname LIMIT 10""",
+    f"""SELECT database_id, relname AS "table", n_live_tup AS live_rows, n_dead_tup AS dead_rows, {pretty('total_bytes')} AS table_size
+    FROM v_tables_now WHERE {PUBLIC} AND n_dead_tup > 0 {_top(10, "n_dead_tup DESC NULLS FIRST, relname")}""",
 )
 def dead_rows_report(spark, sf):
-    return reports.dead_rows_report(view(spark, sf, "v_table_stats"))
+    return reports.dead_rows_report(_tables(spark, sf))
 
 
 @register(
@@ -167,20 +196,18 @@ def settings_recommendation_join(spark, sf):
 
 @register(
     "health_card_counts",
-    f"""SELECT 'settings' AS report, COUNT(*) AS items FROM v_settings WHERE name IN {REVIEWED}
-    UNION ALL SELECT 'unused_indexes', COUNT(*) FROM (SELECT 1 FROM v_index_stats WHERE {PUBLIC} AND idx_scan < 50
-      AND indexrelid NOT IN (SELECT conindid FROM v_constraints) LIMIT 10) t
-    UNION ALL SELECT 'slow_queries', COUNT(*) FROM (SELECT 1 FROM v_statements LIMIT 10) t
-    UNION ALL SELECT 'table_bloat', COUNT(*) FROM (SELECT 1 FROM v_table_stats WHERE {PUBLIC}
-      AND (n_dead_tup * 10 > n_live_tup + n_dead_tup OR n_dead_tup > 1000) AND total_bytes > 1048576 LIMIT 10) t""",
+    f"""SELECT database_id, 'settings' AS report, COUNT(*) AS items FROM v_settings WHERE name IN {REVIEWED} GROUP BY 1
+    UNION ALL SELECT database_id, 'unused_indexes', COUNT(*) FROM {UNUSED} GROUP BY 1
+    UNION ALL SELECT database_id, 'slow_queries', COUNT(*) FROM v_statements_now GROUP BY 1
+    UNION ALL SELECT database_id, 'table_bloat', COUNT(*) FROM {DEAD} GROUP BY 1""",
 )
 def health_card_counts(spark, sf):
     return reports.health_card_counts(
         {
             "settings": reports.parameter_settings(view(spark, sf, "v_settings")),
-            "unused_indexes": unused_indexes(spark, sf),
-            "slow_queries": slow_queries(spark, sf),
-            "table_bloat": reports.table_bloat(view(spark, sf, "v_table_stats")),
+            "unused_indexes": unused_indexes(spark, sf, limit=None),
+            "slow_queries": slow_queries(spark, sf, limit=None),
+            "table_bloat": reports.table_bloat(_tables(spark, sf), limit=None),
         }
     )
 

@@ -64,16 +64,24 @@ def _type(name: str) -> str:
     day = f"regexp_matches({text}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')"
     return f"""SELECT '{name}' AS "column", CASE WHEN COUNT(*) FILTER (WHERE {number}) > 0.7 * COUNT(*) THEN 'number'
       WHEN COUNT(*) FILTER (WHERE {day} AND NOT {number}) > 0.7 * COUNT(*) THEN 'date' ELSE 'text' END AS inferred_type
-    FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10) h"""
+    FROM mixed"""
+
+
+# Columns whose first rows look like another type than the whole.
+MIXED = """SELECT o_orderkey, o_totalprice, o_orderdate, o_orderpriority,
+  CASE WHEN o_orderkey <= 40 THEN 'n/a' ELSE CAST(o_custkey AS STRING) END AS late_number,
+  CASE WHEN o_orderkey <= 40 THEN CAST(o_custkey AS STRING) ELSE o_orderpriority END AS late_text FROM {orders}"""
 
 
 @register(
     "infer_column_type",
-    " UNION ALL ".join(_type(c) for c in ("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")),
+    " UNION ALL ".join(
+        _type(c) for c in ("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority", "late_number", "late_text")
+    ),
+    extra=(f"mixed AS ({MIXED.format(orders='orders')})",),
 )
 def infer_column_type(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")
-    return profile.infer_column_type(rows, ["o_orderkey"])
+    return profile.infer_column_type(spark.sql(MIXED, orders=table(spark, sf, "orders")))
 
 
 def _classes(name: str, empty: str, number: str, long: str) -> str:
@@ -102,7 +110,7 @@ def cell_class_profile(spark, sf):
 
 @register(
     "chart_series",
-    """SELECT CASE WHEN length(query) > 30 THEN concat(substring(query, 1, 27), '...') ELSE query END AS label,
+    """SELECT query AS label, CASE WHEN length(query) > 30 THEN concat(substring(query, 1, 27), '...') ELSE query END AS short_label,
       CAST(calls AS DOUBLE) AS value FROM v_statements""",
 )
 def chart_series(spark, sf):

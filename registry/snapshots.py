@@ -207,12 +207,12 @@ def timeline_series(spark, sf):
       COALESCE(MAX(c.parameter_changes), 0) AS parameter_changes
     FROM (SELECT *, row_number() OVER (PARTITION BY database_id ORDER BY executed_at DESC, snapshot_id DESC) AS n FROM v_snapshots) s
     LEFT JOIN (SELECT database_id, COUNT(*) AS parameter_changes FROM changes GROUP BY 1) c USING (database_id)
-    WHERE n <= 20 GROUP BY database_id""",
+    GROUP BY database_id""",
     extra=CHANGES30,
 )
 def timeline_stats(spark, sf):
     rows = snapshots(spark, sf)
-    stats = snap.timeline_stats(snap.newest_snapshots(rows, 20), snap.parameter_changes(rows, AS_OF, 30, piece="week"))
+    stats = snap.timeline_stats(rows, snap.parameter_changes(rows, AS_OF, 30, piece="week"))
     return stats.select(
         "database_id",
         "total_snapshots",
@@ -312,12 +312,11 @@ def metric_board(spark, sf):
       CAST(bloated_tables AS BIGINT) AS "Bloated Tables", CAST(total_connections AS BIGINT) AS "Total Connections",
       CAST(active_connections AS BIGINT) AS "Active Connections", CAST(high_seq_scan_tables AS BIGINT) AS "High Seq Scan Tables",
       {pretty('size_bytes')} AS "Database Size", 'PostgreSQL' AS "Version"
-    FROM (SELECT *, row_number() OVER (PARTITION BY database_id ORDER BY executed_at DESC, snapshot_id DESC) AS n FROM v_snapshots) s
-    WHERE n <= 60""",
+    FROM v_snapshots""",
 )
 def export_timeline_csv(spark, sf):
     """Write the CSV export and give back what its reader sees."""
-    rows = snap.newest_snapshots(snapshots(spark, sf), 60)
+    rows = snapshots(spark, sf)
     path = shared_folder(spark, "timeline-csv")
     exports.export_timeline_csv(rows, path)
     return spark.read.schema(snap.timeline_rows(rows).schema).option("header", True).csv(path)

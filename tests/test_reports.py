@@ -10,7 +10,8 @@ TABLE = "schemaname string, relname string, seq_scan bigint, idx_scan bigint, se
 
 
 def tables(spark, *rows):
-    return spark.createDataFrame([("public", *r) for r in rows], TABLE)
+    df = spark.createDataFrame([("public", *r) for r in rows], TABLE)
+    return df.withColumn("database_id", F.lit("db"))
 
 
 def test_missing_indexes_drops_tables_without_any_index(spark):
@@ -48,7 +49,7 @@ def test_anti_join_has_not_in_meaning(spark, ids, constraints, kept):
     con = spark.createDataFrame([(i,) for i in constraints], "conindid bigint")
     ix.createOrReplaceTempView("ix_ids")
     con.createOrReplaceTempView("con_ids")
-    got = sorted((r.indexrelid for r in reports.without_constraint(ix, con).collect()), key=str)
+    got = sorted((r.indexrelid for r in reports.without_constraint(ix, con, keys=()).collect()), key=str)
     want = spark.sql("SELECT indexrelid FROM ix_ids WHERE indexrelid NOT IN (SELECT conindid FROM con_ids)")
     assert got == sorted((r.indexrelid for r in want.collect()), key=str) == sorted(kept, key=str)
 
@@ -70,7 +71,7 @@ def test_scan_reads_only_what_is_asked(spark, tmp_path, capsys):
     schema = telemetry.SCHEMAS["table_stats"]
     path = str(tmp_path / "table_stats")
     spark.createDataFrame([], schema).write.parquet(path)
-    top = reports.missing_indexes(telemetry.scan_table_stats(spark, path))
+    top = reports.missing_indexes(telemetry.scan_table_stats(spark, path), keys=())
     top.explain("formatted")
     plan = capsys.readouterr().out
     assert "TakeOrderedAndProject" in plan
@@ -89,12 +90,31 @@ def test_run_select_refuses_and_caps(spark):
 
 
 def test_type_inference_accepts_negatives_and_needs_more_than_seventy_percent(spark):
-    rows = [(i, "-1.5" if i < 8 else "x", "-2" if i < 7 else "x", "2024-01-05 10:00", None) for i in range(20)]
+    rows = [(i, "-1.5" if i >= 5 else "x", "-2" if i >= 6 else "x", "2024-01-05 10:00", None) for i in range(20)]
     df = spark.createDataFrame(rows, "id int, a string, b string, c string, d string")
-    got = {r.column: r.inferred_type for r in profile.infer_column_type(df, ["id"]).collect()}
+    got = {r.column: r.inferred_type for r in profile.infer_column_type(df).collect()}
     assert got == {"id": "number", "a": "number", "b": "text", "c": "date", "d": "text"}
 
 
+def test_reports_rank_each_database_and_its_last_capture(spark):
+    rows = [(d, c, f"t{k}", 2000 + k) for d in ("x", "y") for c in (1, 2) for k in range(20) if (c, k) != (2, 19)]
+    rows += [("x", 2, "t18", 5000), ("z", 1, "only", 3000)]
+    df = spark.createDataFrame(rows, "database_id string, c int, relname string, seq_scan long").selectExpr(
+        "*", "'public' AS schemaname", "0L AS idx_scan", "1L AS total_bytes", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(c) AS captured_at"
+    )
+    got = reports.missing_indexes(reports.latest_capture(df), limit=2).collect()
+    assert sorted((r.database_id, r.table, r.seq_scan) for r in got) == [
+        ("x", "public.t18", 2018), ("x", "public.t18", 5000), ("y", "public.t17", 2017), ("y", "public.t18", 2018), ("z", "public.only", 3000),
+    ]
+
+
+def test_constraints_count_in_their_own_database_only(spark):
+    ix = spark.createDataFrame([(d, i) for d in ("a", "b", "c") for i in (1, 2)] + [(None, 1)], "database_id string, indexrelid long")
+    con = spark.createDataFrame([("a", 1), ("b", None), ("b", 1)], "database_id string, conindid long")
+    got = sorted(((r.database_id, r.indexrelid) for r in reports.without_constraint(ix, con).collect()), key=str)
+    assert got == [("a", 2), ("c", 1), ("c", 2), (None, 1)]
+
+
 def test_chart_rules(spark):
     two = spark.createDataFrame([("a", "1"), ("b", None)], "l string, v string")
     assert profile.chart_eligible(two).collect()[0].eligible
@@ -103,3 +123,5 @@ def test_chart_rules(spark):
     assert not profile.chart_eligible(two.filter("false")).collect()[0].eligible
     series = profile.chart_series(two).collect()
     assert [(r.label, r.value) for r in series] == [("a", 1.0)]
+    long = profile.chart_series(spark.createDataFrame([("x" * 40, 1)], "l string, v int")).collect()
+    assert [(r.label, len(r.short_label)) for r in long] == [("x" * 40, 30)]
