@@ -7,12 +7,16 @@ single task.  The helpers here give the same results from bounded pieces.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pieces that rows are cut into before keys are windowed; a square number.
+PIECES = 1024
+
 
 def newest(value: Column, *order: Column) -> Column:
     """Value of the row with the greatest ``order``; a partial aggregate, so no sort per key."""
@@ -33,28 +37,56 @@ def newest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows:
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= rows).drop("_rank")
 
 
+def with_even_piece(df: DataFrame, column: str, pieces: int = PIECES) -> DataFrame:
+    """Add ``_piece``, the number of the piece of all rows that ``column`` lies in, NULLs in the first.
+
+    The pieces are cut at quantiles of all rows, so each holds about ``1/pieces`` of
+    them and no key can have more than that in one piece, however its rows bunch.
+    Only rows that are equal in ``column`` cannot be told apart.  The cuts come as
+    a scalar subquery: one mergeable sketch over a single column.
+    """
+    root = math.isqrt(pieces)
+    shares = F.array(*[F.lit(k / root**2) for k in range(1, root**2)])
+    cuts = df.agg(F.percentile_approx(column, shares, F.lit(10 * pieces)).alias("c"))
+    # Every root-th cut, and the cuts between those: two short searches instead of a long one.
+    tree = cuts.select(
+        F.struct(
+            F.transform(F.sequence(F.lit(1), F.lit(root - 1)), lambda i: F.try_element_at("c", i * root)).alias("coarse"),
+            F.transform(F.sequence(F.lit(0), F.lit(root - 1)), lambda i: F.slice("c", i * root + 1, root - 1)).alias("fine"),
+        ).alias("tree")
+    ).scalar()
+
+    def upto(values: Column) -> Column:
+        return F.coalesce(F.size(F.filter(values, lambda cut: cut <= F.col(column))), F.lit(0))
+
+    branch = upto(F.col("_tree.coarse"))
+    piece = branch * root + upto(F.try_element_at(F.col("_tree.fine"), branch + 1))
+    return df.withColumn("_tree", tree).withColumn("_piece", piece).drop("_tree")
+
+
 def split_lag(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     carried: Sequence[str],
-    piece: Column,
     as_name: str = "previous",
+    pieces: int = PIECES,
 ) -> DataFrame:
     """Add ``as_name`` = struct of ``carried`` from the row before, per key in ``order``.
 
-    ``piece`` cuts a key's history into consecutive pieces and must not decrease
-    along ``order`` (for example ``date_trunc('month', executed_at)``).  Rows are
+    The first column of ``order`` cuts all rows into even ``pieces``.  Rows are
     shuffled once, by key and piece, and the lag runs inside each piece.  The last
     row of a piece, taken from the same shuffle, is handed to the next piece that
     has rows and fills the gap at its first row, so the result equals a lag over
-    the whole key.  A task sorts one piece of a key; only one row per piece is
-    windowed by key.  Key and piece travel as one struct, in which NULL equals NULL.
+    the whole key.  A task sorts one piece of a key, at most ``1/pieces`` of all
+    rows; a key has one row per piece in the window that hands over.  Key and
+    piece travel as one struct, in which NULL equals NULL.
     """
     keys, order = list(keys), list(order)
     value = F.struct(*[F.col(c) for c in carried])
     rest = [c for c in df.columns if c not in keys]
-    rows = df.select(F.struct(*keys, piece.alias("_piece")).alias("_k"), *rest).repartition("_k")
+    cut = with_even_piece(df, order[0], pieces)
+    rows = cut.select(F.struct(*keys, "_piece").alias("_k"), *rest).repartition("_k")
     inside = Window.partitionBy("_k").orderBy(*order)
     lagged = rows.withColumn(as_name, F.lag(value).over(inside))
 
@@ -114,9 +146,15 @@ def exact_percentile(
         .groupBy(*keys, "_v", "_rank", "_before")
         .agg(F.count("*").alias("_copies"))
     )
-    window = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.col("_before") + F.sum("_copies").over(window)
-    placed = kept.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_copies"))
+    # Running counts first over pieces of the values, at most ``PIECES`` per key, then inside a piece.
+    kept = with_even_piece(kept, "_v")
+    sums = kept.groupBy(*keys, "_piece").agg(F.sum("_copies").alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_piece", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
+    within = Window.partitionBy(*keys, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.col("_before") + F.col("_earlier") + F.sum("_copies").over(within)
+    placed = _attach(kept, starts, [*keys, "_piece"]).withColumn("_end", end)
+    placed = placed.withColumn("_start", F.col("_end") - F.col("_copies"))
 
     def at(position: Column) -> Column:
         return F.max(F.when((F.col("_start") <= position) & (position < F.col("_end")), F.col("_v")))

@@ -2,9 +2,7 @@
 
 A snapshot row has ``id, executed_at, execution_time_ms``, the maps
 ``parameters`` and ``metrics``, and the struct ``metadata``; ``keys`` names the
-database columns (``["database_id"]`` by default).  Pieces of a database's
-history are cut by ``piece`` (a ``date_trunc`` unit) so that a database with
-very many snapshots is spread over tasks.
+database columns (``["database_id"]`` by default).
 """
 
 from __future__ import annotations
@@ -65,10 +63,10 @@ def _whole_row(df: DataFrame, keys: Sequence[str], pick) -> DataFrame:
     return df.groupBy(*keys).agg(pick(row, F.col("executed_at"), F.col("id")).alias("_row")).select(*keys, "_row.*")
 
 
-def previous_snapshot(snapshots: DataFrame, keys: Sequence[str] = DATABASE, piece: str = "week") -> DataFrame:
+def previous_snapshot(snapshots: DataFrame, keys: Sequence[str] = DATABASE) -> DataFrame:
     """Each snapshot with the one before it in ``previous``."""
     carried = [c for c in snapshots.columns if c not in keys]
-    return split_lag(snapshots, keys, ["executed_at", "id"], carried, F.date_trunc(piece, "executed_at"))
+    return split_lag(snapshots, keys, ["executed_at", "id"], carried)
 
 
 def change_type(name: Column, old: Column, new: Column) -> Column:
@@ -122,14 +120,13 @@ def parameter_changes(
     days: int = 7,
     keys: Sequence[str] = DATABASE,
     include_removed: bool = False,
-    piece: str = "week",
 ) -> DataFrame:
     """One row per changed parameter between consecutive snapshots of the last ``days`` days.
 
     ``id`` is the newer snapshot's.
     """
     recent = since(snapshots, as_of, days).select(*keys, "id", "executed_at", "parameters")
-    paired = split_lag(recent, keys, ["executed_at", "id"], ["parameters"], F.date_trunc(piece, "executed_at"))
+    paired = split_lag(recent, keys, ["executed_at", "id"], ["parameters"])
     return (
         paired.filter(F.col("previous.parameters").isNotNull() & F.col("parameters").isNotNull())
         .select(

@@ -26,7 +26,6 @@ def consecutive_pairs(
     executions: DataFrame,
     carried: Sequence[str],
     keys: Sequence[str] = ("database_id", "statement"),
-    piece: str = "day",
 ) -> DataFrame:
     """Each execution (``b``) with the one before it of the same statement (``a``)."""
     paired = split_lag(
@@ -34,7 +33,6 @@ def consecutive_pairs(
         keys,
         ["created_at", "exec_id"],
         list(carried),
-        F.date_trunc(piece, "created_at"),
         as_name="a",
     )
     return paired.filter(F.col("a").isNotNull()).select(*keys, "a", F.struct(*carried).alias("b"))

@@ -1,9 +1,11 @@
-"""Streaming change detection on settings that arrive one row per reading.
+"""Streaming change detection on settings that arrive one row per reading, in any order.
 
 A reading has the ``keys``, ``parameter``, ``executed_at``, ``id`` and ``setting``.
-Each micro-batch is compared with a table of last values by the same
-``split_lag`` the batch operator uses, so a hot parameter is cut into pieces
-here as well.  The state table holds one row per key and parameter.
+Every micro-batch is paired with the stored readings of its own parameters by the
+same ``split_lag`` the batch operator uses.  A reading that arrives late takes its
+place between its neighbours, so the pairs it touches are stored anew, and the
+newest version of each reading counts.  The result equals the batch result,
+whatever the order and the cut of the input.
 """
 
 from __future__ import annotations
@@ -16,40 +18,46 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetpulse.operators.skew import newest, split_lag
 from fleetpulse.operators.snapshots import both_empty, change_type
+from fleetpulse.streaming.sinks import COMPACT_EVERY, VersionedTable, newest_versions
+
+
+def _same_group(left: str, right: str, group: Sequence[str]):
+    same = F.lit(True)
+    for name in group:
+        same = same & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
+    return same
 
 
 def detect(
-    readings: DataFrame, state: DataFrame | None, keys: Sequence[str], piece: str
-) -> tuple[DataFrame, DataFrame]:
-    """Changes in ``readings`` given the last values in ``state``, and the new last values.
+    readings: DataFrame, known: DataFrame | None, keys: Sequence[str], retention: str | None = None
+) -> DataFrame:
+    """The pairs that ``readings`` make or break, beside what is ``known`` already: one row per
+    reading whose predecessor is new, with ``is_change``.
 
-    Readings not newer than the last value of their parameter are late and dropped.
+    With ``retention`` a predecessor older than that is forgotten.
     """
     group = [*keys, "parameter"]
     columns = [*group, "executed_at", "id", "setting"]
     rows = readings.select(*columns, F.lit(True).alias("_new"))
-    if state is not None:
-        last = state.select(*group, F.struct("executed_at", "id").alias("_last"))
-        rows = (
-            rows.join(last, group, "left")
-            .filter(F.col("_last").isNull() | (F.struct("executed_at", "id") > F.col("_last")))
-            .drop("_last")
-            .unionByName(state.select(*columns, F.lit(False).alias("_new")))
-        )
-    paired = split_lag(rows, group, ["executed_at", "id"], ["setting", "_new"], F.date_trunc(piece, "executed_at"))
+    if known is not None:
+        touched = readings.select(*group).distinct().alias("t")
+        own = known.alias("s").join(touched, _same_group("s", "t", group), "left_semi")
+        rows = rows.unionByName(own.select(*columns, F.lit(False).alias("_new")))
+    paired = split_lag(rows, group, ["executed_at", "id"], ["executed_at", "setting", "_new"])
     before, after = F.col("previous.setting"), F.col("setting")
-    changes = paired.filter(
-        F.col("_new") & F.col("previous").isNotNull() & ~before.eqNullSafe(after) & ~both_empty(before, after)
-    ).select(
+    has_previous = F.col("previous").isNotNull()
+    if retention is not None:
+        has_previous &= F.col("previous.executed_at") >= F.col("executed_at") - F.expr(f"INTERVAL {retention}")
+    differs = has_previous & ~before.eqNullSafe(after) & ~both_empty(before, after)
+    return paired.filter(F.col("_new") | F.coalesce(F.col("previous._new"), F.lit(False))).select(
         *group,
         F.col("executed_at").alias("detected_at"),
         "id",
         before.alias("from"),
         after.alias("to"),
         change_type(F.col("parameter"), before, after).alias("change_type"),
+        F.coalesce(differs, F.lit(False)).alias("is_change"),
     )
-    newest_row = newest(F.struct("executed_at", "id", "setting"), F.col("executed_at"), F.col("id"))
-    return changes, rows.groupBy(*group).agg(newest_row.alias("_row")).select(*group, "_row.*")
 
 
 def stream_parameter_changes(
@@ -58,25 +66,40 @@ def stream_parameter_changes(
     checkpoint: str,
     keys: Sequence[str] = ("database_id",),
     retention: str | None = None,
-    piece: str = "day",
+    lateness: str | None = None,
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
-    """Append changes to ``out/changes`` and keep last values in ``out/state``.
+    """Keep versions of all pairs in ``out/changes`` and the readings in ``out/state``.
 
-    With ``retention`` a parameter not read for that long, counted back from the
-    newest reading, is forgotten.  State alternates between two folders: a batch
-    reads the one its predecessor wrote and overwrites the other, so a batch
-    that is run again starts from the same state and writes the same rows.
+    Without ``lateness`` every reading stays, and one of any age is paired.  With
+    it, a reading further behind the newest one is dropped, and compaction keeps
+    only the readings of that period and the newest one before it.  A batch that
+    is run again reads the same parts and overwrites its own.
     """
     spark = readings.sparkSession
+    group = [*keys, "parameter"]
+    state = VersionedTable(spark, f"{out}/state", compact_every)
+    pairs = VersionedTable(spark, f"{out}/changes", compact_every)
+
+    def trimmed(rows: DataFrame) -> DataFrame:
+        if lateness is None:
+            return rows
+        bound = rows.select((F.max("executed_at") - F.expr(f"INTERVAL {lateness}")).alias("b")).scalar()
+        old = rows.filter(F.col("executed_at") < bound)
+        last = old.groupBy(*group).agg(
+            newest(F.struct("executed_at", "id", "setting", "batch"), F.col("executed_at"), F.col("id")).alias("_row")
+        )
+        return rows.filter(F.col("executed_at") >= bound).unionByName(last.select(*group, "_row.*"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        state = spark.read.parquet(f"{out}/state/{(batch_id - 1) % 2}") if batch_id > 0 else None
-        changes, last = detect(batch, state, keys, piece)
-        if retention is not None:
-            newest_at = last.select(F.max("executed_at")).scalar()
-            last = last.filter(F.col("executed_at") >= newest_at - F.expr(f"INTERVAL {retention}"))
-        changes.write.mode("overwrite").parquet(f"{out}/changes/batch={batch_id}")
-        last.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/state/{batch_id % 2}")
+        known = state.before(batch_id)
+        if lateness is not None and known is not None:
+            bound = known.select((F.max("executed_at") - F.expr(f"INTERVAL {lateness}")).alias("b")).scalar()
+            batch = batch.filter(F.col("executed_at") >= F.coalesce(bound, F.col("executed_at")))
+        fresh = state.write(batch.select(*group, "executed_at", "id", "setting"), batch_id)
+        pairs.write(detect(fresh, known, keys, retention), batch_id)
+        state.compact(batch_id, trimmed)
+        pairs.compact(batch_id, lambda rows: newest_versions(rows, [*group, "id", "detected_at"]))
 
     return (
         readings.writeStream.foreachBatch(step)
@@ -86,11 +109,21 @@ def stream_parameter_changes(
     )
 
 
-def read_changes(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/changes").drop("batch")
+def read_changes(spark: SparkSession, out: str, keys: Sequence[str] = ("database_id",)) -> DataFrame:
+    rows = VersionedTable(spark, f"{out}/changes").all()
+    current = newest_versions(rows, [*keys, "parameter", "id", "detected_at"])
+    return current.filter("is_change").drop("is_change", "batch")
 
 
-def read_state(spark: SparkSession, out: str) -> DataFrame:
-    """Last values after the newest batch."""
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/state")
-    return rows.filter(F.col("batch") == rows.select(F.max("batch")).scalar()).drop("batch")
+def read_state(
+    spark: SparkSession, out: str, keys: Sequence[str] = ("database_id",), retention: str | None = None
+) -> DataFrame:
+    """Last value of every parameter; with ``retention`` only of those read that shortly before the newest reading."""
+    rows = VersionedTable(spark, f"{out}/state").all()
+    group = [*keys, "parameter"]
+    last = newest(F.struct("executed_at", "id", "setting"), F.col("executed_at"), F.col("id"))
+    state = rows.groupBy(*group).agg(last.alias("_row")).select(*group, "_row.*")
+    if retention is None:
+        return state
+    bound = rows.select((F.max("executed_at") - F.expr(f"INTERVAL {retention}")).alias("b")).scalar()
+    return state.filter(F.col("executed_at") >= bound)

@@ -24,14 +24,16 @@ def stream_snapshot_windows(
 ) -> DataFrame:
     """Metrics per database and tumbling period; rows later than ``watermark`` are dropped.
 
-    Event times without a zone are read in the session's time zone.
+    ``time`` has no zone.  It is read as UTC, in which ``window`` cuts its periods,
+    and the borders are given back without a zone, so the session's zone plays no part.
     """
-    timed = events.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", watermark)
+    zone = F.current_timezone()
+    as_utc = F.convert_timezone(F.lit("UTC"), zone, F.col(time)).cast("timestamp")
+    timed = events.withColumn("_time", as_utc).withWatermark("_time", watermark)
     grouped = timed.groupBy(*keys, F.window("_time", period).alias("period"))
     return grouped.agg(*[c.alias(n) for n, c in aggregates.items()]).select(
         *keys,
-        F.col("period.start").cast("timestamp_ntz").alias("period_start"),
-        F.col("period.end").cast("timestamp_ntz").alias("period_end"),
+        *[F.convert_timezone(zone, F.lit("UTC"), F.col(f"period.{x}").cast("timestamp_ntz")).alias(f"period_{x}") for x in ("start", "end")],
         *aggregates,
     )
 

@@ -56,7 +56,7 @@ CHANGES30, CHANGES7 = _changes(30), _changes(7)
     extra=CHANGES30,
 )
 def parameter_changes(spark, sf):
-    return snap.parameter_changes(snapshots(spark, sf), AS_OF, 30, piece="week").select(
+    return snap.parameter_changes(snapshots(spark, sf), AS_OF, 30).select(
         "database_id", *seconds("detected_at"), "parameter", "from", "to", "change_type"
     )
 
@@ -68,7 +68,7 @@ def parameter_changes(spark, sf):
     extra=CHANGES30,
 )
 def change_events(spark, sf):
-    events = snap.change_events(snap.parameter_changes(snapshots(spark, sf), AS_OF, 30, piece="week"))
+    events = snap.change_events(snap.parameter_changes(snapshots(spark, sf), AS_OF, 30))
     pairs = F.transform(F.map_entries("changes"), lambda e: F.concat(e.key, F.lit(":"), e.value.change_type))
     return events.select("database_id", *seconds("detected_at"), F.array_join(pairs, ",").alias("changes"))
 
@@ -79,7 +79,7 @@ def change_events(spark, sf):
     extra=CHANGES7,
 )
 def parameter_change_count(spark, sf):
-    return snap.parameter_change_count(snap.parameter_changes(snapshots(spark, sf), AS_OF, 7, piece="day"))
+    return snap.parameter_change_count(snap.parameter_changes(snapshots(spark, sf), AS_OF, 7))
 
 
 @register(
@@ -89,7 +89,7 @@ def parameter_change_count(spark, sf):
 )
 def previous_snapshot(spark, sf):
     rows = snapshots(spark, sf).select("id", "database_id", "executed_at")
-    return snap.previous_snapshot(rows, piece="week").select("database_id", "id", F.col("previous.id").alias("previous_id"))
+    return snap.previous_snapshot(rows).select("database_id", "id", F.col("previous.id").alias("previous_id"))
 
 
 def _metric_rows(pairs: str) -> str:
@@ -115,7 +115,7 @@ def _metric_rows(pairs: str) -> str:
     ),
 )
 def consecutive_metric_changes(spark, sf):
-    pairs = snap.as_pairs(snap.previous_snapshot(snapshots(spark, sf), piece="week"))
+    pairs = snap.as_pairs(snap.previous_snapshot(snapshots(spark, sf)))
     return snap.compare_metrics(pairs.withColumn("id", F.col("b.id")), ["database_id", "id"])
 
 
@@ -212,7 +212,7 @@ def timeline_series(spark, sf):
 )
 def timeline_stats(spark, sf):
     rows = snapshots(spark, sf)
-    stats = snap.timeline_stats(rows, snap.parameter_changes(rows, AS_OF, 30, piece="week"))
+    stats = snap.timeline_stats(rows, snap.parameter_changes(rows, AS_OF, 30))
     return stats.select(
         "database_id",
         "total_snapshots",
@@ -284,7 +284,7 @@ def snapshot_summary(spark, sf):
 )
 def snapshot_status(spark, sf):
     rows = snapshots(spark, sf)
-    status = snap.snapshot_status(rows, snap.parameter_changes(rows, AS_OF, 7, piece="day"))
+    status = snap.snapshot_status(rows, snap.parameter_changes(rows, AS_OF, 7))
     return status.select("database_id", "total_snapshots", *seconds("latest_at"), joined("recent"), "change_events")
 
 
@@ -332,7 +332,7 @@ def export_timeline_json(spark, sf):
     """Write the JSON export and give back what its reader sees."""
     rows = snapshots(spark, sf)
     path = shared_folder(spark, "timeline-json")
-    exports.export_timeline_json(rows, snap.parameter_changes(rows, AS_OF, 30, piece="week"), path, AS_OF)
+    exports.export_timeline_json(rows, snap.parameter_changes(rows, AS_OF, 30), path, AS_OF)
     back = spark.read.schema(
         """database_id string, id bigint, collected_at string, execution_time_ms bigint,
         parameters map<string,string>, metrics map<string,double>, metadata struct<version:string>"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetpulse.session import shared_folder
 from fleetpulse.streaming import changes, sinks, snapshots
 from registry.base import register, sec, seconds
-from registry.fixtures import VIEWS
+from registry.fixtures import VIEWS, table
 
 DB = "concat('db_', CAST(CAST(FLOOR(user_id / 10) AS BIGINT) AS STRING))"
 READINGS = f"""readings AS (SELECT {DB} AS database_id, CASE event_type WHEN 'view' THEN 'work_mem' WHEN 'click' THEN 'shared_buffers'
@@ -18,8 +18,15 @@ READINGS = f"""readings AS (SELECT {DB} AS database_id, CASE event_type WHEN 'vi
     ELSE CASE WHEN value > 40 THEN 'on' WHEN value < 5 THEN '' ELSE 'off' END END AS setting FROM events)"""
 
 
+FILES = 5
+
+
 def events(spark, sf):
-    return sinks.file_stream(spark, sf, "events.parquet")
+    """The events as a stream of files in no order of time, a batch each."""
+    folder = shared_folder(spark, "stream-input")
+    mixed = table(spark, sf, "events").repartition(FILES, F.hash("event_id"))
+    mixed.write.option("maxRecordsPerFile", 0).parquet(folder)
+    return sinks.file_stream(spark, folder, files_per_batch=1)
 
 
 def over_stream(spark, sf, select: str):
@@ -48,6 +55,7 @@ def stream_snapshot_windows(spark, sf):
             "misses": F.count_if(F.col("event_type") == "error"),
             "cents": F.sum(F.round(F.col("value") * 100).cast("bigint")),
         },
+        watermark="60 days",
     )
     out = sinks.run_upserts(windows, ["database_id", "period_start", "period_end"], "stream-windows")
     return out.select("database_id", *seconds("period_start", "period_end"), "events", "hits", "misses", "cents")
@@ -92,5 +100,5 @@ def stream_retention(spark, sf):
     out = shared_folder(spark, "stream-retention")
     query = changes.stream_parameter_changes(readings(spark, sf), out, f"{out}/checkpoint", retention="6 hours")
     query.awaitTermination()
-    rows = changes.read_state(spark, out)
+    rows = changes.read_state(spark, out, retention="6 hours")
     return rows.select("database_id", "parameter", "id", *seconds("executed_at"), "setting")

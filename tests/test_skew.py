@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetpulse.operators.skew import exact_percentile, merge_parts, newest_rows, split_lag
+from fleetpulse.operators.skew import exact_percentile, merge_parts, newest_rows, split_lag, with_even_piece
 
 START = datetime(2024, 1, 1)
 
@@ -25,11 +25,11 @@ def uneven(spark):
     return spark.createDataFrame(rows, "id bigint, k string, at timestamp_ntz, value double").cache()
 
 
-@pytest.mark.parametrize("unit", ["hour", "day", "month", "year"])
-def test_split_lag_equals_lag(uneven, unit):
+@pytest.mark.parametrize("pieces", [4, 64, 1024])
+def test_split_lag_equals_lag(uneven, pieces):
     window = Window.partitionBy("k").orderBy("at", "id")
     plain = uneven.select("id", F.lag("id").over(window).alias("want"))
-    split = split_lag(uneven, ["k"], ["at", "id"], ["id", "value"], F.date_trunc(unit, "at"))
+    split = split_lag(uneven, ["k"], ["at", "id"], ["id", "value"], pieces=pieces)
     both = split.join(plain, "id")
     assert both.count() == uneven.count()
     assert both.filter(~F.col("previous.id").eqNullSafe(F.col("want"))).count() == 0
@@ -37,11 +37,36 @@ def test_split_lag_equals_lag(uneven, unit):
 
 def test_split_lag_shares_one_shuffle(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
-    out = split_lag(events, ["user_id"], ["ts", "event_id"], ["event_id", "value"], F.date_trunc("day", "ts"))
+    out = split_lag(events, ["user_id"], ["ts", "event_id"], ["event_id", "value"])
     out.collect()
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_hot_key_in_one_hour_is_split(spark):
+    """A third of all rows is one key within one hour; no piece of it holds more than a few."""
+    rows = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 1000) END AS k",
+        "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CASE WHEN id % 3 = 0 THEN id % 3600 ELSE id * 997 END) AS at",
+        "id",
+        "CAST(hash(id) AS double) AS v",
+    )
+    for column, limit in (("at", 40), ("v", 40)):
+        sizes = with_even_piece(rows, column).filter("k = 'hot'").groupBy("_piece").count().agg(F.max("count"), F.count("*")).first()
+        assert sizes[0] <= limit and sizes[1] > 300
+    window = Window.partitionBy("k").orderBy("at", "id")
+    plain = rows.select("id", F.lag("id").over(window).alias("want"))
+    both = split_lag(rows, ["k"], ["at", "id"], ["id"]).join(plain, "id")
+    assert both.filter(~F.col("previous.id").eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_pieces_of_nothing_and_of_nulls(spark):
+    none = spark.createDataFrame([], "k string, at timestamp_ntz, id long")
+    assert split_lag(none, ["k"], ["at", "id"], ["id"]).count() == 0
+    nulls = spark.createDataFrame([("x", None, 1), ("x", None, 2), (None, None, 3)], "k string, at timestamp_ntz, id long")
+    got = {r.id: r.previous.id if r.previous else None for r in split_lag(nulls, ["k"], ["at", "id"], ["id"]).collect()}
+    assert got == {1: None, 2: 1, 3: None}
+
+
 @pytest.mark.parametrize("fraction", [0.0, 0.05, 0.5, 0.95, 0.999, 1.0])
 @pytest.mark.parametrize("accuracy", [3, 10000])
 def test_exact_percentile(uneven, fraction, accuracy):

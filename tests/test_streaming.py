@@ -1,5 +1,6 @@
 """Streams over several batches equal the batch result; late and repeated input is handled."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -15,13 +16,13 @@ def reading(i, setting, key="work_mem", minutes=None):
     return ("db", key, START + timedelta(minutes=i if minutes is None else minutes), i, setting)
 
 
-def run_changes(spark, tmp_path, batches, retention=None):
+def run_changes(spark, tmp_path, batches, retention=None, **options):
     """One run of the stream per batch of readings, on the same checkpoint."""
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for batch in batches:
         spark.createDataFrame(batch, READING).coalesce(1).write.mode("append").parquet(source)
         stream = sinks.file_stream(spark, source, files_per_batch=1)
-        changes.stream_parameter_changes(stream, out, f"{out}/checkpoint", retention=retention).awaitTermination()
+        changes.stream_parameter_changes(stream, out, f"{out}/checkpoint", retention=retention, **options).awaitTermination()
     found = changes.read_changes(spark, out).orderBy("id").collect()
     return [(r.id, r["from"], r["to"], r.change_type) for r in found], out
 
@@ -33,7 +34,11 @@ def test_changes_across_batches(spark, tmp_path):
         [reading(7, "16MB"), reading(8, "1MB", minutes=3)],
     ]
     found, out = run_changes(spark, tmp_path, batches)
-    assert found == [(2, "4MB", "8MB", "increase"), (5, "8MB", "2MB", "decrease"), (6, "on", "off", "change"), (7, "2MB", "16MB", "increase")]
+    # The late reading (8, at minute 3) comes between 2 and 4.
+    assert found == [
+        (2, "4MB", "8MB", "increase"), (4, "1MB", "8MB", "increase"), (5, "8MB", "2MB", "decrease"), (6, "on", "off", "change"),
+        (7, "2MB", "16MB", "increase"), (8, "8MB", "1MB", "decrease"),
+    ]
     state = {r.parameter: r.setting for r in changes.read_state(spark, out).collect()}
     assert state == {"work_mem": "16MB", "autovacuum": "off"}
 
@@ -60,14 +65,16 @@ def test_windows_in_five_batches_equal_batch(spark, event_files, tmp_path):
     aggregates = {"events": F.count("*"), "total": F.sum(F.round(F.col("value") * 100).cast("bigint"))}
     stream = snapshots.stream_snapshot_windows(sinks.file_stream(spark, event_files, files_per_batch=1), aggregates, watermark="60 days")
     out = str(tmp_path / "out")
-    sinks.start_upserts(stream, out, str(tmp_path / "checkpoint")).awaitTermination()
+    keys = ["database_id", "period_start", "period_end"]
+    sinks.start_upserts(stream, out, str(tmp_path / "checkpoint"), keys, compact_every=2).awaitTermination()
     got = sinks.read_upserts(spark, out, ["database_id", "period_start", "period_end"])
     events = spark.read.parquet(event_files)
     want = events.groupBy("database_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("period_start")).agg(
         *[c.alias(n) for n, c in aggregates.items()]
     )
     columns = ["database_id", "period_start", "events", "total"]
-    assert spark.read.parquet(out).select("batch").distinct().count() >= 5
+    # Two compactions, the second of which dropped what the first had replaced.
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if "=" in p.name[:6]) == ["base=1", "base=3", "batch=2", "batch=3", "batch=4"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
 
 
@@ -78,15 +85,53 @@ def test_latest_result_wins_over_batches(spark, tmp_path):
         row = [(i, "db", "table_bloat", status, START + timedelta(minutes=minute))]
         spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(source)
         latest = snapshots.stream_latest_per_check(sinks.file_stream(spark, source))
-        sinks.start_upserts(latest, out, f"{out}-checkpoint").awaitTermination()
+        sinks.start_upserts(latest, out, f"{out}-checkpoint", ["database_id", "check_type"]).awaitTermination()
     rows = sinks.read_upserts(spark, out, ["database_id", "check_type"]).collect()
     assert [(r.id, r.status) for r in rows] == [(2, "success")]
 
 
 def test_a_repeated_batch_writes_the_same(spark, tmp_path):
-    """Detecting a batch twice from the same state gives the same changes and state."""
+    """Detecting a batch twice from the same state gives the same pairs."""
     state = spark.createDataFrame([reading(0, "4MB")], READING)
     batch = spark.createDataFrame([reading(1, "8MB"), reading(2, "8MB")], READING)
-    runs = [changes.detect(batch, state, ["database_id"], "day") for _ in range(2)]
-    assert [sorted(map(str, c.collect())) for c, _ in runs][0] == [sorted(map(str, c.collect())) for c, _ in runs][1]
-    assert [r.setting for r in runs[0][1].collect()] == ["8MB"]
+    runs = [sorted(map(str, changes.detect(batch, state, ["database_id"]).collect())) for _ in range(2)]
+    assert runs[0] == runs[1] and [r.id for r in changes.detect(batch, state, ["database_id"]).filter("is_change").collect()] == [1]
+
+
+@pytest.mark.parametrize("compact_every", [1, 3, 10])
+def test_any_order_of_readings_equals_batch(spark, tmp_path, compact_every):
+    rnd = random.Random(9)
+    rows = [reading(i, rnd.choice(["1MB", "2MB", "4MB", ""]), rnd.choice(["work_mem", "wal_buffers"]), rnd.randrange(40)) for i in range(60)]
+    rnd.shuffle(rows)
+    found, out = run_changes(spark, tmp_path, [rows[k::6] for k in range(6)], compact_every=compact_every)
+    want = []
+    for name in ("work_mem", "wal_buffers"):
+        own = sorted((r for r in rows if r[1] == name), key=lambda r: (r[2], r[3]))
+        want += [(b[3], a[4], b[4]) for a, b in zip(own, own[1:]) if a[4] != b[4]]
+    assert [f[:3] for f in found] == sorted(want)
+
+
+def test_lateness_bounds_the_state(spark, tmp_path):
+    batches = [
+        [reading(0, "1MB", minutes=60), reading(1, "2MB", minutes=240)],
+        [reading(2, "4MB", minutes=120), reading(3, "8MB", minutes=180), reading(4, "9MB", minutes=300)],
+    ]
+    found, _ = run_changes(spark, tmp_path / "all", batches)
+    assert [f[:3] for f in found] == [(1, "8MB", "2MB"), (2, "1MB", "4MB"), (3, "4MB", "8MB"), (4, "2MB", "9MB")]
+    found, out = run_changes(spark, tmp_path / "some", batches, lateness="90 minutes", compact_every=1)
+    assert [f[:3] for f in found] == [(1, "8MB", "2MB"), (3, "1MB", "8MB"), (4, "2MB", "9MB")]
+    assert sorted(r.id for r in sinks.VersionedTable(spark, f"{out}/state").all().collect()) == [1, 3, 4]
+
+
+def test_windows_do_not_follow_the_session_zone(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.sql("SELECT id, timestamp_ntz '2024-03-09 00:00:00' + make_dt_interval(0, id) AS ts, 'db' AS database_id FROM range(72)").coalesce(1).write.parquet(source)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        windows = snapshots.stream_snapshot_windows(sinks.file_stream(spark, source), {"n": F.count("*")})
+        out = str(tmp_path / "out")
+        sinks.start_upserts(windows, out, f"{out}-checkpoint", ["database_id", "period_start", "period_end"]).awaitTermination()
+        got = sinks.read_upserts(spark, out, ["database_id", "period_start", "period_end"]).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert sorted((r.period_start, r.n) for r in got) == [(datetime(2024, 3, d), 24) for d in (9, 10, 11)]
