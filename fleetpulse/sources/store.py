@@ -9,15 +9,17 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.constants import (
     CHECK_EXPIRY,
     CHECK_STATUSES,
     CHECK_TYPES,
+    MAX_ROWS,
     RESULT_RETENTION_DAYS,
     SNAPSHOT_CHECK,
     SNAPSHOT_RETENTION_DAYS,
@@ -200,40 +202,64 @@ def result_cleanup(spark: SparkSession, store: str, as_of: datetime, days: int =
     return _delete_expired(spark, store, as_of, days, CHECK_TYPES)
 
 
+def _documents(report: DataFrame, max_rows: int) -> DataFrame:
+    """One JSON document per database.  Rows are cut behind ``max_rows`` in every map task, and a
+    database that has more fails the check, so no document grows with the data."""
+    body = [c for c in report.columns if c != "database_id"]
+    rank = F.row_number().over(Window.partitionBy("database_id").orderBy(*[F.col(c) for c in body]))
+    few = report.withColumn("_rank", rank).filter(F.col("_rank") <= max_rows + 1)
+    document = F.to_json(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in body]))))
+    too_long = F.raise_error(F.lit(f"a report has more than {max_rows} rows for one database")).cast("string")
+    return few.groupBy("database_id").agg(
+        F.when(F.count("*") > max_rows, too_long).otherwise(document).alias("result_data")
+    )
+
+
 def refresh_all(
-    spark: SparkSession, checks: dict[str, DataFrame], store: str, as_of: datetime, database_id: str = "local"
+    spark: SparkSession,
+    checks: dict[str, DataFrame],
+    store: str,
+    as_of: datetime,
+    databases: DataFrame,
+    max_rows: int = MAX_ROWS,
 ) -> None:
     """Run every check and append one result row per database with status and elapsed time.
 
-    A report holds a bounded number of rows per database (its ``limit``, or the
-    listed settings), which become one JSON document.  The rows are written once
-    while the clock runs, and the stored row is made from what was written.  A
-    failing check is stored with its message and does not stop the others.
+    Reports have a ``database_id``.  Each is run once into its documents while the
+    clock runs, and all results are appended to the store in one write.  A database
+    without rows in a report gets an empty document.  A failing check is stored
+    with its whole message for each of ``databases`` (``database_id``) and does
+    not stop the others.  Ids follow from database, type and time, so a run
+    repeated for one time gives the same ids.
     """
-    for number, (check_type, report) in enumerate(checks.items()):
+    unknown = sorted(set(checks) - set(CHECK_TYPES))
+    if unknown:
+        raise ValueError(f"Unknown check types: {', '.join(unknown)}")
+    every = databases.select("database_id").distinct()
+    results = []
+    for check_type, report in checks.items():
         started = time.monotonic()
-        keyed = report if "database_id" in report.columns else report.withColumn("database_id", F.lit(database_id))
-        body = [c for c in keyed.columns if c != "database_id"]
-        document = F.to_json(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in body]))))
         try:
-            if check_type not in CHECK_TYPES:
-                raise ValueError(f"Unknown check type: {check_type}")
             path = shared_folder(spark, f"check-{check_type}")
-            keyed.groupBy("database_id").agg(document.alias("result_data")).write.parquet(path)
-            rows = spark.read.parquet(path).withColumn("status", F.lit("success")).withColumn(
-                "error_message", F.lit(None).cast("string")
+            _documents(report, max_rows).write.parquet(path)
+            found = spark.read.schema("database_id string, result_data string").parquet(path)
+            rows = every.join(found, "database_id", "left").select(
+                "database_id",
+                F.lit("success").alias("status"),
+                F.coalesce("result_data", F.lit("[]")).alias("result_data"),
+                F.lit(None).cast("string").alias("error_message"),
             )
-        except (PySparkException, ValueError) as failure:
-            if check_type not in CHECK_TYPES:
-                raise
-            rows = spark.createDataFrame(
-                [(database_id, None, "error", str(failure)[:500])],
-                "database_id string, result_data string, status string, error_message string",
+        except PySparkException as failure:
+            rows = every.select(
+                "database_id",
+                F.lit("error").alias("status"),
+                F.lit(None).cast("string").alias("result_data"),
+                F.lit(str(failure)).alias("error_message"),
             )
         elapsed = int((time.monotonic() - started) * 1000)
-        append_check_result(
+        results.append(
             rows.select(
-                F.lit(number).cast("long").alias("id"),
+                F.xxhash64("database_id", F.lit(check_type), F.lit(as_of.isoformat())).alias("id"),
                 "database_id",
                 F.lit(check_type).alias("check_type"),
                 "status",
@@ -241,6 +267,6 @@ def refresh_all(
                 "error_message",
                 _moment(as_of).alias("executed_at"),
                 F.lit(elapsed).cast("int").alias("execution_time_ms"),
-            ),
-            store,
+            )
         )
+    append_check_result(reduce(DataFrame.unionByName, results), store)

@@ -7,9 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from fleetpulse.constants import CHECK_TYPES
-from fleetpulse.operators import reports
+from fleetpulse.operators import metrics, reports
 from fleetpulse.session import shared_folder
 from fleetpulse.sources import store
+from registry import health
 from registry.base import AS_OF_SQL, register, sec, seconds
 from registry.fixtures import view
 
@@ -110,20 +111,36 @@ def check_violations(spark, sf):
 
 @register(
     "retention_cleanup",
-    f"""SELECT check_type, COUNT(*) FILTER (WHERE NOT gone) AS kept, COUNT(*) FILTER (WHERE gone) AS deleted
-    FROM (SELECT check_type, check_type = 'database_snapshot' AND executed_at < {NOW_SQL} - INTERVAL 9 DAY AS gone
-      FROM v_check_results) r GROUP BY check_type""",
+    f"""SELECT id, check_type, {sec('executed_at')} AS executed_at FROM v_check_results
+    WHERE NOT (check_type = 'database_snapshot' AND executed_at < {NOW_SQL} - INTERVAL 9 DAY)""",
 )
 def retention_cleanup(spark, sf):
-    return store.retention_split(view(spark, sf, "v_check_results"), store.snapshot_expired(NOW, 9))
+    """Store all results, delete old snapshots, and read what is left."""
+    path = shared_folder(spark, "retention")
+    store.append_check_result(view(spark, sf, "v_check_results"), path)
+    store.retention_cleanup(spark, path, NOW, 9)
+    return store.read_check_results(spark, path).select("id", "check_type", *seconds("executed_at"))
 
 
 @register(
     "result_cleanup",
+    f"""SELECT id, check_type, {sec('executed_at')} AS executed_at FROM v_check_results
+    WHERE executed_at >= {NOW_SQL} - INTERVAL 5 DAY - INTERVAL 7 HOUR""",
+)
+def result_cleanup(spark, sf):
+    """Store all results, delete the old ones of every type, part of a day among them, and read what is left."""
+    path = shared_folder(spark, "cleanup")
+    store.append_check_result(view(spark, sf, "v_check_results"), path)
+    store.result_cleanup(spark, path, NOW - timedelta(hours=7), 5)
+    return store.read_check_results(spark, path).select("id", "check_type", *seconds("executed_at"))
+
+
+@register(
+    "retention_split",
     f"""SELECT check_type, COUNT(*) FILTER (WHERE NOT gone) AS kept, COUNT(*) FILTER (WHERE gone) AS deleted
     FROM (SELECT check_type, executed_at < {NOW_SQL} - INTERVAL 5 DAY AS gone FROM v_check_results) r GROUP BY check_type""",
 )
-def result_cleanup(spark, sf):
+def retention_split(spark, sf):
     return store.retention_split(view(spark, sf, "v_check_results"), store.expired(NOW, 5))
 
 
@@ -140,23 +157,58 @@ def append_check_result(spark, sf):
     return rows.select("id", "database_id", "result_data", *seconds("executed_at"))
 
 
+def _stored(check_type: str, item: str, source: str) -> str:
+    """Items of a report as the store has them, and an empty row for a database without any."""
+    return f"""SELECT d.database_id, '{check_type}' AS check_type, 'success' AS status, item
+      FROM every d LEFT JOIN (SELECT database_id, {item} AS item FROM {source}) r USING (database_id)"""
+
+
+EVERY = """every AS (SELECT DISTINCT database_id FROM v_table_stats UNION SELECT DISTINCT database_id FROM v_activity)"""
+SETTINGS_NOW = f"v_settings WHERE name IN {health.REVIEWED} AND database_id IN (SELECT database_id FROM every)"
+
+
 @register(
     "refresh_all",
-    """SELECT 'missing_indexes' AS check_type, 'success' AS status, CAST(LEAST(10, COUNT(*)) AS INT) AS items FROM v_table_stats
-      WHERE schemaname = 'public' AND seq_scan > 180 AND idx_scan = 0
-    UNION ALL SELECT 'sequential_scans', 'success', CAST(LEAST(10, COUNT(*)) AS INT) FROM v_table_stats
-      WHERE schemaname = 'public' AND seq_scan > 100
-    UNION ALL SELECT 'slow_queries', 'success', CAST(LEAST(10, COUNT(*)) AS INT) FROM v_statements""",
+    " UNION ALL ".join(
+        [
+            _stored("unused_indexes", "indexrelname", f"(SELECT * FROM {health.UNUSED}) u {health._top(10, 'index_bytes DESC NULLS FIRST, schemaname, indexrelname')}"),
+            _stored("missing_indexes", "concat(schemaname, '.', relname)", f"v_tables_now WHERE {health.PUBLIC} AND seq_scan > 180 AND idx_scan = 0 {health._top(10, 'seq_scan DESC NULLS FIRST, schemaname, relname')}"),
+            _stored("sequential_scans", "concat(schemaname, '.', relname)", f"v_tables_now WHERE {health.PUBLIC} AND seq_scan > 100 {health._top(10, 'seq_scan DESC NULLS FIRST, schemaname, relname')}"),
+            _stored("slow_queries", "query", f"v_statements_now {health._top(10, 'total_exec_time DESC NULLS FIRST, query')}"),
+            _stored("table_bloat", "concat(schemaname, '.', relname)", f"{health.DEAD} {health._top(10, health.PCT + ' DESC NULLS FIRST, n_dead_tup DESC NULLS FIRST, schemaname, relname')}"),
+            _stored("parameter_settings", "concat(name, '=', setting)", SETTINGS_NOW),
+            _stored("database_snapshot", "CAST(n AS VARCHAR)", "(SELECT database_id, COUNT(*) AS n FROM v_activity GROUP BY 1) a"),
+        ]
+    ),
+    extra=(EVERY,),
 )
 def refresh_all(spark, sf):
-    """Run three checks into a new store and read what was stored."""
+    """Run all seven checks into a new store and read the items of what was stored."""
     path = shared_folder(spark, "refresh")
-    tables = view(spark, sf, "v_table_stats")
+    tables = reports.latest_capture(view(spark, sf, "v_table_history"))
+    indexes = reports.latest_capture(view(spark, sf, "v_index_history"))
+    statements = reports.latest_capture(view(spark, sf, "v_statement_history"))
+    activity = view(spark, sf, "v_activity")
+    every = tables.select("database_id").unionByName(activity.select("database_id")).distinct()
+    settings = view(spark, sf, "v_settings").join(every, "database_id", "left_semi")
+    snapshot = metrics.snapshot_metrics(tables, statements, activity, tables, ["database_id"])
     checks = {
+        "unused_indexes": reports.unused_indexes(indexes, view(spark, sf, "v_constraints")),
         "missing_indexes": reports.missing_indexes(tables, min_seq=180),
         "sequential_scans": reports.sequential_scans(tables),
-        "slow_queries": reports.slow_queries(view(spark, sf, "v_statements")),
+        "slow_queries": reports.slow_queries(statements),
+        "table_bloat": reports.table_bloat(tables),
+        "parameter_settings": reports.parameter_settings(settings),
+        "database_snapshot": snapshot,
     }
-    store.refresh_all(spark, checks, path, AS_OF - timedelta(hours=1))
+    store.refresh_all(spark, checks, path, AS_OF - timedelta(hours=1), every)
     rows = store.read_check_results(spark, path)
-    return rows.select("check_type", "status", F.json_array_length("result_data").alias("items"))
+    item = F.from_json("result_data", "array<map<string,string>>")
+    named = rows.withColumn("i", F.explode_outer(item)).withColumn(
+        "item",
+        F.coalesce(
+            F.concat(F.col("i")["name"], F.lit("="), F.col("i")["setting"]),
+            *[F.col("i")[name] for name in ("index", "table", "table_name", "query", "total_connections")],
+        ),
+    )
+    return named.select("database_id", "check_type", "status", "item")

@@ -70,14 +70,24 @@ def test_cleanup_deletes_exactly_the_expired_rows(spark, tmp_path, cleanup, dele
 
 def test_refresh_stores_failures_and_goes_on(spark, tmp_path):
     path = str(tmp_path / "store")
-    failing = spark.range(1).select(F.raise_error(F.lit("boom")).alias("x"))
-    report = spark.range(3).select(F.col("id").alias("table"))
-    store.refresh_all(spark, {"table_bloat": failing, "slow_queries": report}, path, NOW)
-    rows = {r.check_type: r for r in store.read_check_results(spark, path).collect()}
-    assert rows["table_bloat"].status == "error" and "boom" in rows["table_bloat"].error_message
-    assert rows["slow_queries"].status == "success"
-    assert rows["slow_queries"].result_data == '[{"table":0},{"table":1},{"table":2}]'
-    assert rows["slow_queries"].execution_time_ms > 0
+    every = spark.createDataFrame([("a",), ("b",)], "database_id string")
+    failing = every.select("database_id", F.raise_error(F.lit("boom " + "x" * 2000)).alias("x"))
+    report = spark.createDataFrame([("a", 2), ("a", 1)], "database_id string, `table` int")
+    checks = {"table_bloat": failing, "slow_queries": report, "sequential_scans": report}
+    store.refresh_all(spark, checks, path, NOW, every, max_rows=2)
+    rows = {(r.check_type, r.database_id): r for r in store.read_check_results(spark, path).collect()}
+    for name in ("a", "b"):
+        bad = rows["table_bloat", name]
+        assert bad.status == "error" and "x" * 2000 in bad.error_message and bad.result_data is None
+    assert rows["slow_queries", "a"].result_data == '[{"table":1},{"table":2}]'
+    assert rows["slow_queries", "b"].result_data == "[]"
+    assert rows["slow_queries", "a"].execution_time_ms > 0
+    assert len(rows) == len({r.id for r in rows.values()}) == 6
+    # Later runs have other ids, and a report too long for a document fails.
+    store.refresh_all(spark, {"slow_queries": report}, path, NOW + timedelta(hours=1), every, max_rows=1)
+    late = store.read_check_results(spark, path).filter(F.col("executed_at") > NOW).collect()
+    assert len({r.id for r in late} | {r.id for r in rows.values()}) == 8
+    assert all(r.status == "error" and "more than 1 rows" in r.error_message for r in late)
 
 
 def test_lifecycle_is_the_last_step_even_at_equal_times(spark, tmp_path):
