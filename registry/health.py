@@ -267,9 +267,7 @@ def snapshot_metrics(spark, sf):
     return metrics.snapshot_metrics(tables, view(spark, sf, "v_statements"), view(spark, sf, "v_activity"), tables)
 
 
-@register(
-    "snapshot_metrics_by_database",
-    f"""SELECT d.database_id, cache_hit_rate, avg_query_time, p95_query_time, total_queries, total_calls,
+BY_DATABASE = f"""SELECT d.database_id, cache_hit_rate, avg_query_time, p95_query_time, total_queries, total_calls,
       COALESCE(bloated_tables, 0) AS bloated_tables, COALESCE(avg_bloat_pct, 0) AS avg_bloat_pct,
       total_connections, active_connections, idle_connections, COALESCE(high_seq_scan_tables, 0) AS high_seq_scan_tables
     FROM (SELECT database_id, {HIT} AS cache_hit_rate FROM v_table_stats GROUP BY 1) d
@@ -277,8 +275,10 @@ def snapshot_metrics(spark, sf):
     JOIN (SELECT database_id, {CONNECTIONS} FROM v_activity GROUP BY 1) c USING (database_id)
     LEFT JOIN (SELECT database_id, COUNT(*) AS bloated_tables, {AVG_BLOAT} AS avg_bloat_pct FROM v_table_stats
       WHERE {BLOATED} GROUP BY 1) b USING (database_id)
-    LEFT JOIN (SELECT database_id, {SEQ} FROM v_table_stats WHERE {PUBLIC} GROUP BY 1) q USING (database_id)""",
-)
+    LEFT JOIN (SELECT database_id, {SEQ} FROM v_table_stats WHERE {PUBLIC} GROUP BY 1) q USING (database_id)"""
+
+
+@register("snapshot_metrics_by_database", BY_DATABASE)
 def snapshot_metrics_by_database(spark, sf):
     tables = view(spark, sf, "v_table_stats")
     return metrics.snapshot_metrics(tables, view(spark, sf, "v_statements"), view(spark, sf, "v_activity"), tables, DB)
@@ -305,9 +305,7 @@ def _metadata(spark, sf):
     )
 
 
-@register(
-    "collect_metadata",
-    f"""SELECT d.database_id, 'PostgreSQL 16.1' AS version, size_bytes, {pretty('size_bytes')} AS database_size,
+METADATA = f"""SELECT d.database_id, 'PostgreSQL 16.1' AS version, size_bytes, {pretty('size_bytes')} AS database_size,
       COALESCE(table_count, 0) AS table_count, COALESCE(index_count, 0) AS index_count, COALESCE(names, '') AS extensions
     FROM (SELECT database_id FROM v_table_stats UNION SELECT database_id FROM v_index_stats
       UNION SELECT database_id FROM v_extensions) d
@@ -315,32 +313,43 @@ def _metadata(spark, sf):
       FROM v_table_stats GROUP BY 1) t USING (database_id)
     LEFT JOIN (SELECT database_id, COUNT(*) AS index_count FROM v_index_stats GROUP BY 1) i USING (database_id)
     LEFT JOIN (SELECT database_id, string_agg(DISTINCT extname, ',' ORDER BY extname) AS names
-      FROM v_extensions GROUP BY 1) x USING (database_id)""",
-)
+      FROM v_extensions GROUP BY 1) x USING (database_id)"""
+
+
+@register("collect_metadata", METADATA)
 def collect_metadata(spark, sf):
     return _metadata(spark, sf).withColumn("extensions", F.array_join("extensions", ","))
 
 
+METRICS = (
+    "cache_hit_rate", "avg_query_time", "p95_query_time", "total_queries", "total_calls", "bloated_tables", "avg_bloat_pct",
+    "total_connections", "active_connections", "idle_connections", "high_seq_scan_tables",
+)
+
+
 @register(
     "collect_snapshot",
-    """SELECT d.database_id, n.names AS parameters, COALESCE(k.metrics, 0) AS metrics, x.extensions
-    FROM (SELECT database_id FROM v_settings UNION SELECT database_id FROM v_activity UNION SELECT database_id FROM v_index_stats) d
-    LEFT JOIN (SELECT database_id, string_agg(concat(name, '=', setting, COALESCE(unit, '')), ',' ORDER BY name) AS names
+    f"""SELECT database_id, names AS parameters, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in METRICS)},
+      version, size_bytes, database_size, table_count, index_count, extensions
+    FROM ({BY_DATABASE}) m FULL JOIN (SELECT database_id,
+      string_agg(concat(name, '=', setting, COALESCE(unit, '')), ',' ORDER BY name) AS names
       FROM v_settings WHERE name <> 'autovacuum_naptime' GROUP BY 1) n USING (database_id)
-    LEFT JOIN (SELECT database_id, 3 AS metrics FROM v_activity GROUP BY 1) k USING (database_id)
-    LEFT JOIN (SELECT database_id, CAST(COUNT(DISTINCT extname) AS INT) AS extensions FROM v_extensions GROUP BY 1) x USING (database_id)""",
+    FULL JOIN ({METADATA}) x USING (database_id)""",
 )
 def collect_snapshot(spark, sf):
+    """The whole document of every database, each value in a column."""
+    tables = view(spark, sf, "v_table_stats")
+    measured = metrics.snapshot_metrics(
+        tables, view(spark, sf, "v_statements"), view(spark, sf, "v_activity"), tables, DB
+    )
     snap = metrics.collect_snapshot(
-        metrics.connection_counts(view(spark, sf, "v_activity"), DB),
-        metrics.settings_to_map(view(spark, sf, "v_settings"), DB),
-        _metadata(spark, sf),
-        DB,
+        measured, metrics.settings_to_map(view(spark, sf, "v_settings"), DB), _metadata(spark, sf), DB
     )
     pairs = F.transform(F.map_entries("parameters"), lambda e: F.concat(e.key, F.lit("="), e.value))
     return snap.select(
         "database_id",
         F.array_join(pairs, ",").alias("parameters"),
-        F.coalesce(F.size("metrics"), F.lit(0)).alias("metrics"),
-        F.nullif(F.size("metadata.extensions"), F.lit(0)).alias("extensions"),
+        *[F.try_element_at("metrics", F.lit(m)).alias(m) for m in METRICS],
+        *[F.col(f"metadata.{c}") for c in ("version", "size_bytes", "database_size", "table_count", "index_count")],
+        F.array_join("metadata.extensions", ",").alias("extensions"),
     )

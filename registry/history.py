@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetpulse.operators import history
 from fleetpulse.plans.metrics import plan_metrics
 from fleetpulse.plans.tree import with_nodes
+from fleetpulse.session import shared_folder
 from registry.base import joined, plain, register, rnd, sec, seconds
 from registry.fixtures import executions, view
 
@@ -98,31 +99,47 @@ def execution_query_join(spark, sf):
     return history.execution_query_join(log, view(spark, sf, "v_saved_queries"))
 
 
-@register(
-    "execution_state",
-    f"""SELECT exec_id, status, error_message, {sec("CASE WHEN status <> 'pending' THEN created_at + INTERVAL 2 SECOND END")} AS started_at,
+ORACLE_OF_STATES = f"""SELECT exec_id, status, error_message, {sec("CASE WHEN status <> 'pending' THEN created_at + INTERVAL 2 SECOND END")} AS started_at,
       {sec("CASE WHEN status IN ('completed', 'failed') THEN created_at + INTERVAL 5 SECOND END")} AS completed_at,
-      CASE WHEN status IN ('completed', 'failed') THEN CAST(3000 AS DOUBLE) END AS duration_ms FROM v_executions""",
-)
+      CASE WHEN status IN ('completed', 'failed') THEN CAST(3000 AS DOUBLE) END AS duration_ms FROM v_executions"""
+
+
+@register("execution_state", ORACLE_OF_STATES)
 def execution_state(spark, sf):
     """Lifecycle events of every execution reduced to its current state."""
-    log = view(spark, sf, "v_executions")
+    return _states(history.execution_state(_steps(view(spark, sf, "v_executions"))))
+
+
+def _steps(log):
     reached = F.expr(
         """CASE status WHEN 'pending' THEN array(struct('pending' AS status, 0 AS after))
         WHEN 'running' THEN array(struct('pending' AS status, 0 AS after), struct('running' AS status, 2 AS after))
         ELSE array(struct('pending' AS status, 0 AS after), struct('running' AS status, 2 AS after), struct(status AS status, 5 AS after)) END"""
     )
     steps = log.select("exec_id", "created_at", "error_message", F.explode(reached).alias("step"))
-    events = steps.select(
+    return steps.select(
         "exec_id",
         "step.status",
         F.expr("created_at + INTERVAL '1' SECOND * step.after").alias("at"),
         F.when(F.col("step.status") == "failed", F.col("error_message")).alias("error_message"),
     )
-    out = history.execution_state(events)
+
+
+def _states(out):
     return out.select("exec_id", "status", "error_message", *seconds("started_at", "completed_at"), "duration_ms")
 
 
+@register("append_execution", ORACLE_OF_STATES)
+def append_execution(spark, sf):
+    """Append the events to a log in three runs, the ends first, and read the states back from it."""
+    steps = _steps(view(spark, sf, "v_executions"))
+    path = shared_folder(spark, "execution-log")
+    for statuses in (("completed", "failed"), ("pending",), ("running",)):
+        history.append_execution(steps.filter(F.col("status").isin(*statuses)), path)
+    stored = spark.read.schema("exec_id long, status string, at timestamp_ntz, error_message string").parquet(path)
+    return _states(history.execution_state(stored))
+
+
 BUILT_IN = """SELECT CAST(n_nationkey AS STRING) AS id, concat('Size of ', n_name) AS name,
   concat('SELECT * FROM ', lower(n_name)) AS sql, 'Built in' AS description, 'database' AS category FROM nation"""
 

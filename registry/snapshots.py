@@ -322,27 +322,51 @@ def export_timeline_csv(spark, sf):
     return spark.read.schema(snap.timeline_rows(rows).schema).option("header", True).csv(path)
 
 
+ISO_SQL = "'%Y-%m-%dT%H:%M:%SZ'"
+
+
 @register(
     "export_timeline_json",
-    f"""SELECT database_id, snapshot_id AS id, strftime(executed_at, '%Y-%m-%dT%H:%M:%SZ') AS collected_at, execution_time_ms,
-      p_shared_buffers AS shared_buffers, avg_query_time, version
-    FROM v_snapshots""",
+    f"""SELECT database_id, 'snapshot' AS part, concat_ws('|', snapshot_id, strftime(executed_at, {ISO_SQL}), execution_time_ms,
+        p_shared_buffers, CAST(ROUND(avg_query_time * 100) AS BIGINT), version, size_bytes) AS item FROM v_snapshots
+    UNION ALL SELECT database_id, 'info', concat_ws('|', '2024-01-31T00:00:00Z', COUNT(*), strftime(MIN(executed_at), {ISO_SQL}),
+        strftime(MAX(executed_at), {ISO_SQL}), '1 day', 90) FROM v_snapshots GROUP BY database_id
+    UNION ALL SELECT database_id, 'change', concat_ws('|', strftime(executed_at, {ISO_SQL}), name, old, new, change_type) FROM changes""",
+    extra=CHANGES30,
 )
 def export_timeline_json(spark, sf):
-    """Write the JSON export and give back what its reader sees."""
+    """Write the JSON export and give back what a reader of its three parts sees."""
     rows = snapshots(spark, sf)
     path = shared_folder(spark, "timeline-json")
     exports.export_timeline_json(rows, snap.parameter_changes(rows, AS_OF, 30), path, AS_OF)
-    back = spark.read.schema(
-        """database_id string, id bigint, collected_at string, execution_time_ms bigint,
-        parameters map<string,string>, metrics map<string,double>, metadata struct<version:string>"""
-    ).json(f"{path}/snapshots")
-    return back.select(
-        "database_id", "id", "collected_at", "execution_time_ms",
-        F.try_element_at("parameters", F.lit("shared_buffers")).alias("shared_buffers"),
-        F.try_element_at("metrics", F.lit("avg_query_time")).alias("avg_query_time"),
-        "metadata.version",
+
+    def part(folder, schema, name, *columns):
+        back = spark.read.schema(f"database_id string, {schema}").json(f"{path}/{folder}")
+        return back.select("database_id", F.lit(name).alias("part"), F.concat_ws("|", *columns).alias("item"))
+
+    stored = part(
+        "snapshots",
+        """id bigint, collected_at string, execution_time_ms bigint, parameters map<string,string>, metrics map<string,double>,
+        metadata struct<version:string,size_bytes:bigint>""",
+        "snapshot",
+        "id", "collected_at", "execution_time_ms",
+        F.try_element_at("parameters", F.lit("shared_buffers")),
+        F.round(F.try_element_at("metrics", F.lit("avg_query_time")) * 100).cast("bigint"),
+        "metadata.version", "metadata.size_bytes",
+    )
+    info = part(
+        "info",
+        "exported_at string, snapshot_count bigint, date_range struct<`from`:string,`to`:string>, frequency string, retention_days int",
+        "info",
+        "exported_at", "snapshot_count", "date_range.from", "date_range.to", "frequency", "retention_days",
+    )
+    changes = part(
+        "parameter_changes",
+        "detected_at string, parameter string, `from` string, `to` string, change_type string",
+        "change",
+        "detected_at", "parameter", "from", "to", "change_type",
     )
+    return stored.unionByName(info).unionByName(changes)
 
 
 @register(
