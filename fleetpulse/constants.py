@@ -1,5 +1,6 @@
 """Names, limits and texts that reports must reproduce exactly."""
 
+# Names of checks, settings and metrics, and limits.
 CHECK_TYPES = (
     "unused_indexes",
     "missing_indexes",
@@ -12,8 +13,6 @@ CHECK_TYPES = (
 CHECK_STATUSES = ("pending", "running", "success", "error")
 SNAPSHOT_CHECK = "database_snapshot"
 
-EXECUTION_TYPES = ("execute", "analyze", "both")
-EXECUTION_STATUSES = ("pending", "running", "completed", "failed")
 
 REVIEWED_SETTINGS = (
     "shared_buffers",
@@ -70,6 +69,9 @@ SNAPSHOT_RETENTION_DAYS = 90
 RESULT_RETENTION_DAYS = 30
 MAX_ROWS = 1000
 CHART_MAX_ROWS = 50
+# Size texts and their units.
+UNIT_EXPONENT = {"KB": 1, "MB": 2, "GB": 3, "TB": 4}
+SIZE_TEXT = r"(?i)(\d+(?:\.\d+)?)\s*(kB|MB|GB|TB)"
 # Fixed values of type inference.
 TYPE_SHARE = 0.7
 NUMBER_TEXT = r"^-?\d+(\.\d+)?$"

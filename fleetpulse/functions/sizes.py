@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNIT_EXPONENT = {"KB": 1, "MB": 2, "GB": 3, "TB": 4}
-SIZE_TEXT = r"(?i)(\d+(?:\.\d+)?)\s*(kB|MB|GB|TB)"
+from fleetpulse.constants import SIZE_TEXT, UNIT_EXPONENT
 
 
 def size_pretty(size: Column) -> Column:

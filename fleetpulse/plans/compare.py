@@ -306,23 +306,26 @@ def comparison_document() -> Column:
 def plan_node_diff(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per pair and (node type, relation): how often it occurs in a and in b, and where.
 
-    Both node arrays lie in the pair's row, so they are matched there.
+    Both node arrays lie in the pair's row, so they are matched and counted there,
+    and only the counts leave it.
     """
 
     def labels(side: str) -> Column:
         return F.transform(F.col(f"{side}.nodes"), lambda n: F.struct(n["node_type"], n["relation_name"]))
 
-    def times(array: str) -> Column:
-        return F.size(F.filter(array, lambda x: x.eqNullSafe(F.col("key")))).cast("long")
+    def counted(key: Column) -> Column:
+        def times(array: str) -> Column:
+            return F.size(F.filter(array, lambda x: x.eqNullSafe(key))).cast("long")
+
+        return F.struct(
+            key["node_type"].alias("node_type"),
+            key["relation_name"].alias("relation_name"),
+            times("_a").alias("count_a"),
+            times("_b").alias("count_b"),
+        )
 
     listed = pairs.select(*keys, labels("a").alias("_a"), labels("b").alias("_b"))
-    each = listed.select(*keys, "_a", "_b", F.explode_outer(F.array_distinct(F.concat("_a", "_b"))).alias("key"))
-    counted = each.filter(F.col("key").isNotNull()).select(
-        *keys,
-        F.col("key.node_type").alias("node_type"),
-        F.col("key.relation_name").alias("relation_name"),
-        times("_a").alias("count_a"),
-        times("_b").alias("count_b"),
-    )
+    counts = F.transform(F.array_distinct(F.concat("_a", "_b")), counted)
+    each = listed.select(*keys, F.inline_outer(counts)).filter(F.col("count_a").isNotNull())
     place = F.when(F.col("count_b") == 0, "only a").when(F.col("count_a") == 0, "only b").otherwise("common")
-    return counted.withColumn("place", place)
+    return each.withColumn("place", place)

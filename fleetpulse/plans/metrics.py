@@ -10,6 +10,14 @@ from fleetpulse.functions.numbers import plain_number
 from fleetpulse.functions.text import fill
 from fleetpulse.plans.tree import BUFFER_FIELDS, root
 
+#: Node fields that ``plan_metrics``, ``with_issues`` and ``plan_summary`` read.
+METRIC_FIELDS = (
+    "node_type", "total_cost", "actual_rows", "join_type", "index_name", "sort_method", "peak_memory", "workers_planned",
+    "workers_launched",
+)
+ISSUE_FIELDS = ("node_type", "relation_name", "actual_time", "actual_rows", "temp_written_blocks")
+SUMMARY_FIELDS = ("node_type", "relation_name", "total_cost", "actual_rows", "actual_time")
+
 METRIC_COLUMNS = (
     "rows_returned",
     "rows_scanned",

@@ -1,13 +1,16 @@
 """Plan JSON -> nodes, inside the row.
 
 A plan is one JSON value in one row, so its nodes are taken apart there: no
-shuffle, no repeated scan per level, and no limit on depth.  ``aggregate`` walks
-one tree level per step; a plan has at most as many levels as its text has
-``"Plans"`` keys, plus one, so that many steps always suffice.
+shuffle and no repeated scan per level.  ``aggregate`` walks one tree level per
+step; a plan has at most as many levels as its text has ``"Plans"`` keys, plus
+one, so that many steps always suffice.  The JSON parser reads 1,000 nested
+values, which is about 490 levels; a deeper plan has a state of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,44 +49,51 @@ NODE_KEYS = (
 SORT_KEY = ("sort_key", "Sort Key", "array<string>")
 BUFFER_FIELDS = tuple(f for f, _, _ in NODE_KEYS if f.endswith("_blocks"))
 
+ALL_FIELDS = (*(f for f, _, _ in NODE_KEYS), "sort_key")
+#: A tree with so many levels may be nested deeper than the JSON parser reads (1,000 values, two a level).
+DEEP_LEVELS = 450
+
 _EDGE = "array<struct<path:array<int>,node:variant>>"
 
 
-def _levels() -> str:
-    """SQL for the array of (path, node) of the tree under ``_root``."""
+def _typed(fields: Sequence[str]) -> str:
+    """SQL type of the chosen keys of a node."""
+    known = {f: (key, kind) for f, key, kind in (*NODE_KEYS, SORT_KEY)}
+    return "struct<" + ",".join(f"`{known[f][0]}`:{known[f][1]}" for f in fields) + ">"
+
+
+def _tree(fields: Sequence[str]) -> str:
+    """SQL for the array of (path, typed fields) of the tree under ``_root``.
+
+    Only the level at hand keeps its subtrees; a finished node keeps its fields.
+    """
+    typed = _typed(fields)
     children = """flatten(transform(s.edge, e -> transform(
         coalesce(try_variant_get(e.node, '$.Plans', 'array<variant>'), cast(array() AS array<variant>)),
         (c, k) -> named_struct('path', concat(e.path, array(k)), 'node', c))))"""
+    read = f"transform(s.edge, e -> named_struct('path', e.path, 'f', try_variant_get(e.node, '$', '{typed}')))"
     return f"""aggregate(
         sequence(0, regexp_count(_plan_text, '"Plans"')),
-        named_struct('done', cast(array() AS {_EDGE}),
+        named_struct('done', cast(array() AS array<struct<path:array<int>,f:{typed}>>),
                      'edge', array(named_struct('path', cast(array() AS array<int>), 'node', _root))),
         (s, i) -> CASE WHEN size(s.edge) = 0 THEN s
-                  ELSE named_struct('done', concat(s.done, s.edge), 'edge', {children}) END,
-        s -> concat(s.done, s.edge))"""
-
+                  ELSE named_struct('done', concat(s.done, {read}), 'edge', {children}) END,
+        s -> s.done)"""
 
-def _node_fields() -> str:
-    """SQL lambda body: one typed struct read from a node in a single variant access."""
-    keys = (*NODE_KEYS, SORT_KEY)
-    wanted = ",".join(f"`{key}`:{kind}" for _, key, kind in keys)
-    fields = ", ".join(f"'{field}', x.f.`{key}`" for field, key, _ in keys)
-    read = f"named_struct('path', n.path, 'f', try_variant_get(n.node, '$', 'struct<{wanted}>'))"
-    return f"""transform(transform(_tree, n -> {read}),
-        x -> named_struct('path', x.path, 'level', size(x.path), {fields}))"""
 
+def _named(fields: Sequence[str]) -> str:
+    """SQL from (path, typed fields) to the node struct."""
+    keys = {f: key for f, key, _ in (*NODE_KEYS, SORT_KEY)}
+    shown = ", ".join(f"'{f}', x.f.`{keys[f]}`" for f in fields)
+    return f"transform(_tree, x -> named_struct('path', x.path, 'level', size(x.path), {shown}))"
 
-def with_nodes(executions: DataFrame, plan: str = "execution_plan") -> DataFrame:
-    """Add ``plan_state``, ``planning_time``, ``execution_time`` and ``nodes`` (pre-order).
 
-    ``plan_state`` is ``absent`` (no text), ``malformed`` (not JSON), ``empty``
-    (JSON without a plan) or ``ok``; every row is kept.  The plan may be an
-    object or a list of one object.
-    """
+def _with(executions: DataFrame, plan: str, fields: Sequence[str], tree: str) -> DataFrame:
     text = F.col(plan)
     document = F.try_parse_json(text)
     first = F.coalesce(F.try_variant_get("_doc", "$[0]", "variant"), F.col("_doc"))
     blank = text.isNull() | (F.trim(text) == "")
+    deep = F.regexp_count(text, F.lit('"Plans"')) >= DEEP_LEVELS
     parsed = (
         executions.withColumn("_plan_text", text)
         .withColumn("_doc", document)
@@ -91,20 +101,41 @@ def with_nodes(executions: DataFrame, plan: str = "execution_plan") -> DataFrame
         .withColumn("_root", F.try_variant_get("_first", "$.Plan", "variant"))
         .withColumn("_root", F.when(~F.is_variant_null("_root"), F.col("_root")))
     )
-    usable = F.col("_root").isNotNull()
+    unread = F.col("_doc").isNull()
     state = (
-        F.when(blank, "absent").when(F.col("_doc").isNull(), "malformed").when(~usable, "empty").otherwise("ok")
+        F.when(blank, "absent")
+        .when(unread & deep, "too_deep")
+        .when(unread, "malformed")
+        .when(F.col("_root").isNull(), "empty")
+        .otherwise("ok")
     )
     return (
         parsed.withColumn("plan_state", state)
         .withColumn("planning_time", F.try_variant_get("_first", '$["Planning Time"]', "double"))
         .withColumn("execution_time", F.try_variant_get("_first", '$["Execution Time"]', "double"))
-        .withColumn("_tree", F.expr(f"CASE WHEN _root IS NOT NULL THEN {_levels()} END"))
-        .withColumn("nodes", F.sort_array(F.expr(_node_fields())))
+        .withColumn("_tree", F.expr(f"CASE WHEN _root IS NOT NULL THEN {tree} END"))
+        .withColumn("nodes", F.sort_array(F.expr(_named(fields))))
         .drop("_plan_text", "_doc", "_first", "_root", "_tree")
     )
 
 
+def with_nodes(executions: DataFrame, plan: str = "execution_plan", fields: Sequence[str] = ALL_FIELDS) -> DataFrame:
+    """Add ``plan_state``, ``planning_time``, ``execution_time`` and ``nodes`` (pre-order) with the chosen ``fields``.
+
+    ``plan_state`` is ``absent`` (no text), ``malformed`` (not JSON), ``too_deep``
+    (not read, with ``DEEP_LEVELS`` levels or more: the parser stops at 1,000
+    nested values), ``empty`` (JSON without a plan) or ``ok``; every row is kept.
+    The plan may be an object or a list of one object.
+    """
+    return _with(executions, plan, fields, _tree(fields))
+
+
+def with_root(executions: DataFrame, plan: str = "execution_plan", fields: Sequence[str] = ALL_FIELDS) -> DataFrame:
+    """Like ``with_nodes``, but ``nodes`` holds the root alone and no other node is read."""
+    root_only = f"array(named_struct('path', cast(array() AS array<int>), 'f', try_variant_get(_root, '$', '{_typed(fields)}')))"
+    return _with(executions, plan, fields, root_only)
+
+
 def flatten_plan(with_nodes_df: DataFrame, keys: tuple[str, ...] = ("exec_id",)) -> DataFrame:
     """One row per plan node in pre-order position ``ord``.
 

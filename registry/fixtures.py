@@ -273,7 +273,10 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Execution log rows whose ``execution_plan`` is EXPLAIN-style JSON text."""
-    ex = view(spark, sf_dir, "v_executions")
+    # The table is a file of one row group, which one task would turn into plans; its rows are
+    # dealt out while they are still a few numbers each.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ex = view(spark, sf_dir, "v_executions").repartition(parts)
 
     quoted = ("Relation_Name", "Index_Name", "Join_Type", "Sort_Method")
 

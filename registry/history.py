@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetpulse.operators import history
-from fleetpulse.plans.metrics import plan_metrics
+from fleetpulse.plans.metrics import METRIC_FIELDS, plan_metrics
 from fleetpulse.plans.tree import with_nodes
 from fleetpulse.session import shared_folder
 from registry.base import joined, plain, register, rnd, sec, seconds
@@ -26,7 +26,7 @@ TITLE = "CASE WHEN length(sql_text) > 50 THEN concat(substring(sql_text, 1, 47),
 
 
 def analysed(spark, sf):
-    return plan_metrics(with_nodes(executions(spark, sf)))
+    return plan_metrics(with_nodes(executions(spark, sf), fields=METRIC_FIELDS))
 
 
 @register(
@@ -42,7 +42,7 @@ def query_history(spark, sf):
     newest = history.analyzable_executions(executions(spark, sf)).orderBy(
         F.col("created_at").desc_nulls_first(), F.col("exec_id").desc()
     ).limit(10)
-    return history.query_history(plan_metrics(with_nodes(newest)))
+    return history.query_history(plan_metrics(with_nodes(newest, fields=METRIC_FIELDS)))
 
 
 @register(

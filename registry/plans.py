@@ -47,7 +47,7 @@ def flatten_plan(spark, sf):
 )
 def plan_node_count(spark, sf):
     """How many plans have how many nodes."""
-    counted = metrics.plan_metrics(tree.with_nodes(executions(spark, sf))).groupBy("node_count")
+    counted = metrics.plan_metrics(tree.with_nodes(executions(spark, sf), fields=metrics.METRIC_FIELDS)).groupBy("node_count")
     out = counted.agg(F.count("*").alias("plans"), F.sum("node_count").alias("nodes"))
     return out.filter(F.col("nodes").isNotNull())
 
@@ -95,7 +95,7 @@ def tolerant_plan_parse(spark, sf):
     nodes=True,
 )
 def plan_summary(spark, sf):
-    rows = tree.with_nodes(executions(spark, sf))
+    rows = tree.with_root(executions(spark, sf), fields=metrics.SUMMARY_FIELDS)
     return rows.select("exec_id", "planning_time", "execution_time", metrics.plan_summary().alias("plan_summary"))
 
 
@@ -107,7 +107,7 @@ def plan_summary(spark, sf):
       CAST(NULL AS BIGINT) AS temp_written_blocks FROM (SELECT *, plan_state = 'plan' AS p FROM v_executions) e""",
 )
 def plan_buffer_stats(spark, sf):
-    return metrics.plan_buffer_stats(tree.with_nodes(executions(spark, sf)))
+    return metrics.plan_buffer_stats(tree.with_root(executions(spark, sf), fields=tree.BUFFER_FIELDS))
 
 
 @register(
@@ -148,7 +148,7 @@ ADVICE = """advised AS (SELECT *, CASE kind WHEN 'seq' THEN concat('Consider add
     extra=(FOUND, ADVICE),
 )
 def plan_issues(spark, sf):
-    rows = metrics.with_issues(tree.with_nodes(executions(spark, sf)))
+    rows = metrics.with_issues(tree.with_nodes(executions(spark, sf), fields=metrics.ISSUE_FIELDS))
     return rows.select(
         "exec_id", joined("slow_operations"), joined("suggestions"), joined("missing_indexes"), "issues_detected",
         metrics.has_performance_issues().alias("flagged"),
@@ -164,7 +164,7 @@ def plan_issues(spark, sf):
 )
 def missing_index_candidates(spark, sf):
     """Relations named by the missing-index rule over the whole log."""
-    rows = metrics.with_issues(tree.with_nodes(executions(spark, sf)))
+    rows = metrics.with_issues(tree.with_nodes(executions(spark, sf), fields=metrics.ISSUE_FIELDS))
     each = rows.select("exec_id", F.explode_outer("missing_indexes").alias("relation"))
     return each.filter(F.col("relation").isNotNull()).groupBy("relation").agg(F.count("*").alias("findings"), F.count_distinct("exec_id").alias("executions"))
 
@@ -186,7 +186,7 @@ def missing_index_candidates(spark, sf):
     extra=(FOUND, ADVICE),
 )
 def recommendations(spark, sf):
-    return scores.recommendations(metrics.with_issues(tree.with_nodes(executions(spark, sf))))
+    return scores.recommendations(metrics.with_issues(tree.with_nodes(executions(spark, sf), fields=metrics.ISSUE_FIELDS)))
 
 
 def clamp(score: str) -> str:

@@ -179,3 +179,23 @@ def test_node_diff_counts_and_matches_null_relations(spark):
 )
 def test_node_class(spark, kind, want):
     assert spark.createDataFrame([(kind,)], "t string").select(tree.node_class(F.col("t")).alias("c")).collect()[0].c == want
+
+
+def chain(levels: int) -> str:
+    return '{"Plan":' + '{"Node Type":"Nest","Plans":[' * (levels - 1) + '{"Node Type":"Leaf"}' + "]}" * (levels - 1) + "}"
+
+
+def test_deep_plans_are_read_and_deeper_ones_have_their_own_state(spark):
+    rows = tree.with_nodes(log(spark, chain(400), chain(900), chain(3)[:-4]), fields=("node_type",)).orderBy("exec_id").collect()
+    assert [r.plan_state for r in rows] == ["ok", "too_deep", "malformed"]
+    assert len(rows[0].nodes) == 400 and rows[0].nodes[-1].level == 399 and rows[0].nodes[-1].node_type == "Leaf"
+
+
+def test_root_alone_equals_the_first_node(spark):
+    fields = ("node_type", "total_cost", "shared_hit_blocks")
+    whole = tree.with_nodes(log(spark, PLAN, None, "[]"), fields=fields).orderBy("exec_id").collect()
+    alone = tree.with_root(log(spark, PLAN, None, "[]"), fields=fields).orderBy("exec_id").collect()
+    assert [(r.plan_state, r.planning_time, (r.nodes or [None])[0]) for r in whole] == [
+        (r.plan_state, r.planning_time, (r.nodes or [None])[0]) for r in alone
+    ]
+    assert len(alone[0].nodes) == 1
