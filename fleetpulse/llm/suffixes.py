@@ -48,6 +48,8 @@ GRAM = 16
 CHUNK = 1 << 20
 #: Places in rows of the same doc_id are this far apart; a Spark value is shorter.
 ROW = 1 << 40
+#: A part's strings are compared in so many turns.
+TURNS = 8
 #: Batches that a part of the suffixes is indexed in.
 BATCHES = 8
 
@@ -394,41 +396,22 @@ def _spans(homes: int):
             place.append(np.frombuffer(_unzip(places), np.int64))
             raw, numbers, at = _unzip(data), [], 0
             for k, n in np.frombuffer(_unzip(shapes), np.uint64).reshape(-1, 2).tolist():
-                numbers.append(segments.setdefault(raw[at : at + n], len(segments)))
+                numbers.append(segments.setdefault((k, raw[at : at + n]), len(segments)))
                 at += n
             which.append(np.array(numbers, np.int64)[np.frombuffer(_unzip(local), np.int64)])
         doc, place, which = np.concatenate(doc), np.concatenate(place), np.concatenate(which)
-        size = np.array([len(s) for s in segments], np.int64)
-        data = np.frombuffer(b"".join(segments), np.uint8)
-        begin = np.cumsum(size) - size
-        # Least document of each different segment, then of each different string.
-        least = np.full(len(size), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, doc)
-        strings = size - SPAN + 1
-        owner = np.repeat(np.arange(len(size)), strings)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
-        group = _equal_strings(data, begin[owner] + inside)
-        first_doc = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first_doc, group, least[owner])
-        # A document that is not the least of its segment loses all of it.
-        later = doc > least[which]
-        i, s, e = [doc[later]], [place[later]], [place[later] + size[which[later]]]
-        # The least one loses the strings that another segment gives to a smaller document.
-        gone = first_doc[group] < least[owner]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)) != 0)
-        cuts = np.flatnonzero(inside == 0)  # a run ends with its segment
-        runs: dict[int, list[tuple[int, int]]] = {}
-        for a, b in edge.reshape(-1, 2).tolist():
-            inner = cuts[np.searchsorted(cuts, a, side="right") : np.searchsorted(cuts, b)].tolist()
-            for x, y in zip([a, *inner], [*inner, b]):
-                runs.setdefault(int(owner[x]), []).append((int(inside[x]), int(inside[y - 1]) + SPAN))
-        if runs:
-            has = np.isin(which, np.fromiter(runs, np.int64)) & ~later
-            found = [(d, p + x, p + y) for d, p, w in zip(doc[has].tolist(), place[has].tolist(), which[has].tolist()) for x, y in runs[w]]
-            if found:
-                more = np.array(found, np.int64)
-                i, s, e = [*i, more[:, 0]], [*s, more[:, 1]], [*e, more[:, 2]]
-        i, s, e = np.concatenate(i), np.concatenate(s), np.concatenate(e)
+        # Strings meet only under one key, so the keys are taken in turns and memory stays small.
+        turn = np.array([k >> 40 for k, _ in segments], np.int64) % TURNS
+        texts = [t for _, t in segments]
+        found = []
+        for t in range(TURNS):
+            own = np.flatnonzero(turn == t)
+            if len(own):
+                number = np.zeros(len(turn), np.int64)
+                number[own] = np.arange(len(own))
+                at = np.flatnonzero(turn[which] == t)
+                found.append(_smaller_spans(doc[at], place[at], number[which[at]], [texts[k] for k in own.tolist()]))
+        i, s, e = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((s, i))
         i, s, e = i[order], s[order], e[order]
         out = [(h, _packed_ids(i[at]), s[at].tobytes(), e[at].tobytes()) for h, at in _groups(_home(i, homes))]
@@ -439,6 +422,47 @@ def _spans(homes: int):
     return compare
 
 
+def _smaller_spans(
+    doc: np.ndarray, place: np.ndarray, which: np.ndarray, segments: list[bytes]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of the spans that a smaller document has, among occurrences of ``segments``."""
+    size = np.array([len(s) for s in segments], np.int64)
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    begin = np.cumsum(size) - size
+    # Least document of each different segment, then of each different string.
+    least = np.full(len(size), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, doc)
+    strings = size - SPAN + 1
+    owner = np.repeat(np.arange(len(size)), strings)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
+    group = _equal_strings(data, begin[owner] + inside)
+    first_doc = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first_doc, group, least[owner])
+    # A document that is not the least of its segment loses all of it.
+    later = doc > least[which]
+    i, s, e = [doc[later]], [place[later]], [place[later] + size[which[later]]]
+    # The least one loses the strings that another segment gives to a smaller document.
+    gone = first_doc[group] < least[owner]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)) != 0)
+    cuts = np.flatnonzero(inside == 0)  # a run ends with its segment
+    runs: dict[int, list[tuple[int, int]]] = {}
+    for a, b in edge.reshape(-1, 2).tolist():
+        inner = cuts[np.searchsorted(cuts, a, side="right") : np.searchsorted(cuts, b)].tolist()
+        for x, y in zip([a, *inner], [*inner, b]):
+            runs.setdefault(int(owner[x]), []).append((int(inside[x]), int(inside[y - 1]) + SPAN))
+    if runs:
+        has = np.isin(which, np.fromiter(runs, np.int64)) & ~later
+        found = [
+            (d, p + x, p + y)
+            for d, p, w in zip(doc[has].tolist(), place[has].tolist(), which[has].tolist())
+            for x, y in runs[w]
+        ]
+        if found:
+            more = np.array(found, np.int64)
+            i, s, e = [*i, more[:, 0]], [*s, more[:, 1]], [*e, more[:, 2]]
+    return np.concatenate(i), np.concatenate(s), np.concatenate(e)
+
+
 # --- 3. removal -------------------------------------------------------------------------------------------------------
 
 
@@ -484,9 +508,14 @@ def repeated_spans(docs: DataFrame, parts: int, homes: int, batches: int = BATCH
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """``REMOVED`` for every row of ``docs``.  A part or a home is a group of a task: their number follows
-    ``spark.sql.shuffle.partitions``, so that it grows with the input."""
-    groups = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """``REMOVED`` for every row of ``docs``.
+
+    A part or a home is the load of one task: their number is that of
+    ``spark.sql.shuffle.partitions``, which is to grow with the input.  What goes
+    from a part to a home is one packed row, so the rows between two steps are as
+    many as the blocks of the shuffle, and never more than the suffixes in them.
+    """
+    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = written(repeated_spans(docs, groups, groups, batches), "suffix-spans")
     texts = housed(docs, groups)
     return texts.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(_remove, REMOVED)
