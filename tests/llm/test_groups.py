@@ -10,8 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
-from conftest import messy_rows
-from conftest_llm import by_rows
+from conftest_llm import by_rows, messy_rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
