@@ -36,11 +36,8 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their digests."""
-    path = bpe.vocabulary_path()
-    done = docs.select(
-        "doc_id", "lang", "source", bpe.digests(F.col("text"), path).alias("e"), bpe.encoded(F.col("text"), path).alias("ids")
-    )
-    return done.select("doc_id", "lang", "source", "e.*", "ids")
+    done = docs.select("doc_id", "lang", "source", bpe.encoded(F.col("text"), bpe.vocabulary_path()).alias("e"))
+    return done.select("doc_id", "lang", "source", "e.*")
 
 
 STAGES = [

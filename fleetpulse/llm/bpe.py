@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import per_process, table, text_column
 
 ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Entries kept of each cache of a process.
-CACHE = 600_000
+#: Entries kept in the caches of a process, about 200 bytes each: parts of texts, words, pairs of tokens.
+CHUNKS, WORDS, PAIRS = 300_000, 400_000, 200_000
 #: Longer pieces are not cached.
 CACHED_LENGTH = 64
 
@@ -132,7 +132,7 @@ class WordBpe:
         return True
 
     def _compatible(self, a: int, b: int) -> bool:
-        if len(self.pairs) >= CACHE:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         fits = self.pairs[a, b] = self._beside(a, b)
         return fits
@@ -166,7 +166,7 @@ class WordBpe:
             raw = word.encode().decode("latin-1")
             packed = _packed(self.word_ids(raw[:-1] + chr(ord(raw[-1]) + 256)))
             if len(word) <= CACHED_LENGTH:
-                if len(self.words) >= CACHE:
+                if len(self.words) >= WORDS:
                     self.words.clear()
                 self.words[word] = packed
         return packed
@@ -197,7 +197,7 @@ class WordBpe:
             if packed is None:
                 packed = self._chunk(chunk)
                 if len(chunk) <= CACHED_LENGTH:
-                    if len(known) >= CACHE:
+                    if len(known) >= CHUNKS:
                         known.clear()
                     known[chunk] = packed
             out.append(packed)
@@ -214,8 +214,14 @@ def encoder(path: str) -> WordBpe:
 
 
 def encoded(text: Column, path: str) -> Column:
-    """Array of the token ids of each text."""
-    return text_column("ids array<int>", lambda x: (np.frombuffer(encoder(path).encode(x), "<i4"),), text)["ids"]
+    """Struct ``ENCODED`` and ``ids``, the array of token ids, of each text."""
+
+    def row(x: str) -> tuple:
+        bpe = encoder(path)
+        packed = bpe.encode(x)
+        return *_digests(bpe, packed), np.frombuffer(packed, "<i4")
+
+    return text_column(f"{ENCODED}, ids array<int>", row, text)
 
 
 def digests(text: Column, path: str) -> Column:
@@ -223,13 +229,16 @@ def digests(text: Column, path: str) -> Column:
 
     def row(x: str) -> tuple:
         bpe = encoder(path)
-        packed = bpe.encode(x)
-        sha = hashlib.sha256
-        return len(packed) // 4, sha(packed).hexdigest(), sha(bpe.decode(packed)).hexdigest()
+        return _digests(bpe, bpe.encode(x))
 
     return text_column(ENCODED, row, text)
 
 
+def _digests(bpe: WordBpe, packed: bytes) -> tuple:
+    sha = hashlib.sha256
+    return len(packed) // 4, sha(packed).hexdigest(), sha(bpe.decode(packed)).hexdigest()
+
+
 def bpe_encoding(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ``ENCODED`` for every row of ``docs``; ``path`` names the tokenizer file on every executor."""
     return docs.select("doc_id", digests(F.col("text"), path or vocabulary_path()).alias("e")).select("doc_id", "e.*")

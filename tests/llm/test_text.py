@@ -61,7 +61,7 @@ def test_bpe_equals_library_on_odd_texts(library, own, text, tail):
 
 
 def test_bpe_ids_column(spark, messy, library):
-    got = {r.doc_id: r.x for r in messy.select("doc_id", bpe.encoded(messy.text, bpe.vocabulary_path()).alias("x")).collect()}
+    got = {r.doc_id: r.x for r in messy.select("doc_id", bpe.encoded(messy.text, bpe.vocabulary_path())["ids"].alias("x")).collect()}
     assert got[10] == library.encode(next(r.text for r in messy.collect() if r.doc_id == 10), add_special_tokens=False).ids
 
 
