@@ -41,8 +41,9 @@ SENSITIVE = re.compile(r"(?i:passw|pwd|secret|token|api[_ -]?key|private|credent
 REACH = 48
 #: Every sensitive context holds one of these.
 HINTS = ("passw", "pwd", "secret", "token", "api", "private", "credential", "auth", "bearer", "access")
-#: Runs worth measuring: key-like characters; those without a digit are passed over.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Runs worth measuring: key-like characters; those without a digit are passed over.  An inner "=" parts a key name
+#: from its value, so "=" belongs to a run only as padding at its end.
+RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 DIGIT = re.compile(r"[0-9]")
 #: Characters of surrounding text that the compressor sees on either side.
 AROUND = 256

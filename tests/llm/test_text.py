@@ -252,6 +252,20 @@ def test_novel_spans():
         assert secrets.scan(text)[4] == ""
 
 
+KEY = "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzQ8vT2uA5s"
+
+
+@pytest.mark.parametrize(
+    "name", ["export AWS_SECRET_ACCESS_KEY=", "PRIVATE_KEY=", "db_pwd=", "pwd=", "https://a.b/c?auth=", "?x=1&access_key=", "auth: x="]
+)
+@pytest.mark.parametrize("tail", ["", " and more", "&next=1", "\nLOG_LEVEL=debug"])
+def test_values_of_unquoted_assignments(name, tail):
+    for value in (KEY, KEY[:-1] + "=", KEY[:-2] + "=="):
+        text = name + value + tail
+        assert secrets.scan(text)[4:] == (f"novel:{len(name)}:{len(name) + len(value)}", 1)
+        assert secrets.redact(text) == f"{name}[REDACTED]{tail}"
+
+
 def test_redaction(messy):
     text = 'a password = "abcdefgh12" b ' + "0123456789abcdef" * 2 + " c"
     assert secrets.redact(text) == 'a [REDACTED]" b [REDACTED] c'
