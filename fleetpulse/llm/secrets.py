@@ -4,7 +4,8 @@ Three fixed patterns give the base spans.  Beyond them, a long run of key-like
 characters in a sensitive context is measured by its marginal size: bytes of
 the surrounding text with the run, less bytes without it, both compressed with
 zstandard primed by a dictionary of ordinary code and identifiers.  A run that
-costs nearly as much as its own characters carry is new to both, and reported.
+costs nearly as much as its own characters carry is new to both, and reported;
+with or without digits.
 
 Defined cases: a null or empty text has no span and the hash of an empty list;
 offsets count code points; equal starts keep the order of ``KINDS``; a run that
@@ -41,17 +42,43 @@ SENSITIVE = re.compile(r"(?i:passw|pwd|secret|token|api[_ -]?key|private|credent
 REACH = 48
 #: Every sensitive context holds one of these.
 HINTS = ("passw", "pwd", "secret", "token", "api", "private", "credential", "auth", "bearer", "access")
-#: Runs worth measuring: key-like characters; those without a digit are passed over.  An inner "=" parts a key name
+#: Runs worth measuring: key-like characters.  An inner "=" parts a key name
 #: from its value, so "=" belongs to a run only as padding at its end.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
-DIGIT = re.compile(r"[0-9]")
 #: Characters of surrounding text that the compressor sees on either side.
 AROUND = 256
-#: Least marginal bytes per character.  Random hex costs about 0.5, random base64 about 0.75.
-NOVELTY = 0.5
+#: Least marginal bytes per character.  Of 1,000 random runs of each kind (hex, base62, letters of one or both cases),
+#: length (16, 24, 31) and place (short text, prose, env file) at most 1 costs less; the least hex run costs 0.75, the
+#: least base62 run 0.69, the least lower-case run 0.5.  Runs joined from common words and identifiers cost 0.14 to 0.7.
+NOVELTY = 0.55
 
 PRIMER = " ".join(
     """
+    the and that with this from have they which their there would about other when what some than them into only more
+    over such even most after also made many before must through where much your well down should because each just
+    those people how too little state good very make world still own see men work long get here between both life
+    being under never day same another know while last might great old year off come since against go came right used
+    take three himself few house use during without again place american around however home small found thought went
+    say part once general high upon school every does got united left number course war until always away something
+    fact water less public put think almost hand enough far took head yet government system better set told nothing
+    night end why called eyes find going look asked later knew point next program city business give group toward
+    young days let room word present given second order along possible national early means form action process
+    information authentication authorization application administration environment implementation configuration
+    connection collection function operation transaction validation verification registration permission session
+    version exception description expression extension dimension decision condition position addition edition
+    middleware factory manager handler controller service provider client server database repository component
+    interface abstract instance object property attribute method parameter argument variable constant operator
+    generate create update remove insert select request response header cookie content length character string
+    number integer boolean double float array list queue stack table column index primary foreign unique default
+    password username account customer address payment invoice product shipping message notification template
+    directory filename extension separator document reference resource location encoding decoding encrypted
+    signature certificate private public secure security access refresh expires expired invalid missing required
+    storage bucket region cluster container deployment namespace kubernetes docker service account policy role
+    getAccessToken setPassword isAuthenticated hasPermission toString valueOf createUser deleteUser findById
+    AccessToken RefreshToken ClientSecret UserName PassWord PrivateKey PublicKey SecretKey HttpClient
+    ACCESS_KEY SECRET_KEY PRIVATE_KEY DATABASE_URL DATABASE_PASSWORD AUTH_TOKEN CLIENT_SECRET CLIENT_ID
+    SESSION_SECRET AWS_SECRET_ACCESS_KEY AWS_ACCESS_KEY_ID GITHUB_TOKEN API_TOKEN
+    usr local etc opt var lib share bin home src main java python node_modules packages vendor
     import from return class def self None True False function const let var public private static void string int
     http https www com org net index html json yaml config settings default user username name value key id data
     password passwd secret token api_key apikey auth bearer authorization access credential private_key client_id
@@ -61,6 +88,13 @@ PRIMER = " ".join(
     2023-01-01 2024-01-01 2025-01-01 EXAMPLE CHANGEME placeholder your_token_here your-api-key-here xxxxxxxxxxxxxxxx
     """.split()
 ).encode()
+#: Ordinary prose before every text, so that letters have the code lengths of prose in short texts too.
+PROSE = (
+    "The service reads its settings when it starts and keeps them until the next restart. Every user of the account has a"
+    " name and a role, and the administrator can change both. If the password is lost, ask for another one; the old one"
+    " stops working at once. We keep a copy of the change for a day, and then it is removed from the store. Nothing else"
+    " has to be done by the client. "
+)
 
 
 def _compressor() -> zstandard.ZstdCompressor:
@@ -71,7 +105,8 @@ def _compressor() -> zstandard.ZstdCompressor:
 def marginal_bytes(run: str, before: str, after: str) -> int:
     """Compressed bytes that ``run`` adds to its surroundings."""
     size = per_process("secret compressor", _compressor).compress
-    return len(size((before + after + run).encode())) - len(size((before + after).encode()))
+    around = PROSE + before + after
+    return len(size((around + run).encode())) - len(size(around.encode()))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -95,7 +130,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     found = []
     for m in RUN.finditer(text):
         a, b = m.span()
-        if not DIGIT.search(m[0]) or any(s < b and a < e for s, _, e in base):
+        if any(s < b and a < e for s, _, e in base):
             continue
         if SENSITIVE.search(text, max(0, a - REACH), a):
             cost = marginal_bytes(m[0], text[max(0, a - AROUND) : a], text[b : b + AROUND])

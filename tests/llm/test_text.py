@@ -1,6 +1,7 @@
 """Operators that judge each text on its own: BPE, HTML, quality, secrets."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 from html.parser import HTMLParser
@@ -266,6 +267,34 @@ def test_values_of_unquoted_assignments(name, tail):
         assert secrets.redact(text) == f"{name}[REDACTED]{tail}"
 
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+PLACES = [
+    ("token of ", " here"),
+    ("It starts, and the old one stops working. Every user of the account has a name and a role. His token ", " is gone."),
+    ("export NODE_ENV=production\nDATABASE_HOST=localhost\nDB_PWD=", "\nLOG_LEVEL=debug\nREGION=eu-west-1\n"),
+]
+
+
+@pytest.mark.parametrize("place", PLACES)
+@pytest.mark.parametrize("signs", ["0123456789abcdef", LOWER, LOWER.upper(), LOWER + LOWER.upper(), LOWER + LOWER.upper() + "0123456789"])
+def test_random_runs_are_found(signs, place):
+    rnd = random.Random(11)
+    before, after = place
+    for n in (16, 20, 24, 31):
+        runs = ["".join(rnd.choice(signs) for _ in range(n)) for _ in range(200)]
+        found = sum(secrets.scan(before + x + after)[5] for x in runs)
+        assert found >= 198, (n, found)
+
+
+@pytest.mark.parametrize("place", PLACES)
+def test_passphrases_are_found_and_identifiers_are_not(place):
+    before, after = place
+    for x in ("correcthorsebatterystaple", "purplemonkeydishwasher", "quickbrownfoxjumps", "TrombonePickleVolcano"):
+        assert secrets.scan(before + x + after)[5] == 1, x
+    for x in ("AWS_SECRET_ACCESS_KEY", "PasswordAuthenticationProvider", "authorization_endpoint", "client_credentials_grant"):
+        assert secrets.scan(before + x + after)[5] == 0, x
+
+
 def test_redaction(messy):
     text = 'a password = "abcdefgh12" b ' + "0123456789abcdef" * 2 + " c"
     assert secrets.redact(text) == 'a [REDACTED]" b [REDACTED] c'
