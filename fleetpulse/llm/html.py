@@ -11,7 +11,8 @@ Not visible: scripts, styles, templates, metadata and embedded objects; elements
 with ``hidden`` or with a style of display:none or visibility:hidden; hidden
 inputs; what a closed ``details`` holds besides its summary.
 
-Defined cases: null or empty html gives an empty text; an unclosed comment, tag
+Defined cases: null or empty html gives an empty text; quotes inside a tag open a
+string only right after "=", as in HTML; an unclosed comment, tag, quoted value
 or script reaches to the end of the page; unknown tags are inline; repeated rows
 are rendered row by row.
 """
@@ -64,9 +65,11 @@ IMPLIED_END = {
 #: An end tag or an implied end does not look beyond these.
 SCOPE = frozenset(("table", "td", "th", "caption", "template", "object"))
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+#: A quote opens a string only right after "="; any other quote is an ordinary character.
+_ATTRIBUTE = r"""([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"([^"]*)"|'([^']*)'|([^ \t\n\f\r>"'][^ \t\n\f\r>]*+)|(?=>)|\Z)|(?![ \t\n\f\r]*+=))"""
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\f\r/>]*)((?:[ \t\n\f\r/]++|{_ATTRIBUTE})*+)>")
 _NAME = re.compile(r"</?[a-zA-Z]")
-_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTR = re.compile(_ATTRIBUTE)
 _HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 

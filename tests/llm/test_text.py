@@ -128,6 +128,27 @@ def test_html_layout(page, text):
     assert html.extract(page).strip("\n") == text.strip("\n")
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('a<img alt="5" screen">b "c" d', 'ab "c" d'),
+        ("<a title=John's>a</a> and Jane's <b>c</b>", "a and Jane's c"),
+        ('<table><tr><td width=10">a<td>b</table><p>c', "a | b\n\nc"),
+        ("<p>a</p '>b<p>c", "a\n\nb\n\nc"),
+        ("<p>a</p x=\"y>z\">b", "a\n\nb"),
+        ('<a "x>a</a>b', "ab"),
+        ('<a x = "1>2"y=\'3>4\'>a', "a"),
+        ("<a x=>a", "a"),
+        ("<a x=1>2", "2"),
+        ("<a =x>a", "a"),
+        ('<p title=">" hidden>n<p title=it"s hidden>n<p "hidden>y', "y"),
+        ('a<a href="x>b', "a"),
+    ],
+)
+def test_html_stray_quotes(page, text):
+    assert html.extract(page).strip("\n") == text
+
+
 def test_html_deep_and_null(spark):
     assert html.extract("<div>" * 50_000 + "x") == "x"
     pages = spark.createDataFrame([(1, None, None, "z"), (None, "u", "<p>a", "z"), (1, None, None, "z")], "page_id long, url string, html string, text string")
