@@ -7,7 +7,11 @@ set apart by a blank line, other blocks by a line break, list items with their
 mark and indent, preformatted text as it is, and table cells padded to the
 width of their column.  Everything works in loops, so depth is no limit.
 
-Not visible: scripts, styles, templates, metadata and embedded objects; elements
+Formulas and drawings (math, svg) show their text; each svg text and each row of a
+formula's table is a line of its own.
+
+Not visible: scripts, styles, templates, metadata and embedded objects; titles,
+descriptions, definitions and annotations of math and svg; elements
 with ``hidden`` or with a style of display:none or visibility:hidden; hidden
 inputs; what a closed ``details`` holds besides its summary.
 
@@ -22,7 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +39,18 @@ EXTRACTED = "text string, n_chars long, n_lines long, n_words long"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 UNSEEN = frozenset(
-    "script style template head title noscript iframe noembed noframes object embed audio video canvas svg math datalist"
+    "script style template head title noscript iframe noembed noframes object embed audio video canvas datalist"
     " map meta link base".split()
 )
+#: Parts of svg and math that are never shown.
+UNSEEN_FOREIGN = frozenset("title desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
+#: Inside these parts of svg and math, tags are those of HTML again.
+HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: Start tags that end an svg or math.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol"
+    " p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure ul ol dl table hr fieldset".split())
 BLOCK = SPACED | frozenset(
     "html body address article aside center dd details dialog dir div dt figcaption footer form header hgroup legend li"
@@ -74,8 +87,11 @@ _HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name or text, attributes): kinds are text, start, end and raw (text that holds no tags)."""
+def tokens(page: str, opened: Callable[[str], bool], foreign: Callable[[], bool]) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes): kinds are text, start, end and raw (text that holds no tags).
+
+    ``opened`` tells whether the last start tag opened an element, ``foreign`` whether the page is inside svg or math.
+    """
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
@@ -87,6 +103,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if page.startswith("<!--", lt):
             end = page.find("-->", lt + 4)
             at = n if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", lt) and foreign():
+            end = page.find("]]>", lt + 9)
+            yield "raw", page[lt + 9 : n if end < 0 else end], ""
+            at = n if end < 0 else end + 3
         elif page.startswith(("<!", "<?", "</"), lt) and not _NAME.match(page, lt):
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
@@ -99,7 +119,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 return
             at, name = m.end(), m[2].lower()
             yield ("end" if m[1] else "start"), name, m[3]
-            if not m[1] and name in RAW:
+            if not m[1] and name in RAW and opened(name):
                 close = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
                 end = n if close is None else close.start()
                 yield "raw", page[at:end], ""
@@ -107,14 +127,16 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "foreign")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, foreign: bool = False):
+        self.tag, self.attrs, self.children, self.foreign = tag, attrs or {}, [], foreign
 
     def visible(self) -> bool:
         return not (
             self.tag in UNSEEN
+            or self.foreign
+            and self.tag in UNSEEN_FOREIGN
             or "hidden" in self.attrs
             or self.tag == "input"
             or _HIDING.search(self.attrs.get("style", ""))
@@ -128,6 +150,11 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def self_closing(text: str) -> bool:
+    """Whether a tag with these attributes ends in a "/" that is no part of a value."""
+    return text.endswith("/") and max((m.end() for m in _ATTR.finditer(text)), default=0) < len(text)
+
+
 def tree(page: str) -> Node:
     """The page as nodes and strings, with the implied tags in place."""
     root = Node("#page")
@@ -151,18 +178,27 @@ def tree(page: str) -> Node:
         if keep is not None:
             cut(keep)
 
+    def foreign() -> bool:
+        return stack[-1].foreign and stack[-1].tag not in HTML_INSIDE
+
     def open_(tag: str, attrs: dict | None = None) -> None:
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, tag in ("svg", "math") or foreign())
         stack[-1].children.append(node)
         stack.append(node)
         is_open[tag] += 1
 
-    for kind, name, rest in tokens(page):
+    for kind, name, rest in tokens(page, lambda tag: stack[-1].tag == tag, foreign):
         if kind == "text":
             stack[-1].children.append(html.unescape(name))
         elif kind == "raw":
             stack[-1].children.append(html.unescape(name) if stack[-1].tag in ("textarea", "title") else name)
+        elif kind == "start" and (foreign() and name not in BREAKOUT or name in ("svg", "math")):
+            open_(name, attributes(rest))
+            if self_closing(rest):
+                cut(len(stack) - 1)
         elif kind == "start":
+            if foreign():
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if not stack[k - 1].foreign or stack[k - 1].tag in HTML_INSIDE))
             if name in CLOSES_P:
                 close(frozenset(["p"]), SCOPE | {"button"})
             if name in IMPLIED_END:
@@ -254,14 +290,44 @@ class Writer:
 
 
 class Grid:
-    """A table: rows of cells, each a list of lines with a column span."""
+    """A table: rows of cells, each a list of lines with a column span and a row span."""
 
     def __init__(self) -> None:
-        self.grid: list[list[tuple[list[str], int]]] = []
+        self.grid: list[list[tuple[list[str], int, int]]] = []
+        self.groups: list[int] = []  # of each row: the head, body or foot it stands in, which no cell leaves
+        self.group = 0
+
+    def placed(self) -> list[list[tuple[list[str], int]]]:
+        """Rows of lines and column spans without gaps: below a cell of several rows its columns are empty."""
+        out = []
+        reach: list[tuple[int, int, int]] = []  # first column, span and last row of the cells that go on below
+        for k, row in enumerate(self.grid):
+            if k and self.groups[k] != self.groups[k - 1]:
+                reach = []
+            reach = [c for c in reach if c[2] >= k]
+            cells, more, at, upcoming = [], [], 0, 0
+            for lines, span, below in row:
+                # The first columns that are free for the whole cell.
+                while upcoming < len(reach) and reach[upcoming][0] < at + span:
+                    first, width, _ = reach[upcoming]
+                    cells += [([], first - at)] * (first > at) + [([], width)]
+                    at = first + width
+                    upcoming += 1
+                cells.append((lines, span))
+                if below > 1:
+                    more.append((at, span, k + below - 1))
+                at += span
+            for first, width, _ in reach[upcoming:]:
+                cells += [([], first - at)] * (first > at) + [([], width)]
+                at = first + width
+            reach = sorted(reach + more)
+            out.append(cells)
+        return out
 
     def lines(self) -> list[str]:
+        grid = self.placed()
         widths: list[int] = []
-        for row in self.grid:
+        for row in grid:
             at = 0
             for cell, span in row:
                 widths += [0] * (at + span - len(widths))
@@ -269,7 +335,7 @@ class Grid:
                     widths[at] = max([widths[at], *map(len, cell)])
                 at += span
         out = []
-        for row in self.grid:
+        for row in grid:
             for k in range(max((len(c) for c, _ in row), default=0)):
                 at, parts = 0, []
                 for cell, span in row:
@@ -285,6 +351,12 @@ def _span(node: Node) -> int:
     return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() else 1
 
 
+def _rows(node: Node) -> int:
+    """Rows that a cell covers; a span of 0 reaches to the end of its head, body or foot."""
+    value = node.attrs.get("rowspan", "1").strip()
+    return min(int(value) or 65534, 65534) if value.isascii() and value.isdigit() else 1
+
+
 def render(root: Node) -> str:
     """The visible text of a tree."""
     page = Writer()
@@ -319,15 +391,24 @@ def render(root: Node) -> str:
                 lines = grids.pop().lines()
                 writers[-1].rows(lines)
                 writers[-1].block(2)
+        elif x.foreign and tag in ("text", "mtr", "mlabeledtr"):
+            w.block(1)
+
+            def leave() -> None:
+                writers[-1].block(1)
+        elif x.foreign and tag == "mtd":
+            w.blank = bool(w.line)
         elif tag == "tr" and grids:
             grids[-1].grid.append([])
+            grids[-1].groups.append(grids[-1].group)
         elif tag in ("td", "th") and grids:
             if not grids[-1].grid:
                 grids[-1].grid.append([])
+                grids[-1].groups.append(grids[-1].group)
             writers.append(Writer())
 
-            def leave(span: int = _span(x), row: list = grids[-1].grid[-1]) -> None:
-                row.append((writers.pop().done(), span))
+            def leave(span: int = _span(x), below: int = _rows(x), row: list = grids[-1].grid[-1]) -> None:
+                row.append((writers.pop().done(), span, below))
         elif tag == "caption" and grids:
             w.block(1)
 
@@ -376,6 +457,8 @@ def render(root: Node) -> str:
         elif tag in BLOCK:
             gap = 2 if tag in SPACED else 1
             w.block(gap)
+            if tag in ("thead", "tbody", "tfoot") and grids:
+                grids[-1].group += 1
             if tag == "details" and "open" not in x.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
 

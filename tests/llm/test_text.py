@@ -149,6 +149,56 @@ def test_html_stray_quotes(page, text):
     assert html.extract(page).strip("\n") == text
 
 
+HIDDEN = "script style template head title noscript iframe noembed noframes object audio video canvas datalist map".split()
+
+
+@pytest.mark.parametrize("tag", HIDDEN)
+def test_html_hides(tag):
+    assert html.extract(f"<p>a<{tag}>n</{tag}>b").strip() in ("ab", "a b", "a\nb")
+
+
+@pytest.mark.parametrize("tag", "svg math b a span unknown figure section summary text".split())
+def test_html_shows(tag):
+    assert html.extract(f"a<{tag}>y</{tag}>b").split() in (["ayb"], ["a", "y", "b"])
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", "so x=2 holds"),
+        ("<math><semantics><mi>x</mi><annotation>n</annotation><annotation-xml><mi>n</mi></annotation-xml></semantics></math>", "x"),
+        ("<math><mtable><mtr><mtd>1<mtd>2</mtr><mtr><mtd>3</mtd><mtd>4</mtd></mtr></mtable></math>", "1 2\n3 4"),
+        ("<svg><title>n</title><desc>n</desc><metadata>n</metadata><defs><text>n</text></defs><text>Jan</text><text>Feb</text></svg>", "Jan\nFeb"),
+        ("<svg><title/><defs/><style/><path d=/x/ /><text>y</text></svg>z", "y\nz"),
+        ("<svg><script>n</script><style>n</style><text>y<tspan> z</tspan></text></svg>", "y z"),
+        ("<svg><text><![CDATA[a <b> & c]]></text></svg><![CDATA[n]]>", "a <b> & c"),
+        ("<svg><defs><path><p>y", "y"),
+        ("<svg><foreignObject><p>a<p>b</foreignObject><text>c</text></svg>", "a\n\nb\n\nc"),
+        ("<svg hidden><text>n</text></svg>y", "y"),
+        ("<desc>y</desc><metadata>z</metadata>", "yz"),
+    ],
+)
+def test_html_formulas_and_drawings(page, text):
+    assert html.extract(page).strip("\n") == text
+
+
+@pytest.mark.parametrize(
+    "rows, text",
+    [
+        ("<tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e", "a | b\n  | c\nd | e"),
+        ("<tr><td>a<td rowspan=2>b<td>c<tr><td>d<td>e", "a | b | c\nd |   | e"),
+        ("<tr><td>a<td rowspan=0>b<tr><td>c<tr><td>d<td>e", "a | b\nc |\nd |   | e"),
+        ("<tr><td rowspan=3 colspan=2>a<td>b<tr><td>c<tr><td>d", "a   | b\n    | c\n    | d"),
+        ("<thead><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d", "a | b\nc | d"),
+        ("<tr><td rowspan=2>a<td rowspan=3>b<td>c<tr><td>d<tr><td>e<td>f", "a | b | c\n  |   | d\ne |   | f"),
+        ("<tr><td>a<td rowspan=2>b<tr><td colspan=2>c", "a | b\n  |   | c"),
+        ("<tr><td rowspan=x>a<td>b<tr><td>c", "a | b\nc"),
+    ],
+)
+def test_html_rowspans(rows, text):
+    assert html.extract(f"<table>{rows}</table>").strip("\n") == text
+
+
 def test_html_deep_and_null(spark):
     assert html.extract("<div>" * 50_000 + "x") == "x"
     pages = spark.createDataFrame([(1, None, None, "z"), (None, "u", "<p>a", "z"), (1, None, None, "z")], "page_id long, url string, html string, text string")
