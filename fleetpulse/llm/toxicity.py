@@ -1,15 +1,16 @@
 """Toxicity by the nearest labelled examples.
 
-A bounded sample of labelled documents is indexed by TF-IDF over terms that
-occur more often in toxic ones than chance allows (words and their beginnings,
-so that unseen forms of a word still meet).  Every document then looks up its
-exact nearest examples by cosine: postings are cut into blocks of examples, the
-largest weight of each term in each block bounds what a block can offer, and
-blocks are read from the most promising on until none can beat the k-th best.
-The examples vote with weights that fall with their distance.
+A bounded sample of labelled documents is indexed by TF-IDF over all their words,
+with real counts.  Terms that occur more often in toxic documents than chance
+allows (words and their beginnings, so that unseen forms of a word still meet)
+weigh more.  Every document then looks up its exact nearest examples by cosine:
+postings are cut into blocks of examples, the largest weight of each term in each
+block bounds what a block can offer, and only blocks that can beat the k-th best
+of the most promising ones are read.  The examples vote with weights that fall
+with their distance.
 
 Defined cases: a null, empty or very long text is scored like any other; a text
-without any indexed term takes the toxic share of the examples without one;
+without any word of an example takes the toxic share of the examples without one;
 without labelled examples every score is 0; equal similarities prefer the
 earlier example; repeated rows and null ids are scored row by row, a null id is
 not held out.
@@ -17,6 +18,7 @@ not held out.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -32,7 +34,7 @@ from .common import table, text_column, written
 
 #: Bound of the labelled sample that is indexed.
 EXAMPLES = 10_000
-#: Bound of the indexed terms, the most telling ones first.
+#: Bound of the telling terms, the most telling ones first; all other words are indexed too.
 TERMS = 4096
 LEAST_DOCS = 5
 LEAST_CHI2 = 40.0
@@ -42,14 +44,18 @@ BLOCK = 64
 #: A vote weighs 1 / (``NEAR`` + 1 - cosine), the prior as much as a distant vote.
 NEAR = 0.02
 PRIOR_WEIGHT = 1.0
-#: All words that no term fits are one more term, so the share of telling words counts and not only their kind.
+#: Beside telling terms, the number of all other words is one more term, so that their share counts too.
 OTHERS_IDF = 2.0
+#: What any other word weighs, where a telling term weighs 1.
+COMMON = 0.1
+#: Blocks that are read before the k-th best is known.
+FIRST = 8
 FOLDS = 5
 
 SCORED = "score double, predicted int, n_terms int, evidence string"
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def terms_of(token: str) -> set[str]:
@@ -60,71 +66,96 @@ def terms_of(token: str) -> set[str]:
     return out
 
 
-def _tokens(text: str) -> set[str]:
-    return set(text.lower().split())
+def _tokens(text: str) -> Counter[str]:
+    return Counter(text.lower().split())
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of all the ranges, in order."""
+    n = ends - starts
+    return np.repeat(ends - np.cumsum(n), n) + np.arange(n.sum())
 
 
 @dataclass
 class ExampleIndex:
-    """Block-max inverted index of the labelled examples; its size is bounded by ``EXAMPLES`` and ``TERMS``."""
-
-    vocabulary: dict[str, int]
-    idf: np.ndarray  # of the terms, and last of all other words
-    labels: np.ndarray  # of the indexed examples
-    ids: list[int]
-    starts: np.ndarray  # [term, block]: where the postings of the block begin
-    posted: np.ndarray  # example of each posting
-    weights: np.ndarray  # its weight
-    block_max: np.ndarray  # [term, block]
-    blank_share: float
-    share: float
+    """Block-max inverted index of the labelled examples; its size is bounded by the texts of ``EXAMPLES`` documents."""
+
+    vocabulary: dict[str, int]  # telling terms, then all other words of the examples
+    telling: int
+    idf: np.ndarray  # weights of the terms, and last of the number of other words
+    unseen: float  # weight of a word that no example has
+    labels: np.ndarray | None = None  # of the indexed examples
+    ids: list[int] = field(default_factory=list)
+    starts: np.ndarray | None = None  # [term, 2]: where its postings begin and end
+    posted: np.ndarray | None = None  # example of each posting
+    weights: np.ndarray | None = None  # its weight
+    pieces: np.ndarray | None = None  # [term]: where its pieces begin, one for each block with a posting
+    piece_block: np.ndarray | None = None
+    piece_max: np.ndarray | None = None
+    piece_start: np.ndarray | None = None  # where the postings of the piece begin
+    blank_share: float = 0.0
+    share: float = 0.0
     token_terms: dict = field(default_factory=dict)
     answers: dict = field(default_factory=dict)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted terms of a text and their weights, of length one."""
-        known, found, others = self.token_terms, Counter(), 0
-        for token in _tokens(text):
-            ids = known.get(token)
-            if ids is None:
-                ids = tuple(self.vocabulary[t] for t in terms_of(token) if t in self.vocabulary)
+        """Sorted terms of a text and their weights; with the words that no example has, of length one."""
+        known, found, unseen = self.token_terms, Counter(), Counter()
+        for token, n in _tokens(text).items():
+            parts = known.get(token)
+            if parts is None:
+                words = _WORDS.findall(token)
+                ends = [x for w in words for x in (w, *("^" + w[:k] for k in PREFIXES if len(w) > k))]
+                ids = tuple(self.vocabulary[x] for x in ends if x in self.vocabulary)
+                parts = ids, tuple(w for w in words if w not in self.vocabulary)
                 if len(known) >= _CACHE:
                     known.clear()
-                known[token] = ids
-            if ids:
-                found.update(ids)
-            else:
-                others += 1
-        if found and others:
-            found[len(self.vocabulary)] = others
+                known[token] = parts
+            for t in parts[0]:
+                found[t] += n
+            for w in parts[1]:
+                unseen[w] += n
+        if any(t < self.telling for t in found):
+            found[len(self.vocabulary)] = max(1, sum(n for t, n in found.items() if t >= self.telling) + sum(unseen.values()))
         terms = np.array(sorted(found), np.int64)
-        weights = np.array([1 + math.log(found[t]) for t in terms.tolist()]) * self.idf[terms]
-        return terms, weights / math.sqrt(float((weights**2).sum())) if len(terms) else weights
+        weights = (1 + np.log(np.array([found[t] for t in terms.tolist()], np.float64))) * self.idf[terms]
+        new = sum(((1 + math.log(n)) * self.unseen) ** 2 for n in unseen.values())
+        return terms, weights / math.sqrt(float((weights**2).sum()) + new) if len(terms) else weights
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """Exact k best (cosine, example), best first; examples without a common term are none."""
-        bound = weights @ self.block_max[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for t, q in zip(terms.tolist(), weights.tolist()):
-                s, e = self.starts[t, b], self.starts[t, b + 1]
-                if s < e:
-                    score[self.posted[s:e] - b * BLOCK] += q * self.weights[s:e]
-            hit = np.flatnonzero(score > 0)
-            best = sorted(best + [(score[i], b * BLOCK + i) for i in hit.tolist()], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        pieces = _ranges(self.pieces[terms], self.pieces[terms + 1])
+        asked = np.repeat(weights, self.pieces[terms + 1] - self.pieces[terms])
+        blocks = self.piece_block[pieces]
+        bound = np.bincount(blocks, asked * self.piece_max[pieces], minlength=-(-len(self.labels) // BLOCK))
+
+        def scored(chosen: np.ndarray) -> np.ndarray:
+            used = np.isin(blocks, chosen) if len(chosen) < 20 else np.bincount(chosen, minlength=len(bound))[blocks] > 0
+            first, end = self.piece_start[pieces[used]], self.piece_start[pieces[used] + 1]
+            at = _ranges(first, end)
+            return np.bincount(self.posted[at], np.repeat(asked[used], end - first) * self.weights[at], minlength=len(self.labels))
+
+        order = np.argsort(-bound, kind="stable")
+        score = scored(order[:FIRST])
+        least = float(np.partition(score, -k)[-k]) if len(score) > k else 0.0
+        rest = order[FIRST:]
+        rest = rest[(bound[rest] > 0) & (bound[rest] >= least - 1e-9)]
+        if len(rest):
+            score += scored(rest)
+        hit = np.flatnonzero(score > 0)
+        if len(hit) > k:
+            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
+        hit = hit[np.argsort(-score[hit], kind="stable")][:k]
+        return list(zip(score[hit].tolist(), hit.tolist()))
 
     def score(self, text: str) -> tuple:
         """The fields of ``SCORED``."""
         terms, weights = self.vector(text)
         if not len(terms):
             return self.blank_share, int(self.blank_share >= 0.5), 0, ""
-        key = (terms.tobytes(), weights.tobytes())
+        key = hashlib.blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest()
         if key not in self.answers:
-            if len(self.answers) >= _CACHE // 40:
+            if len(self.answers) >= _CACHE // 20:
                 self.answers.clear()
             best = self.nearest(terms, weights)
             votes = [(1 / (NEAR + 1 - s), self.labels[i]) for s, i in best]
@@ -156,8 +187,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -
     return written(labelled.where("toxic IS NOT NULL"), "toxicity-sample")
 
 
-def telling_terms(sample: DataFrame, n: int, n_toxic: int) -> DataFrame:
-    """At most ``TERMS`` terms of the sample by their chi-square for the toxic label: term, docs."""
+def term_counts(sample: DataFrame) -> DataFrame:
+    """Documents and toxic documents of every term of the sample: term, docs, toxic."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, toxic = Counter(), Counter()
@@ -174,7 +205,11 @@ def telling_terms(sample: DataFrame, n: int, n_toxic: int) -> DataFrame:
         )
 
     counted = sample.select("text", "toxic").mapInArrow(count, "term string, docs long, toxic long")
-    summed = counted.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    return counted.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+
+
+def telling_terms(summed: DataFrame, n: int, n_toxic: int) -> DataFrame:
+    """At most ``TERMS`` terms by their chi-square for the toxic label: term, docs."""
     expected = F.col("docs") * (n_toxic / n)
     surplus = F.col("toxic") - expected
     chi2 = surplus * surplus / expected + surplus * surplus / (F.col("docs") - expected)
@@ -184,44 +219,61 @@ def telling_terms(sample: DataFrame, n: int, n_toxic: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> ExampleIndex:
-    """The index of a labelled sample.  At most ``TERMS`` terms and ``bound`` short vectors reach the driver."""
+    """The index of a labelled sample.  The words of ``bound`` documents and their counts reach the driver, as Arrow."""
     sample = labelled_sample(docs, labels, bound)
     n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    found = telling_terms(sample, n, n_toxic).collect() if 0 < n_toxic < n else []
+    summed = written(term_counts(sample), "toxicity-terms")
+    found = telling_terms(summed, n, n_toxic).collect() if 0 < n_toxic < n else []
     vocabulary = {r["term"]: i for i, r in enumerate(found)}
-    idf = np.array([*(math.log((n + 1) / (r["docs"] + 1)) + 1 for r in found), OTHERS_IDF])
-    empty = np.zeros(0)
-    index = ExampleIndex(vocabulary, idf, empty, [], empty, empty, empty, empty, 0.0, 0.0)
+    words = summed.where(~F.col("term").startswith("^")).select("term", "docs").orderBy("term").toArrow()
+    n_docs = [r["docs"] for r in found]
+    for word, count in zip(words["term"].to_pylist(), words["docs"].to_pylist()):
+        if word not in vocabulary:
+            vocabulary[word] = len(vocabulary)
+            n_docs.append(count)
+    idf = np.log((n + 1) / (np.array(n_docs, np.float64) + 1)) + 1
+    idf[len(found) :] *= COMMON
+    index = ExampleIndex(vocabulary, len(found), np.append(idf, OTHERS_IDF), COMMON * (math.log(n + 1) + 1))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def row(text: str) -> tuple:
-        terms, weights = index.vector(text)
+        terms, weights = shared.value.vector(text)
         return terms.tolist(), weights.tolist()
 
-    vectors = sample.select("doc_id", "toxic", text_column("terms array<long>, weights array<double>", row, F.col("text")).alias("v"))
-    counted = vectors.groupBy((F.size("v.terms") == 0).alias("blank")).agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
-    share = {r["blank"]: r["toxic"] / r["n"] for r in counted.collect()}
-    rows = vectors.where(F.size("v.terms") > 0).select("toxic", "doc_id", "v.*").collect()
-    rows.sort(key=lambda r: (r["terms"], r["doc_id"]))  # like examples share blocks, which makes their bounds tight
-    blocks = -(-len(rows) // BLOCK)
-    posted: list[list[tuple[int, float]]] = [[] for _ in idf]
-    for i, r in enumerate(rows):
-        for t, w in zip(r["terms"], r["weights"]):
-            posted[t].append((i, w))
-    flat = [x for p in posted for x in p]
-    index.posted = np.array([i for i, _ in flat], np.int64)
-    index.weights = np.array([w for _, w in flat], np.float64)
-    index.starts = np.zeros((len(idf), blocks + 1), np.int64)
-    index.block_max = np.zeros((len(idf), blocks))
-    at = 0
-    for t, p in enumerate(posted):
-        index.starts[t] = at + np.searchsorted([i for i, _ in p], np.arange(blocks + 1) * BLOCK)
-        for i, w in p:
-            index.block_max[t, i // BLOCK] = max(index.block_max[t, i // BLOCK], w)
-        at += len(p)
-    index.labels = np.array([r["toxic"] for r in rows], np.int64)
-    index.ids = [r["doc_id"] for r in rows]
+    vectors = sample.select("doc_id", "toxic", text_column("terms array<int>, weights array<double>", row, F.col("text")).alias("v"))
+    rows = vectors.select("doc_id", "toxic", "v.*").toArrow().combine_chunks()
+    shared.unpersist()
+    toxic = rows["toxic"].to_numpy().astype(np.int64)
+    sizes = np.array([len(x) for x in rows["terms"]], np.int64)
+    ends = np.cumsum(sizes)
+    terms, weights = (rows[c].combine_chunks().flatten().to_numpy() for c in ("terms", "weights"))
+    ids = rows["doc_id"].to_pylist()
+
+    def place(i: int) -> tuple:  # like examples share blocks, which makes their bounds tight
+        own = terms[ends[i] - sizes[i] : ends[i]]
+        return own[own < index.telling].tolist(), ids[i]
+
+    order = np.array(sorted(np.flatnonzero(sizes).tolist(), key=place), np.int64)
+    at = _ranges(ends[order] - sizes[order], ends[order])
+    example, term, weight = np.repeat(np.arange(len(order)), sizes[order]), terms[at], weights[at]
+    by_term = np.lexsort((example, term))
+    example, term, index.weights = example[by_term], term[by_term].astype(np.int64), weight[by_term]
+    index.posted = example.astype(np.int32)
+    begins = np.searchsorted(term, np.arange(len(index.idf) + 1))
+    index.starts = np.stack([begins[:-1], begins[1:]], axis=1)
+    block = example // BLOCK
+    change = np.ones(len(term), bool)
+    change[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(change)
+    index.pieces = np.searchsorted(term[first], np.arange(len(index.idf) + 1))
+    index.piece_block = block[first].astype(np.int32)
+    index.piece_max = np.maximum.reduceat(index.weights, first) if len(first) else np.zeros(0)
+    index.piece_start = np.append(first, len(term))
+    index.labels = toxic[order]
+    index.ids = [ids[i] for i in order.tolist()]
     index.share = n_toxic / n if n else 0.0
-    index.blank_share = share.get(True, 0.0)
+    blank = toxic[sizes == 0]
+    index.blank_share = float(blank.mean()) if len(blank) else 0.0
     return index
 
 

@@ -327,6 +327,20 @@ def test_held_out_accuracy(spark, sf_dir):
     assert np.mean([(r.score - r.toxic) ** 2 for r in rows]) < 0.02
 
 
+def test_copy_of_an_example_with_rare_words(spark):
+    """Its only telling word stands in no other example; copies of it must still meet it."""
+    rnd = random.Random(4)
+    plain = [(i, " ".join(rnd.choices(["ka", "lo", "mi", "ren", "sut", "vel", "dor"], k=30))) for i in range(1, 300)]
+    rare = "zorgel quimp ka lo fraxen dulb mi vostrick"
+    usable = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([*plain, (usable[0], rare), (usable[1], rare), (None, rare)], "doc_id long, text string")
+    labels = spark.createDataFrame([*((i, int(i % 50 == 0)) for i, _ in plain), (usable[0], 1)], "doc_id long, toxic int")
+    scored = [r for r in toxicity.toxicity(docs, labels).collect() if r.doc_id is None or r.doc_id >= 1000]
+    assert len(scored) == 3
+    for r in scored:
+        assert r.evidence.startswith(f"{usable[0]}:1:1.000") and r.predicted == 1, r
+
+
 def test_toxicity_edge_cases(messy, no_documents, labels, no_labels):
     rows = toxicity.toxicity(messy, labels).collect()
     assert len(rows) == len(messy_rows()) and all(0 <= r.score <= 1 for r in rows)
