@@ -98,7 +98,7 @@ def stream_parameter_changes(spark, sf):
 def stream_retention(spark, sf):
     """Last values that survive when a parameter unread for six hours is forgotten."""
     out = shared_folder(spark, "stream-retention")
-    query = changes.stream_parameter_changes(readings(spark, sf), out, f"{out}/checkpoint", retention="6 hours")
+    query = changes.stream_parameter_changes(readings(spark, sf), out, f"{out}/checkpoint", retention="6 hours", lateness="6 hours")
     query.awaitTermination()
     rows = changes.read_state(spark, out, retention="6 hours")
     return rows.select("database_id", "parameter", "id", *seconds("executed_at"), "setting")

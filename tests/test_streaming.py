@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetpulse.streaming import changes, sinks, snapshots
+from fleetpulse.streaming.state import UnitTable
 
 START = datetime(2024, 1, 1)
 READING = "database_id string, parameter string, executed_at timestamp_ntz, id bigint, setting string"
@@ -120,7 +121,70 @@ def test_lateness_bounds_the_state(spark, tmp_path):
     assert [f[:3] for f in found] == [(1, "8MB", "2MB"), (2, "1MB", "4MB"), (3, "4MB", "8MB"), (4, "2MB", "9MB")]
     found, out = run_changes(spark, tmp_path / "some", batches, lateness="90 minutes", compact_every=1)
     assert [f[:3] for f in found] == [(1, "8MB", "2MB"), (3, "1MB", "8MB"), (4, "2MB", "9MB")]
-    assert sorted(r.id for r in sinks.VersionedTable(spark, f"{out}/state").all().collect()) == [1, 3, 4]
+    assert sorted(r.id for r in UnitTable(spark, f"{out}/state").all().collect()) == [1, 3, 4]
+
+
+def test_batches_read_only_the_units_they_touch(spark, tmp_path):
+    """Folders of other buckets and slices are not read, and a reading meets its neighbours in other slices."""
+    days = [[reading(10 * d + k, f"{k}MB", f"p{k}", minutes=1440 * d + k) for k in range(6)] for d in (0, 1, 3)]
+    late = [reading(100, "9MB", "p2", minutes=1440 * 2)]
+    found, out = run_changes(spark, tmp_path, [*days, late], slices="yyyy-MM-dd", buckets=4)
+    assert found == [(32, "9MB", "2MB", "change"), (100, "2MB", "9MB", "change")]
+    state = UnitTable(spark, f"{out}/state")
+    units = state.units_of(3)
+    assert len(units) == 1 and len(state.units_of(0)) > 1
+    rows = state.before(4, units)
+    assert len(rows.inputFiles()) == 1 < len(state.all().inputFiles())
+    assert "PartitionFilters: [" in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r.id for r in rows.collect()] == [100]
+
+
+def test_a_unit_is_compacted_alone(spark, tmp_path):
+    table = UnitTable(spark, str(tmp_path / "t"), compact_every=2)
+    for n in range(7):
+        rows = spark.createDataFrame([("sa", n % 2, n)], "slice string, bucket int, v int").union(
+            spark.createDataFrame([("sb", 0, n)], "slice string, bucket int, v int").filter(f"{n} = 0")
+        )
+        table.write(rows, n)
+        table.compact(n, table.units_of(n), lambda x: x.groupBy("slice", "bucket").agg(F.sum("v").cast("int").alias("v")))
+    folders = {str(p.relative_to(tmp_path / "t")).rsplit("/", 1)[0] for p in (tmp_path / "t").rglob("batch=*/*.parquet")}
+    assert {f for f in folders if "slice=sb" in f} == {"slice=sb/bucket=0/level=part/batch=0"}
+    assert {f for f in folders if "level=base" in f and "bucket=1" in f} == {"slice=sa/bucket=1/level=base/batch=3"}
+    assert sum(r.v for r in table.all().collect()) == sum(range(7))
+    # What a batch saw before stays readable for a second run of it.
+    assert sum(r.v for r in table.before(6, {("sa", 0)}).collect()) == 0 + 2 + 4
+
+
+def test_time_of_a_batch_does_not_grow(spark, tmp_path):
+    """Fifty batches, each of a day of its own: the last ones take about as long as the early ones."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for d in range(50):
+        rows = [reading(100 * d + k, f"{(d + k) % 3}MB", f"p{k % 20}", minutes=1440 * d + k) for k in range(60)]
+        spark.createDataFrame(rows, READING).coalesce(1).write.mode("append").parquet(source)
+    stream = sinks.file_stream(spark, source, files_per_batch=1)
+    query = changes.stream_parameter_changes(stream, out, f"{out}/checkpoint", slices="yyyy-MM-dd", buckets=2, compact_every=4)
+    query.awaitTermination()
+    took = [p["durationMs"]["addBatch"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(took) == 50
+    early, late = sorted(took[5:15])[5], sorted(took[-10:])[5]
+    assert late < 1.6 * early + 300, (early, late)
+    want = []
+    rows = spark.read.parquet(source).collect()
+    for name in {r.parameter for r in rows}:
+        own = sorted((r for r in rows if r.parameter == name), key=lambda r: (r.executed_at, r.id))
+        want += [(b.id, a.setting, b.setting) for a, b in zip(own, own[1:]) if a.setting != b.setting]
+    assert sorted((r.id, r["from"], r["to"]) for r in changes.read_changes(spark, out).collect()) == sorted(want)
+
+
+def test_retention_bounds_the_state(spark, tmp_path):
+    """Over ten retention periods the state keeps what the last one needs, for each key by its own clock."""
+    batches = [[reading(10 * h + k, f"{h % 4}MB", f"p{k}", minutes=60 * h + k) for k in range(3 if h else 4)] for h in range(20)]
+    found, out = run_changes(spark, tmp_path, batches, retention="2 hours", lateness="1 hour", compact_every=2)
+    assert len(found) == 19 * 3
+    sizes = {r.parameter: r["count"] for r in UnitTable(spark, f"{out}/state").all().groupBy("parameter").count().collect()}
+    # At most the readings of an hour, the one before, and the parts since the last compaction.
+    assert max(sizes.values()) <= 4 and sizes["p3"] == 1
+    assert {r.parameter: r.id for r in changes.read_state(spark, out, retention="2 hours").collect()} == {f"p{k}": 190 + k for k in range(3)}
 
 
 def test_windows_do_not_follow_the_session_zone(spark, tmp_path):
