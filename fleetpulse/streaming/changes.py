@@ -17,6 +17,7 @@ that is forgotten, and compaction removes it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +54,7 @@ def detect(
     columns = [*group, *_READING]
     rows = readings.select(*columns, F.lit(True).alias("_new"))
     if known is not None:
-        touched = readings.select(*group).distinct().alias("t")
-        own = known.alias("s").join(touched, _same_group("s", "t", group), "left_semi")
-        rows = rows.unionByName(own.select(*columns, F.lit(False).alias("_new")))
+        rows = rows.unionByName(known.select(*columns, F.lit(False).alias("_new")))
     paired = split_lag(rows, group, ["executed_at", "id"], ["executed_at", "setting", "_new"], pieces=PIECES)
     before, after = F.col("previous.setting"), F.col("setting")
     has_previous = F.col("previous").isNotNull()
@@ -164,10 +163,14 @@ def stream_parameter_changes(
         fresh, units = state.part(batch_id), state.units_of(batch_id)
         if fresh is None:
             return
-        edges.write(_edges(fresh, group), batch_id)
         found = detect(fresh, neighbours(batch_id, units), keys, retention)
         version = F.lit(batch_id).cast("long")
-        pairs.write(found.withColumns({"slice": slice_of("detected_at"), "bucket": bucket_of(group, buckets), "version": version}), batch_id)
+        found = found.withColumns({"slice": slice_of("detected_at"), "bucket": bucket_of(group, buckets), "version": version})
+        # Both follow from the part just written and from earlier batches.
+        with ThreadPoolExecutor(2) as pool:
+            rims = pool.submit(edges.write, _edges(fresh, group), batch_id)
+            pairs.write(found, batch_id)
+            rims.result()
         state.compact(batch_id, units, lambda rows: rows if lateness is None else _within(rows, lateness, retention, group))
         edges.compact(batch_id, edges.units_of(batch_id), lambda rows: _merged_edges(rows, group))
         pairs.compact(batch_id, pairs.units_of(batch_id), lambda rows: _newest_pairs(rows, keys))

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from fleetpulse.streaming import changes, sinks, snapshots
+from fleetpulse.streaming import changes, sinks, snapshots, windows
 from fleetpulse.streaming.state import UnitTable
 
 START = datetime(2024, 1, 1)
@@ -199,3 +199,29 @@ def test_windows_do_not_follow_the_session_zone(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert sorted((r.period_start, r.n) for r in got) == [(datetime(2024, 3, d), 24) for d in (9, 10, 11)]
+
+
+def test_late_rows_correct_closed_windows(spark, tmp_path):
+    """Rows days behind the watermark reach their windows, and the ledger has them and no others."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "database_id string, ts timestamp_ntz, v bigint"
+    at = lambda day, hour: START + timedelta(days=day, hours=hour)
+    batches = [
+        [("a", at(0, 1), 1), ("a", at(5, 3), 2), ("b", at(5, 3), 3)],
+        [("a", at(0, 2), 10), ("a", at(4, 23), 20), ("a", at(5, 1), 30), ("c", at(1, 0), 40)],
+        [("a", at(6, 0), 100), ("a", at(5, 23), 200), (None, at(0, 0), 300)],
+        [("a", at(5, 22), 1000), ("a", None, 2000)],
+    ]
+    aggregates = {"n": F.count("*"), "total": F.sum("v"), "top": F.max("v")}
+    merges = {"n": "sum", "total": "sum", "top": "max"}
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = sinks.file_stream(spark, source, files_per_batch=1)
+        windows.stream_window_metrics(stream, out, f"{out}-checkpoint", aggregates, {"top": "max"}, compact_every=2, watermark="2 hours").awaitTermination()
+    got = {(r.database_id, r.period_start.day): (r.n, r.total, r.top, r.late_rows) for r in windows.read_windows(spark, out, merges).collect()}
+    assert got == {
+        ("a", 1): (2, 11, 10, 1), ("a", 5): (1, 20, 20, 1), ("a", 6): (4, 1232, 1000, 0), ("a", 7): (1, 100, 100, 0),
+        ("b", 6): (1, 3, 3, 0), ("c", 2): (1, 40, 40, 1), (None, 1): (1, 300, 300, 1),
+    }
+    ledger = sorted((r.batch, r.v) for r in windows.read_late(spark, out).collect())
+    assert ledger == [(1, 10), (1, 20), (1, 40), (2, 300)]
