@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.constants import SNAPSHOT_SETTINGS
 from fleetpulse.functions.numbers import round_half_up
 from fleetpulse.functions.sizes import size_pretty
+from fleetpulse.operators.histogram import value_counts, with_totals
 from fleetpulse.operators.reports import dead_share, schema_filter
-from fleetpulse.operators.skew import exact_percentile, merge_parts
+from fleetpulse.operators.skew import merge_parts
 
 
 def cache_hit_rate(io_stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -25,27 +26,58 @@ def cache_hit_rate(io_stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return io_stats.groupBy(*keys).agg(rate.alias("cache_hit_rate"))
 
 
+def statement_histogram(statements: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The written histogram of the positive mean times, with the calls; reads ``statements`` once."""
+    return value_counts(statements.filter(F.col("mean_exec_time") > 0), keys, "mean_exec_time", ["calls"])
+
+
+def summary_of_histogram(histogram: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Average and 95th percentile of the mean time, statements and calls.
+
+    Histograms of several periods, put together by ``merge_histograms``, give the
+    summary of all of them.
+    """
+    time = F.sum(F.col("value").cast("decimal(28,10)") * F.col("copies").cast("decimal(18,0)")).cast("decimal(38,10)")
+    average = F.try_divide(time, F.sum("copies").cast("decimal(18,0)"))
+    totals = {
+        "avg_query_time": F.round(average, 2).cast("double"),
+        "total_queries": F.coalesce(F.sum("copies"), F.lit(0)),
+        "total_calls": F.sum("calls"),
+    }
+    found = with_totals(histogram, keys, totals, {"p95_query_time": 0.95})
+    return found.withColumn("p95_query_time", round_half_up(F.col("p95_query_time"), 2))
+
+
 def statement_summary(statements: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Average and 95th percentile of the mean time, statements and calls, where the mean is positive."""
-    timed = statements.filter(F.col("mean_exec_time") > 0)
-    totals = timed.groupBy(*keys).agg(
-        F.round(F.avg(F.col("mean_exec_time").cast("decimal(28,10)")), 2).cast("double").alias("avg_query_time"),
-        F.count("*").alias("total_queries"),
-        F.sum("calls").alias("total_calls"),
-    )
-    p95 = exact_percentile(timed, keys, "mean_exec_time", 0.95, "p95")
-    return merge_parts(
-        [totals, p95.select(*keys, round_half_up(F.col("p95"), 2).alias("p95_query_time"))], keys
-    )
+    return summary_of_histogram(statement_histogram(statements, keys), keys)
+
+
+def _is_bloated() -> Column:
+    return ((F.col("n_live_tup") + F.col("n_dead_tup")) > 0) & (dead_share() > 0.1)
+
+
+def _bloat_aggregates(where: Column | None = None) -> list[Column]:
+    share = dead_share() * 100 if where is None else F.when(where, dead_share() * 100)
+    count = F.count("*") if where is None else F.count_if(where)
+    return [
+        count.alias("bloated_tables"),
+        F.coalesce(F.round(F.avg(share), 2).cast("double"), F.lit(0.0)).alias("avg_bloat_pct"),
+    ]
 
 
 def bloat_summary(tables: DataFrame, keys: Sequence[str] = (), schema: str | None = "public") -> DataFrame:
-    bloated = schema_filter(tables, schema).filter(
-        ((F.col("n_live_tup") + F.col("n_dead_tup")) > 0) & (dead_share() > 0.1)
-    )
-    return bloated.groupBy(*keys).agg(
-        F.count("*").alias("bloated_tables"),
-        F.coalesce(F.round(F.avg(dead_share() * 100), 2).cast("double"), F.lit(0.0)).alias("avg_bloat_pct"),
+    return schema_filter(tables, schema).filter(_is_bloated()).groupBy(*keys).agg(*_bloat_aggregates())
+
+
+def table_summary(
+    tables: DataFrame, keys: Sequence[str] = (), schema: str | None = "public", min_seq: int = 100
+) -> DataFrame:
+    """``bloat_summary`` and ``high_seq_scan_count`` from one scan."""
+    return (
+        schema_filter(tables, schema)
+        .groupBy(*keys)
+        .agg(*_bloat_aggregates(_is_bloated()), F.count_if(F.col("seq_scan") > min_seq).alias("high_seq_scan_tables"))
     )
 
 
@@ -81,9 +113,8 @@ def snapshot_metrics(
         [
             cache_hit_rate(io_stats, keys),
             statement_summary(statements, keys),
-            bloat_summary(tables, keys, schema),
+            table_summary(tables, keys, schema, min_seq),
             connection_counts(activity, keys),
-            high_seq_scan_count(tables, keys, schema, min_seq),
         ],
         keys,
     )

@@ -100,73 +100,7 @@ def split_lag(
     )
 
 
-def exact_percentile(
-    df: DataFrame, keys: Sequence[str], value: str, fraction: float, name: str, accuracy: int = 10000
-) -> DataFrame:
-    """Interpolated percentile (``percentile_cont``) of ``value`` per key, exact.
-
-    A mergeable sketch brackets the wanted rank by two bounds; exact counts of
-    the rows below, between and above them then tell in which of the three
-    segments the two order statistics lie, and only those segments are sorted.
-    With the sketch within its error that is about ``6/accuracy`` of a key's
-    rows; if it ever were not, the counts still pick the right segment.
-    """
-    keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    slack = 3.0 / accuracy
-    bracket = [max(0.0, fraction - slack), min(1.0, fraction + slack)]
-    bounds = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", F.array(*[F.lit(b) for b in bracket]), F.lit(accuracy)).alias("_b")
-    )
-    segment = F.when(F.col("_v") < F.col("_b")[0], 0).when(F.col("_v") <= F.col("_b")[1], 1).otherwise(2)
-    marked = _attach(rows, bounds, keys).select(*keys, "_v", segment.alias("_segment"))
-
-    sizes = marked.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.count_if(F.col("_segment") == 0).alias("_below"),
-        F.count_if(F.col("_segment") <= 1).alias("_upto"),
-    )
-    rank = (F.col("_n") - 1) * F.lit(float(fraction))
-    low, high = F.floor(rank), F.ceil(rank)
-
-    def holder(position: Column) -> Column:
-        return F.when(position < F.col("_below"), 0).when(position < F.col("_upto"), 1).otherwise(2)
-
-    first = holder(low)
-    wanted = sizes.select(
-        *keys,
-        rank.alias("_rank"),
-        first.alias("_first"),
-        holder(high).alias("_last"),
-        F.when(first == 0, F.lit(0)).when(first == 1, F.col("_below")).otherwise(F.col("_upto")).alias("_before"),
-    )
-    kept = (
-        _attach(marked, wanted, keys)
-        .filter(F.col("_segment").between(F.col("_first"), F.col("_last")))
-        .groupBy(*keys, "_v", "_rank", "_before")
-        .agg(F.count("*").alias("_copies"))
-    )
-    # Running counts first over pieces of the values, at most ``PIECES`` per key, then inside a piece.
-    kept = with_even_piece(kept, "_v")
-    sums = kept.groupBy(*keys, "_piece").agg(F.sum("_copies").alias("_sum"))
-    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*keys, "_piece", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
-    within = Window.partitionBy(*keys, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.col("_before") + F.col("_earlier") + F.sum("_copies").over(within)
-    placed = _attach(kept, starts, [*keys, "_piece"]).withColumn("_end", end)
-    placed = placed.withColumn("_start", F.col("_end") - F.col("_copies"))
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((F.col("_start") <= position) & (position < F.col("_end")), F.col("_v")))
-
-    spot = F.col("_rank")
-    found = placed.groupBy(*keys).agg(
-        at(F.floor(spot)).alias("_lo"), at(F.ceil(spot)).alias("_hi"), F.max(spot - F.floor(spot)).alias("_part")
-    )
-    return found.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(name))
-
-
-def _attach(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+def attach(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
     """Add one row per key to its rows; without keys the one row comes as a scalar subquery."""
     if keys:
         left, right = rows.alias("l"), per_key.alias("r")

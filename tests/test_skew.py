@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetpulse.operators.skew import exact_percentile, merge_parts, newest_rows, split_lag, with_even_piece
+from fleetpulse.operators import metrics
+from fleetpulse.operators.histogram import merge_histograms, percentiles, value_counts
+from fleetpulse.operators.skew import merge_parts, newest_rows, split_lag, with_even_piece
 
 START = datetime(2024, 1, 1)
 
@@ -67,20 +69,45 @@ def test_pieces_of_nothing_and_of_nulls(spark):
     assert got == {1: None, 2: 1, 3: None}
 
 
-@pytest.mark.parametrize("fraction", [0.0, 0.05, 0.5, 0.95, 0.999, 1.0])
-@pytest.mark.parametrize("accuracy", [3, 10000])
-def test_exact_percentile(uneven, fraction, accuracy):
-    """Also exact when the sketch is far too coarse."""
-    got = exact_percentile(uneven, ["k"], "value", fraction, "p", accuracy)
-    want = uneven.groupBy("k").agg(F.expr(f"percentile(value, {fraction}D)").alias("q"))
-    rows = got.alias("g").join(want.alias("w"), F.col("g.k").eqNullSafe(F.col("w.k"))).select("p", "q").collect()
-    assert len(rows) == want.count()
-    assert all(r.p == pytest.approx(r.q, abs=1e-9) for r in rows)
+FRACTIONS = {f"p{k}": f for k, f in enumerate([0.0, 0.05, 0.5, 0.95, 0.999, 1.0])}
 
 
-def test_exact_percentile_without_keys(uneven):
-    got = exact_percentile(uneven, [], "value", 0.95, "p").collect()
-    assert got[0].p == pytest.approx(uneven.agg(F.expr("percentile(value, 0.95D)")).collect()[0][0])
+def plain_percentiles(rows, keys):
+    return rows.groupBy(*keys).agg(*[F.expr(f"percentile(value, {f}D)").alias(n) for n, f in FRACTIONS.items()])
+
+
+def values(df, keys):
+    return {tuple(r[k] for k in keys): [r[n] for n in FRACTIONS] for r in df.collect()}
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_percentiles_of_a_histogram(uneven, keys):
+    got = values(percentiles(value_counts(uneven, keys, "value"), keys, FRACTIONS), keys)
+    want = values(plain_percentiles(uneven, keys), keys)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_histograms_of_two_periods_add_up(uneven):
+    first, second = uneven.filter("id % 4 = 0"), uneven.filter("id % 4 <> 0")
+    both = merge_histograms([value_counts(x, ["k"], "value", ["id"]) for x in (first, second)], ["k"])
+    got, want = values(percentiles(both, ["k"], FRACTIONS), ["k"]), values(plain_percentiles(uneven, ["k"]), ["k"])
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert both.agg(F.sum("copies")).first()[0] == uneven.filter("value IS NOT NULL").count()
+    assert both.agg(F.sum("id")).first()[0] == uneven.filter("value IS NOT NULL").agg(F.sum("id")).first()[0]
+
+
+def test_a_summary_reads_its_source_once(spark, uneven, tmp_path):
+    """The plan has no scan of the source: it was read when the histogram was written."""
+    path = str(tmp_path / "statements")
+    uneven.selectExpr("k", "value AS mean_exec_time", "id AS calls").write.parquet(path)
+    rows = spark.read.parquet(path)
+    summary = metrics.statement_summary(rows, ["k"])
+    assert path not in summary._jdf.queryExecution().executedPlan().toString() and not set(rows.inputFiles()) & set(summary.inputFiles())
+    halves = [metrics.statement_histogram(rows.filter(f"calls % 2 = {n}"), ["k"]) for n in (0, 1)]
+    merged = metrics.summary_of_histogram(merge_histograms(halves, ["k"]), ["k"])
+    assert sorted(map(str, merged.collect())) == sorted(map(str, summary.collect()))
+    nothing = metrics.statement_summary(rows.limit(0), []).first()
+    assert (nothing.total_queries, nothing.p95_query_time) == (0, None)
 
 
 def test_newest_rows_cuts_before_the_shuffle(uneven):
