@@ -13,6 +13,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetpulse.session import shared_folder
+from fleetpulse.sources import telemetry
+
 TABLES = ("orders", "lineitem", "part", "events", "nation", "customer", "supplier", "documents")
 
 VIEWS = {
@@ -241,6 +244,27 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(bound, **inputs)
 
 
+_stores: dict[tuple[str, ...], str] = {}
+
+
+def captures(spark: SparkSession, sf_dir: str, name: str, relation: str) -> str:
+    """Path of the store that holds a history's captures: written by its first reader in a session, as a
+    collector would before any report runs, and anew where it is gone."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, relation)
+    path = _stores.get(key)
+    if path is None or not telemetry.has_captures(spark, path):
+        path = _stores[key] = shared_folder(spark, f"captures-{relation}")
+        rows = view(spark, sf_dir, name)
+        known = [c.split()[0] for c in telemetry.SCHEMAS[relation].split(",")]
+        telemetry.append_captures(rows.select(*[c for c in known if c in rows.columns]), path)
+    return path
+
+
+def newest(spark: SparkSession, sf_dir: str, name: str, relation: str) -> DataFrame:
+    """The newest capture of each database."""
+    return telemetry.scan_newest(spark, relation, captures(spark, sf_dir, name, relation))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot documents: parameters and metrics as maps, metadata as a struct."""
     wide = view(spark, sf_dir, "v_snapshots")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetpulse.operators import metrics, reports
 from fleetpulse.sources.telemetry import list_extensions
 from registry.base import pretty, register, rnd, sec, seconds
-from registry.fixtures import view
+from registry.fixtures import newest, view
 
 DB = ["database_id"]
 PUBLIC = "schemaname = 'public'"
@@ -21,21 +21,20 @@ ADVICE = """CASE name WHEN 'shared_buffers' THEN 'Recommended: 25% of total syst
 REVIEWED = "('shared_buffers', 'work_mem', 'effective_cache_size', 'max_connections', 'maintenance_work_mem', 'checkpoint_completion_target')"
 
 
-def _now(spark, sf, name):
-    """The newest captures of a telemetry history."""
-    return reports.latest_capture(view(spark, sf, name))
+def _tables(spark, sf):
+    return newest(spark, sf, "v_table_history", "table_stats")
 
 
-def _tables(spark, sf):
-    return _now(spark, sf, "v_table_history")
+def _io(spark, sf):
+    return newest(spark, sf, "v_table_history", "io_stats")
 
 
 def _indexes(spark, sf):
-    return _now(spark, sf, "v_index_history")
+    return newest(spark, sf, "v_index_history", "index_stats")
 
 
 def _statements(spark, sf):
-    return _now(spark, sf, "v_statement_history")
+    return newest(spark, sf, "v_statement_history", "statement_stats")
 
 
 def _top(rows: int, order: str) -> str:

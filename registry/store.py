@@ -185,13 +185,11 @@ SETTINGS_NOW = f"v_settings WHERE name IN {health.REVIEWED} AND database_id IN (
 def refresh_all(spark, sf):
     """Run all seven checks into a new store and read the items of what was stored."""
     path = shared_folder(spark, "refresh")
-    tables = reports.latest_capture(view(spark, sf, "v_table_history"))
-    indexes = reports.latest_capture(view(spark, sf, "v_index_history"))
-    statements = reports.latest_capture(view(spark, sf, "v_statement_history"))
+    tables, indexes, statements = health._tables(spark, sf), health._indexes(spark, sf), health._statements(spark, sf)
     activity = view(spark, sf, "v_activity")
     every = tables.select("database_id").unionByName(activity.select("database_id")).distinct()
     settings = view(spark, sf, "v_settings").join(every, "database_id", "left_semi")
-    snapshot = metrics.snapshot_metrics(tables, statements, activity, tables, ["database_id"])
+    snapshot = metrics.snapshot_metrics(tables, statements, activity, health._io(spark, sf), ["database_id"])
     checks = {
         "unused_indexes": reports.unused_indexes(indexes, view(spark, sf, "v_constraints")),
         "missing_indexes": reports.missing_indexes(tables, min_seq=180),

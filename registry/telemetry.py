@@ -8,7 +8,7 @@ from fleetpulse.operators.reports import latest_capture
 from fleetpulse.session import shared_folder
 from fleetpulse.sources import telemetry
 from registry.base import register, sec, seconds
-from registry.fixtures import view
+from registry.fixtures import newest, view
 
 OLD, NEW = "TIMESTAMP '2024-01-30 12:00:00'", "TIMESTAMP '2024-01-31 00:00:00'"
 
@@ -31,7 +31,7 @@ def scanned(spark, sf, name, relation, read):
       {sec('last_vacuum')} AS last_vacuum FROM v_tables_now""",
 )
 def scan_table_stats(spark, sf):
-    rows = scanned(spark, sf, "v_table_history", "table_stats", telemetry.scan_table_stats)
+    rows = newest(spark, sf, "v_table_history", "table_stats")
     return rows.select(
         "database_id", "schemaname", "relname", "relid", "seq_scan", "idx_scan", "n_live_tup", "n_dead_tup", "total_bytes",
         *seconds("last_vacuum"),
@@ -43,7 +43,7 @@ def scan_table_stats(spark, sf):
     "SELECT database_id, schemaname, relname, indexrelname, indexrelid, idx_scan, idx_tup_read, index_bytes FROM v_indexes_now",
 )
 def scan_index_stats(spark, sf):
-    return scanned(spark, sf, "v_index_history", "index_stats", telemetry.scan_index_stats).drop("captured_at")
+    return newest(spark, sf, "v_index_history", "index_stats").drop("captured_at")
 
 
 @register(
@@ -51,7 +51,7 @@ def scan_index_stats(spark, sf):
     'SELECT database_id, query, calls, total_exec_time, mean_exec_time, "rows" FROM v_statements_now',
 )
 def scan_statement_stats(spark, sf):
-    return scanned(spark, sf, "v_statement_history", "statement_stats", telemetry.scan_statement_stats).drop("captured_at")
+    return newest(spark, sf, "v_statement_history", "statement_stats").drop("captured_at")
 
 
 @register(
@@ -75,7 +75,7 @@ def scan_activity(spark, sf):
     FROM v_tables_now GROUP BY database_id""",
 )
 def scan_io_stats(spark, sf):
-    rows = scanned(spark, sf, "v_table_history", "io_stats", telemetry.scan_io_stats)
+    rows = newest(spark, sf, "v_table_history", "io_stats")
     return rows.groupBy("database_id").agg(
         F.count("*").alias("tables"), F.sum("heap_blks_hit").alias("hits"), F.sum("heap_blks_read").alias("reads")
     )
