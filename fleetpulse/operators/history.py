@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.ladders import performance_class
 from fleetpulse.functions.numbers import duration_ms, format_cost, format_duration
 from fleetpulse.functions.text import normalize_sql, strip, truncate_text
 from fleetpulse.operators.skew import newest
+from fleetpulse.sources.commits import CommittedTable
 
 
 def analyzable_executions(executions: DataFrame) -> DataFrame:
@@ -132,10 +133,22 @@ def execution_state(events: DataFrame) -> DataFrame:
     )
 
 
-def append_execution(events: DataFrame, path: str) -> None:
-    """Append lifecycle events, partitioned by the day they happened."""
-    dated = events.withColumn("happened_on", F.to_date("at")).hint("rebalance", "happened_on")
-    dated.write.mode("append").partitionBy("happened_on").parquet(path)
+EVENT_SCHEMA = "exec_id bigint, status string, at timestamp_ntz, error_message string"
+
+
+def execution_log(spark: SparkSession, path: str) -> CommittedTable:
+    return CommittedTable(spark, path, ["happened_in"])
+
+
+def append_execution(events: DataFrame, path: str, run: str | None = None) -> bool:
+    """Append lifecycle events, partitioned by the month they happened in; False if ``run`` was appended before."""
+    month = F.trunc(F.to_date("at"), "month")
+    return execution_log(events.sparkSession, path).append(events.withColumn("happened_in", month), run)
+
+
+def read_executions(spark: SparkSession, path: str) -> DataFrame:
+    """All lifecycle events of a log."""
+    return execution_log(spark, path).read(EVENT_SCHEMA + ", happened_in date").drop("happened_in")
 
 
 def lifecycle_event(executions: DataFrame, status: str, at: datetime, error: str | None = None) -> DataFrame:

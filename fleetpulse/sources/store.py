@@ -1,13 +1,15 @@
 """Result store: one row per executed check, kept as Parquet.
 
 The store is partitioned by ``check_type`` and by day, so that reading one type
-prunes to its folders and retention drops whole days.
+prunes to its folders and retention drops whole days.  It is a committed table:
+an append counts once however often it is tried, and a cleanup is seen whole.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -24,8 +26,10 @@ from fleetpulse.constants import (
     SNAPSHOT_CHECK,
     SNAPSHOT_RETENTION_DAYS,
 )
+from fleetpulse.limits import TimeLimitExceeded, within
 from fleetpulse.operators.skew import newest
 from fleetpulse.session import shared_folder
+from fleetpulse.sources.commits import CommittedTable
 
 RESULT_SCHEMA = """id bigint, database_id string, check_type string, status string, result_data string,
     error_message string, executed_at timestamp_ntz, execution_time_ms int"""
@@ -35,20 +39,26 @@ def _moment(value: datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def append_check_result(results: DataFrame, store: str) -> None:
-    """Append results, few files per folder.
+STORED = RESULT_SCHEMA + ", executed_on date"
+
+
+def result_table(spark: SparkSession, store: str) -> CommittedTable:
+    return CommittedTable(spark, store, ["check_type", "executed_on"])
+
+
+def append_check_result(results: DataFrame, store: str, run: str | None = None) -> bool:
+    """Append results, few files per folder; False if ``run`` was appended before.
 
     The rebalance puts a folder's rows together and splits a folder too large for one task.
     """
-    dated = results.withColumn("executed_on", F.to_date("executed_at")).hint("rebalance", "check_type", "executed_on")
-    dated.write.mode("append").partitionBy("check_type", "executed_on").parquet(store)
+    dated = results.withColumn("executed_on", F.to_date("executed_at"))
+    return result_table(results.sparkSession, store).append(dated, run)
 
 
 def read_check_results(
     spark: SparkSession, store: str, check_type: str | None = None, status: str | None = None
 ) -> DataFrame:
-    rows = spark.read.schema(RESULT_SCHEMA + ", executed_on date").parquet(store)
-    return select_results(rows, check_type, status)
+    return select_results(result_table(spark, store).read(STORED), check_type, status)
 
 
 def select_results(results: DataFrame, check_type: str | None = None, status: str | None = None) -> DataFrame:
@@ -158,38 +168,23 @@ def retention_split(results: DataFrame, condition: Column) -> DataFrame:
 
 
 def _delete_expired(spark: SparkSession, store: str, as_of: datetime, days: int, types: Sequence[str]) -> int:
-    """Delete expired rows: old day folders are removed, only the cut-off day is rewritten."""
+    """Delete expired rows in one version: old day folders go, only the cut-off day is written anew.
+
+    What the last versions still name stays for their readers; ``vacuum`` removes older folders.
+    """
     cutoff = as_of - timedelta(days=days)
-    wanted = read_check_results(spark, store).filter(F.col("check_type").isin(*types))
-    old_days = wanted.filter(F.col("executed_on") < F.lit(cutoff.date().isoformat()).cast("date"))
-    edge = wanted.filter(F.col("executed_on") == F.lit(cutoff.date().isoformat()).cast("date"))
-    gone = expired(as_of, days)
-    # One row per folder; the number of folders is types x days, not rows.
-    folders = old_days.groupBy("check_type", "executed_on").agg(F.count("*").alias("n")).collect()
-    deleted = sum(f.n for f in folders)
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-
-    def drop(check_type: str, day: object) -> None:
-        path = jvm.org.apache.hadoop.fs.Path(f"{store}/check_type={check_type}/executed_on={day}")
-        path.getFileSystem(conf).delete(path, True)
-
-    edges = edge.groupBy("check_type", "executed_on").agg(
-        F.count("*").alias("n"), F.count_if(gone).alias("gone")
-    ).filter("gone > 0").collect()
-    partial = [e for e in edges if e.gone < e.n]
-    if partial:
-        kept = edge.filter(~gone & F.col("check_type").isin(*[e.check_type for e in partial]))
-        (
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("check_type", "executed_on").parquet(store)
-        )
-    for f in folders:
-        drop(f.check_type, f.executed_on)
-    for e in edges:
-        if e.gone == e.n:
-            drop(e.check_type, e.executed_on)
-    return deleted + sum(e.gone for e in edges)
+    edge = cutoff.date().isoformat()
+
+    def before(values: dict) -> bool:
+        return values["check_type"] in types and values["executed_on"] is not None and values["executed_on"] < edge
+
+    def at_edge(values: dict) -> bool:
+        return values["check_type"] in types and values["executed_on"] == edge
+
+    table = result_table(spark, store)
+    deleted = table.delete(STORED, before, at_edge, expired(as_of, days))
+    table.vacuum()
+    return deleted
 
 
 def retention_cleanup(spark: SparkSession, store: str, as_of: datetime, days: int = SNAPSHOT_RETENTION_DAYS) -> int:
@@ -203,18 +198,49 @@ def result_cleanup(spark: SparkSession, store: str, as_of: datetime, days: int =
 
 
 def _documents(report: DataFrame, max_rows: int) -> DataFrame:
-    """One JSON document per database.  Rows are cut behind ``max_rows`` in every map task, and a
-    database that has more fails the check, so no document grows with the data."""
+    """One JSON document per database, or a message where its report is too long.
+
+    Rows are cut behind ``max_rows`` in every map task, so no document grows with the data.
+    """
     body = [c for c in report.columns if c != "database_id"]
     rank = F.row_number().over(Window.partitionBy("database_id").orderBy(*[F.col(c) for c in body]))
     few = report.withColumn("_rank", rank).filter(F.col("_rank") <= max_rows + 1)
     document = F.to_json(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in body]))))
-    too_long = F.raise_error(F.lit(f"a report has more than {max_rows} rows for one database")).cast("string")
+    too_long = F.count("*") > max_rows
+    message = F.lit(f"The report has more than {max_rows} rows for this database")
     return few.groupBy("database_id").agg(
-        F.when(F.count("*") > max_rows, too_long).otherwise(document).alias("result_data")
+        F.when(~too_long, document).alias("result_data"), F.when(too_long, message).alias("error_message")
     )
 
 
+def _run_check(
+    spark: SparkSession, check_type: str, report: DataFrame, every: DataFrame, max_rows: int, seconds: float | None
+) -> DataFrame:
+    """Status, document and message of every database for one check, with the elapsed time."""
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", "checks")
+    path = shared_folder(spark, f"check-{check_type}")
+    started = time.monotonic()
+    try:
+        within(spark, seconds, lambda: _documents(report, max_rows).write.parquet(path), f"The check {check_type}")
+        found = spark.read.schema("database_id string, result_data string, error_message string").parquet(path)
+        met = every.alias("e").join(found.alias("f"), F.col("e.database_id").eqNullSafe(F.col("f.database_id")), "left")
+        failed = F.col("error_message").isNotNull()
+        rows = met.select(
+            "e.database_id",
+            F.when(failed, "error").otherwise("success").alias("status"),
+            F.when(~failed, F.coalesce("result_data", F.lit("[]"))).alias("result_data"),
+            "error_message",
+        )
+    except (PySparkException, TimeLimitExceeded) as failure:
+        rows = every.select(
+            "database_id",
+            F.lit("error").alias("status"),
+            F.lit(None).cast("string").alias("result_data"),
+            F.lit(str(failure)).alias("error_message"),
+        )
+    return rows.withColumn("execution_time_ms", F.lit(int((time.monotonic() - started) * 1000)).cast("int"))
+
+
 def refresh_all(
     spark: SparkSession,
     checks: dict[str, DataFrame],
@@ -222,51 +248,41 @@ def refresh_all(
     as_of: datetime,
     databases: DataFrame,
     max_rows: int = MAX_ROWS,
-) -> None:
+    seconds: float | None = None,
+    at_once: int = 4,
+    run: str | None = None,
+) -> bool:
     """Run every check and append one result row per database with status and elapsed time.
 
     Reports have a ``database_id``.  Each is run once into its documents while the
-    clock runs, and all results are appended to the store in one write.  A database
-    without rows in a report gets an empty document.  A failing check is stored
-    with its whole message for each of ``databases`` (``database_id``) and does
-    not stop the others.  Ids follow from database, type and time, so a run
-    repeated for one time gives the same ids.
+    clock runs, ``at_once`` of them side by side in one fair scheduler pool, and all
+    results are appended to the store in one commit.  A database without rows in a
+    report gets an empty document; one whose report is too long gets an error of
+    its own.  A check that fails, or takes more than ``seconds``, is stored with its
+    whole message for each of ``databases`` (``database_id``) and does not stop the
+    others.  Ids follow from database, type and time, so a run repeated for one
+    time gives the same ids; with ``run`` a repeated run appends nothing (False).
     """
     unknown = sorted(set(checks) - set(CHECK_TYPES))
     if unknown:
         raise ValueError(f"Unknown check types: {', '.join(unknown)}")
     every = databases.select("database_id").distinct()
-    results = []
-    for check_type, report in checks.items():
-        started = time.monotonic()
-        try:
-            path = shared_folder(spark, f"check-{check_type}")
-            _documents(report, max_rows).write.parquet(path)
-            found = spark.read.schema("database_id string, result_data string").parquet(path)
-            rows = every.join(found, "database_id", "left").select(
-                "database_id",
-                F.lit("success").alias("status"),
-                F.coalesce("result_data", F.lit("[]")).alias("result_data"),
-                F.lit(None).cast("string").alias("error_message"),
-            )
-        except PySparkException as failure:
-            rows = every.select(
-                "database_id",
-                F.lit("error").alias("status"),
-                F.lit(None).cast("string").alias("result_data"),
-                F.lit(str(failure)).alias("error_message"),
-            )
-        elapsed = int((time.monotonic() - started) * 1000)
-        results.append(
-            rows.select(
-                F.xxhash64("database_id", F.lit(check_type), F.lit(as_of.isoformat())).alias("id"),
-                "database_id",
-                F.lit(check_type).alias("check_type"),
-                "status",
-                "result_data",
-                "error_message",
-                _moment(as_of).alias("executed_at"),
-                F.lit(elapsed).cast("int").alias("execution_time_ms"),
-            )
+    with ThreadPoolExecutor(at_once) as pool:
+        done = {
+            check_type: pool.submit(_run_check, spark, check_type, report, every, max_rows, seconds)
+            for check_type, report in checks.items()
+        }
+    results = [
+        job.result().select(
+            F.xxhash64("database_id", F.lit(check_type), F.lit(as_of.isoformat())).alias("id"),
+            "database_id",
+            F.lit(check_type).alias("check_type"),
+            "status",
+            "result_data",
+            "error_message",
+            _moment(as_of).alias("executed_at"),
+            "execution_time_ms",
         )
-    append_check_result(reduce(DataFrame.unionByName, results), store)
+        for check_type, job in done.items()
+    ]
+    return append_check_result(reduce(DataFrame.unionByName, results), store, run)
