@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from fleetpulse.operators.history import statement_key
 from fleetpulse.plans import compare
 from fleetpulse.plans.metrics import METRIC_COLUMNS
-from fleetpulse.plans.tree import with_nodes
 from registry.base import joined, register, rnd
-from registry.fixtures import executions, table
+from registry.fixtures import table, with_parsed_nodes
 from registry.history import ANALYSED, analysed
 from registry.plans import BOTTLENECKS, EFFICIENCY_LABEL, EXEC, OPTIMIZATION, PM, steps
 
@@ -209,7 +208,7 @@ def metrics_table(spark, sf):
     **CTES,
 )
 def plan_node_diff(spark, sf):
-    log = with_nodes(executions(spark, sf), fields=("node_type", "relation_name")).withColumn("statement", statement_key())
+    log = with_parsed_nodes(spark, sf, ("node_type", "relation_name")).withColumn("statement", statement_key())
     slim = log.withColumn(
         "nodes", F.transform("nodes", lambda n: F.struct(n["node_type"].alias("node_type"), n["relation_name"].alias("relation_name")))
     )

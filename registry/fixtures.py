@@ -8,11 +8,14 @@ map-side combining or are plain projections; none gathers a key's rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetpulse.plans.store import PlanStore, keyed
+from fleetpulse.plans.tree import ALL_FIELDS
 from fleetpulse.session import shared_folder
 from fleetpulse.sources import telemetry
 
@@ -383,3 +386,21 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("plan_state") == "absent", F.col("execution_part")).alias("measured_ms"),
         text.alias("execution_plan"),
     )
+
+
+def parsed_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PlanStore]:
+    """The execution log without plan texts, and the store of its parsed plans: both written by the first
+    reader in a session, as an import would, and anew where they are gone."""
+    key = (spark.sparkContext.applicationId, sf_dir, "executions", "plans")
+    path = _stores.get(key)
+    if path is None or not PlanStore(spark, path).table.manifest().folders:
+        path = _stores[key] = shared_folder(spark, "plans")
+        log = executions(spark, sf_dir)
+        log.write.parquet(f"{path}/log")
+        PlanStore(spark, path).add(spark.read.schema(log.schema).parquet(f"{path}/log"))
+    return keyed(spark.read.parquet(f"{path}/log")), PlanStore(spark, path)
+
+
+def with_parsed_nodes(spark: SparkSession, sf_dir: str, fields: Sequence[str] = ALL_FIELDS) -> DataFrame:
+    log, store = parsed_log(spark, sf_dir)
+    return store.with_nodes(log, fields)

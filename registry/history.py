@@ -9,7 +9,7 @@ from fleetpulse.plans.metrics import METRIC_FIELDS, plan_metrics
 from fleetpulse.plans.tree import with_nodes
 from fleetpulse.session import shared_folder
 from registry.base import joined, plain, register, rnd, sec, seconds
-from registry.fixtures import executions, view
+from registry.fixtures import executions, view, with_parsed_nodes
 
 # Times and cost of an execution as an analysis would find them.
 ANALYSED = """analysed AS (SELECT *, CASE WHEN plan_state = 'plan' THEN planning_part END AS planning_time_ms,
@@ -26,7 +26,7 @@ TITLE = "CASE WHEN length(sql_text) > 50 THEN concat(substring(sql_text, 1, 47),
 
 
 def analysed(spark, sf):
-    return plan_metrics(with_nodes(executions(spark, sf), fields=METRIC_FIELDS))
+    return plan_metrics(with_parsed_nodes(spark, sf, METRIC_FIELDS))
 
 
 @register(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.plans import metrics, scores, tree
 from registry.base import joined, plain, register, rnd
-from registry.fixtures import executions
+from registry.fixtures import executions, with_parsed_nodes
 from registry.history import ANALYSED, analysed
 
 PM = """pm AS (SELECT exec_id, MAX(CASE WHEN ord = 0 THEN actual_rows END) AS root_rows,
@@ -35,7 +35,7 @@ EX = dict(nodes=True, extra=(ANALYSED, PM, EXEC))
     nodes=True,
 )
 def flatten_plan(spark, sf):
-    rows = tree.flatten_plan(tree.with_nodes(executions(spark, sf)))
+    rows = tree.flatten_plan(with_parsed_nodes(spark, sf))
     return rows.select("exec_id", "ord", "level", "node_type", "relation_name", "total_cost", "actual_time", "actual_rows")
 
 
@@ -148,7 +148,7 @@ ADVICE = """advised AS (SELECT *, CASE kind WHEN 'seq' THEN concat('Consider add
     extra=(FOUND, ADVICE),
 )
 def plan_issues(spark, sf):
-    rows = metrics.with_issues(tree.with_nodes(executions(spark, sf), fields=metrics.ISSUE_FIELDS))
+    rows = metrics.with_issues(with_parsed_nodes(spark, sf, metrics.ISSUE_FIELDS))
     return rows.select(
         "exec_id", joined("slow_operations"), joined("suggestions"), joined("missing_indexes"), "issues_detected",
         metrics.has_performance_issues().alias("flagged"),
@@ -164,7 +164,7 @@ def plan_issues(spark, sf):
 )
 def missing_index_candidates(spark, sf):
     """Relations named by the missing-index rule over the whole log."""
-    rows = metrics.with_issues(tree.with_nodes(executions(spark, sf), fields=metrics.ISSUE_FIELDS))
+    rows = metrics.with_issues(with_parsed_nodes(spark, sf, metrics.ISSUE_FIELDS))
     each = rows.select("exec_id", F.explode_outer("missing_indexes").alias("relation"))
     return each.filter(F.col("relation").isNotNull()).groupBy("relation").agg(F.count("*").alias("findings"), F.count_distinct("exec_id").alias("executions"))
 
@@ -186,7 +186,7 @@ def missing_index_candidates(spark, sf):
     extra=(FOUND, ADVICE),
 )
 def recommendations(spark, sf):
-    return scores.recommendations(metrics.with_issues(tree.with_nodes(executions(spark, sf), fields=metrics.ISSUE_FIELDS)))
+    return scores.recommendations(metrics.with_issues(with_parsed_nodes(spark, sf, metrics.ISSUE_FIELDS)))
 
 
 def clamp(score: str) -> str:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fleetpulse.plans import compare, metrics, scores, tree
+from fleetpulse.plans import compare, metrics, scores, store, tree
 
 
 def log(spark, *plans, **columns):
@@ -199,3 +199,36 @@ def test_root_alone_equals_the_first_node(spark):
         (r.plan_state, r.planning_time, (r.nodes or [None])[0]) for r in alone
     ]
     assert len(alone[0].nodes) == 1
+
+
+# --- node store
+
+
+def test_stored_nodes_equal_parsed_ones(spark, tmp_path):
+    texts = [json.dumps({"Plan": PLAN}), None, "", "  ", "[]", '[{"Plan": {', json.dumps([{"Plan": PLAN, "Execution Time": 2.5}]), chain(500)]
+    executions = log(spark, *(texts + texts))
+    plans = store.PlanStore(spark, str(tmp_path / "plans"))
+    assert plans.add(executions) == 5
+    columns = ["exec_id", "plan_state", "planning_time", "execution_time", "nodes"]
+    for fields in (("node_type", "actual_rows"), tree.ALL_FIELDS):
+        got = plans.with_nodes(store.keyed(executions), fields).select(columns).orderBy("exec_id").collect()
+        want = tree.with_nodes(executions, fields=fields).select(columns).orderBy("exec_id").collect()
+        assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_a_plan_is_parsed_once_and_new_ones_are_added(spark, tmp_path):
+    node = {"Node Type": "Limit", "Actual Rows": 3}
+    first, second = {**node, "Plan Rows": 1}, {**node, "Plan Rows": 2}
+    plans = store.PlanStore(spark, str(tmp_path / "plans"))
+    old = log(spark, first, first, None)
+    assert plans.add(old) == 1 and plans.add(old) == 0
+    both = log(spark, first, second, second)
+    assert [r.plan_state for r in plans.with_nodes(store.keyed(both)).orderBy("exec_id").collect()] == ["ok", "unread", "unread"]
+    assert plans.add(both) == 1 and plans.plans().count() == 2
+    rows = plans.with_nodes(store.keyed(both), ("node_type",))
+    assert [r.plan_state for r in rows.collect()] == ["ok"] * 3
+    # Queries read the store and parse nothing, and only the columns they ask for.
+    for made in (metrics.plan_metrics(plans.with_nodes(store.keyed(old), metrics.METRIC_FIELDS)), rows):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "parse_json" not in plan
+    assert "sort_method" not in plan and "node_type" in plan
