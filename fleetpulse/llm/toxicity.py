@@ -6,34 +6,41 @@ allows (words and their beginnings, so that unseen forms of a word still meet)
 weigh more.  Every document then looks up its exact nearest examples by cosine:
 postings are cut into blocks of examples, the largest weight of each term in each
 block bounds what a block can offer, and only blocks that can beat the k-th best
-of the most promising ones are read.  The examples vote with weights that fall
-with their distance.
+of the most promising ones are read.  The list of a term that many examples have
+is stored dense, a weight for every example, and read by slices.  The examples
+vote with weights that fall with their distance.
 
 Defined cases: a null, empty or very long text is scored like any other; a text
 without any word of an example takes the toxic share of the examples without one;
-without labelled examples every score is 0; equal similarities prefer the
-earlier example; repeated rows and null ids are scored row by row, a null id is
-not held out.
+without labelled examples every score is 0; of equal similarities at the cut the
+order of the examples decides, which follows from their words, texts and labels
+alone; repeated rows and null ids are scored row by row, a null id is not held out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_column, written
+from .common import per_process, table, text_column, written
 
-#: Bound of the labelled sample that is indexed.
-EXAMPLES = 10_000
+#: Bounds of the labelled sample that is indexed: documents, and bytes of their texts.
+EXAMPLES = 3_000
+SAMPLE_BYTES = 64 << 20
+#: A list that reaches this share of the examples is stored dense.
+DENSE = 1 / 16
 #: Bound of the telling terms, the most telling ones first; all other words are indexed too.
 TERMS = 4096
 LEAST_DOCS = 5
@@ -49,7 +56,7 @@ OTHERS_IDF = 2.0
 #: What any other word weighs, where a telling term weighs 1.
 COMMON = 0.1
 #: Blocks that are read before the k-th best is known.
-FIRST = 8
+FIRST = 4
 FOLDS = 5
 
 SCORED = "score double, predicted int, n_terms int, evidence string"
@@ -93,6 +100,9 @@ class ExampleIndex:
     piece_block: np.ndarray | None = None
     piece_max: np.ndarray | None = None
     piece_start: np.ndarray | None = None  # where the postings of the piece begin
+    dense_row: np.ndarray | None = None  # [term]: row of its dense list, or -1
+    dense: np.ndarray | None = None  # [row, block, example of the block]: weights
+    dense_max: np.ndarray | None = None  # [row, block]: largest weight
     blank_share: float = 0.0
     share: float = 0.0
     token_terms: dict = field(default_factory=dict)
@@ -124,24 +134,46 @@ class ExampleIndex:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """Exact k best (cosine, example), best first; examples without a common term are none."""
+        rows = self.dense_row[terms]
+        wide, wide_weights = rows[rows >= 0], weights[rows >= 0]
+        terms, weights = terms[rows < 0], weights[rows < 0]
         pieces = _ranges(self.pieces[terms], self.pieces[terms + 1])
         asked = np.repeat(weights, self.pieces[terms + 1] - self.pieces[terms])
         blocks = self.piece_block[pieces]
-        bound = np.bincount(blocks, asked * self.piece_max[pieces], minlength=-(-len(self.labels) // BLOCK))
+        n_blocks = self.dense_max.shape[1]
+        bound = wide_weights @ self.dense_max[wide] + np.bincount(blocks, asked * self.piece_max[pieces], minlength=n_blocks)
+
+        def many(chosen: np.ndarray) -> bool:
+            return len(chosen) * 3 > n_blocks
 
         def scored(chosen: np.ndarray) -> np.ndarray:
-            used = np.isin(blocks, chosen) if len(chosen) < 20 else np.bincount(chosen, minlength=len(bound))[blocks] > 0
-            first, end = self.piece_start[pieces[used]], self.piece_start[pieces[used] + 1]
+            """Scores of all examples in the chosen blocks, 0 elsewhere; of many chosen blocks those of all blocks."""
+            if many(chosen):
+                first, end = self.starts[terms].T
+                per = weights
+            else:
+                used = np.bincount(chosen, minlength=n_blocks)[blocks] > 0
+                first, end = self.piece_start[pieces[used]], self.piece_start[pieces[used] + 1]
+                per = asked[used]
             at = _ranges(first, end)
-            return np.bincount(self.posted[at], np.repeat(asked[used], end - first) * self.weights[at], minlength=len(self.labels))
+            each = np.repeat(per, end - first) * self.weights[at]
+            out = np.bincount(self.posted[at], each, minlength=n_blocks * BLOCK).astype(np.float64, copy=False)
+            if per is weights:
+                buffer = np.empty(len(out))
+                for row, weight in zip(wide.tolist(), wide_weights.tolist()):
+                    np.multiply(self.dense[row].ravel(), weight, out=buffer)
+                    out += buffer
+            else:
+                out.reshape(-1, BLOCK)[chosen] += np.tensordot(wide_weights, self.dense[wide[:, None], chosen], 1)
+            return out
 
         order = np.argsort(-bound, kind="stable")
         score = scored(order[:FIRST])
         least = float(np.partition(score, -k)[-k]) if len(score) > k else 0.0
-        rest = order[FIRST:]
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= least - 1e-9)]
-        if len(rest):
-            score += scored(rest)
+        # Blocks by falling bound: the first that cannot reach the k-th best ends the search.
+        rest = order[FIRST : int(np.searchsorted(-bound[order], -max(least - 1e-9, 1e-300), "right"))]
+        if len(rest) and not many(order[:FIRST]):
+            score = scored(rest) if many(rest) else score + scored(rest)
         hit = np.flatnonzero(score > 0)
         if len(hit) > k:
             hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
@@ -166,8 +198,24 @@ class ExampleIndex:
         return self.answers[key]
 
 
+def _by_value(spark: SparkSession, index: ExampleIndex) -> tuple[str, Broadcast]:
+    """The index as bytes that need no installed copy of this package, and a name for it; its size is
+    bounded by that of the sample."""
+    return uuid4().hex, spark.sparkContext.broadcast(cloudpickle.dumps(index))
+
+
+def _shared_index(shared: tuple[str, Broadcast]) -> ExampleIndex:
+    name, index = shared
+    held = per_process("toxicity", dict)
+    if name not in held:
+        held.clear()  # a process keeps one index
+        held[name] = pickle.loads(index.value)
+    return held[name]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> DataFrame:
-    """Texts and labels of at most ``bound`` labelled documents outside the held-out fold, the same on every run."""
+    """Texts and labels of at most ``bound`` labelled documents outside the held-out fold, the same on every
+    run; of very long texts only as many as ``SAMPLE_BYTES`` hold."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(
         F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0
     )
@@ -184,7 +232,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -
         return pa.array([toxic.get(i) for i in ids.to_pylist()], pa.int32())
 
     labelled = docs.select("doc_id", "text").withColumn("toxic", F.arrow_udf(label, "int")(F.col("doc_id")))
-    return written(labelled.where("toxic IS NOT NULL"), "toxicity-sample")
+    sample = written(labelled.where("toxic IS NOT NULL"), "toxicity-sample")
+    sizes = sample.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    total, within = 0, []
+    for r in sorted(sizes, key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).digest(), r["doc_id"])):
+        total += r["n"] or 0
+        if total <= SAMPLE_BYTES:
+            within.append(r["doc_id"])
+    return sample if len(within) == len(sizes) else sample.where(F.col("doc_id").isin(within))
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
@@ -234,15 +289,16 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> ExampleInd
     idf = np.log((n + 1) / (np.array(n_docs, np.float64) + 1)) + 1
     idf[len(found) :] *= COMMON
     index = ExampleIndex(vocabulary, len(found), np.append(idf, OTHERS_IDF), COMMON * (math.log(n + 1) + 1))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = _by_value(docs.sparkSession, index)
 
     def row(text: str) -> tuple:
-        terms, weights = shared.value.vector(text)
+        terms, weights = _shared_index(shared).vector(text)
         return terms.tolist(), weights.tolist()
 
-    vectors = sample.select("doc_id", "toxic", text_column("terms array<int>, weights array<double>", row, F.col("text")).alias("v"))
-    rows = vectors.select("doc_id", "toxic", "v.*").toArrow().combine_chunks()
-    shared.unpersist()
+    vectors = sample.select("doc_id", "toxic", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), text_column("terms array<int>, weights array<double>", row, F.col("text")).alias("v"))
+    rows = vectors.select("doc_id", "toxic", "digest", "v.*").toArrow().combine_chunks()
+    shared[1].unpersist()
+    digests = rows["digest"].to_pylist()
     toxic = rows["toxic"].to_numpy().astype(np.int64)
     sizes = np.array([len(x) for x in rows["terms"]], np.int64)
     ends = np.cumsum(sizes)
@@ -251,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> ExampleInd
 
     def place(i: int) -> tuple:  # like examples share blocks, which makes their bounds tight
         own = terms[ends[i] - sizes[i] : ends[i]]
-        return own[own < index.telling].tolist(), ids[i]
+        return own[own < index.telling].tolist(), digests[i], int(toxic[i])
 
     order = np.array(sorted(np.flatnonzero(sizes).tolist(), key=place), np.int64)
     at = _ranges(ends[order] - sizes[order], ends[order])
@@ -270,6 +326,16 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> ExampleInd
     index.piece_max = np.maximum.reduceat(index.weights, first) if len(first) else np.zeros(0)
     index.piece_start = np.append(first, len(term))
     index.labels = toxic[order]
+    begin, end = index.starts.T
+    wide = np.flatnonzero(end - begin >= max(1, DENSE * len(order)))
+    index.dense_row = np.full(len(index.idf), -1, np.int32)
+    index.dense_row[wide] = np.arange(len(wide))
+    blocks = -(-len(order) // BLOCK)
+    padded = np.zeros((len(wide), blocks * BLOCK))
+    for row, t in enumerate(wide.tolist()):
+        padded[row, index.posted[begin[t] : end[t]]] = index.weights[begin[t] : end[t]]
+    index.dense = padded.reshape(len(wide), blocks, BLOCK)
+    index.dense_max = index.dense.max(axis=2)
     index.ids = [ids[i] for i in order.tolist()]
     index.share = n_toxic / n if n else 0.0
     blank = toxic[sizes == 0]
@@ -279,8 +345,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> ExampleInd
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out and ``SCORED`` for every row of ``docs``."""
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    score = text_column(SCORED, lambda x: index.value.score(x), F.col("text"))
+    shared = _by_value(docs.sparkSession, fit(docs, labels))
+    score = text_column(SCORED, lambda x: _shared_index(shared).score(x), F.col("text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
     return docs.select("doc_id", held_out.alias("held_out"), score.alias("s")).select("doc_id", "held_out", "s.*")
 
