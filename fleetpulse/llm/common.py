@@ -52,3 +52,14 @@ def written(df: DataFrame, purpose: str, partition_by: Iterable[str] = ()) -> Da
     path = shared_folder(spark, purpose)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def with_row_key(docs: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """``docs`` written with a number that only one row has, and the name of its column.
+
+    Rows without an id, of one id, or equal in all columns can so be told apart.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), purpose), name

@@ -26,7 +26,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, with_row_key, written
 
 LEVELS = ("domain", "language", "source_name")
 DOMAIN_WEIGHTS = {"domain0": 2, "domain1": 1, "domain2": 1}
@@ -129,12 +129,20 @@ def mixed(
     domain_weights: Mapping[str, int] = DOMAIN_WEIGHTS,
     language_weights: Mapping[str, int] = LANGUAGE_WEIGHTS,
     source_weights: Mapping[str, int] | None = None,
+    row: str | None = None,
 ) -> DataFrame:
-    """For every row of ``docs``: doc_id, its leaf, tokens, the leaf's budget, and how many copies the mix takes."""
+    """For every row of ``docs``: doc_id, its leaf, tokens, the leaf's budget, and how many copies the mix takes.
+
+    ``row`` names a column that tells rows apart; it is carried along, and rows
+    without an id take their place in the order by their text.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.concat(F.lit("text:"), F.coalesce("text", F.lit("")))))
+    carried = ["doc_id"] if row is None else ["doc_id", row]
     source = F.coalesce("source", F.lit("unknown"))
     rows = written(
         docs.select(
-            "doc_id",
+            *carried,
+            key.alias("key"),
             domain_of(source).alias("domain"),
             F.coalesce("lang", F.lit("unknown")).alias("language"),
             source.alias("source_name"),
@@ -159,7 +167,7 @@ def mixed(
         ),
         "mixing-budgets",
     )
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("doc_id").cast("string")))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("key")))
     keyed = rows.join(budgets, list(LEVELS)).withColumn("order", order)
     keyed = keyed.withColumn("slice", F.substring("order", 1, _SLICE_DIGITS))
 
@@ -172,18 +180,18 @@ def mixed(
     )
     placed = keyed.join(taken, [*LEVELS, "slice"], "left")
     whole = placed.where("last IS NULL OR NOT last").withColumn("chosen", F.expr("last IS NOT NULL"))
-    in_slice = Window.partitionBy(*LEVELS, "slice").orderBy("order", "doc_id", "tokens")
+    in_slice = Window.partitionBy(*LEVELS, "slice").orderBy("order", "doc_id", "tokens", *carried[1:])
     running = F.sum("tokens").over(in_slice.rowsBetween(Window.unboundedPreceding, 0))
     ends = placed.where("last").withColumn("chosen", F.col("before") + running <= F.col("rest"))
     copies = (F.col("epochs") + F.col("chosen").cast("long")).cast("long").alias("copies")
-    return whole.unionByName(ends).select("doc_id", *LEVELS, "tokens", "leaf_budget", copies)
+    return whole.unionByName(ends).select(*carried, *LEVELS, "tokens", "leaf_budget", copies)
 
 
 def mix_documents(docs: DataFrame, budget_percent: int, **options) -> DataFrame:
-    """The rows of ``docs`` that a mix of at most one epoch takes; rows of one doc_id stay or go together."""
-    taken = mixed(docs, budget_percent, max_epochs=1, **options).where("copies > 0").select("doc_id").distinct()
-    d, k = docs.alias("d"), taken.alias("k")
-    return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    """The rows of ``docs`` that a mix of at most one epoch takes, each row for itself."""
+    rows, row = with_row_key(docs, "mixing-documents")
+    taken = mixed(rows, budget_percent, max_epochs=1, row=row, **options).where("copies > 0").select(row)
+    return rows.join(taken, row, "left_semi").select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

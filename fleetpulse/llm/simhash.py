@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_column, written
+from .common import table, text_column, with_row_key, written
 from .components import components
 
 MAX_BITS = 2
@@ -103,24 +103,34 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and component_id (least doc_id reachable over links) of every row of ``docs``."""
-    found = written(docs.select("doc_id", fingerprints(F.col("text")).alias("f")).select("doc_id", "f.*"), "simhash")
+def rooted(found: DataFrame) -> DataFrame:
+    """``bits`` and ``root`` of every distinct fingerprint of ``found``, and the least doc_id that has it."""
     nodes = found.groupBy("bits").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes)).withColumnRenamed("node", "bits")
     # Only linked nodes take their component from elsewhere.
-    rooted = nodes.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    rooted = written(rooted, "simhash-nodes")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = rooted.join(least, "root").select("bits", "component_id")
+    return written(nodes.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits")), "simhash-nodes")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id (least doc_id reachable over links) of every row of ``docs``."""
+    found = written(docs.select("doc_id", fingerprints(F.col("text")).alias("f")).select("doc_id", "f.*"), "simhash")
+    nodes = rooted(found)
+    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    ids = nodes.join(least, "root").select("bits", "component_id")
     return found.join(ids, "bits").select("doc_id", "fingerprint", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component; rows of one doc_id stay or go together."""
-    kept = near_duplicates(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    d, k = docs.alias("d"), kept.alias("k")
-    return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    """One row of ``docs`` of every component: that of the least doc_id, of several such rows the first written;
+    a component without any doc_id keeps a row too."""
+    rows, row = with_row_key(docs, "simhash-rows")
+    keyed = rows.select("doc_id", F.col(row).alias("row"), fingerprints(F.col("text")).alias("f"))
+    found = written(keyed.select("doc_id", "row", "f.bits"), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    # Copies are combined per fingerprint before they meet their component.
+    picks = found.groupBy("bits").agg(first.alias("pick")).join(rooted(found).select("bits", "root"), "bits")
+    kept = picks.groupBy("root").agg(F.min("pick").alias("pick")).select(F.col("pick.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,8 +119,37 @@ def test_simhash_stage_and_empty(messy, no_documents):
     assert simhash.near_duplicates(no_documents).count() == 0
     kept = simhash.one_of_each(messy)
     assert kept.columns == messy.columns
-    least = {c for _, _, c in plain_components(rows_of(messy)) if c is not None}
-    assert {r.doc_id for r in kept.collect()} - {None} == least
+    every = {c for _, _, c in plain_components(rows_of(messy))}
+    ids = [r.doc_id for r in kept.collect()]
+    values = sorted({plain_fingerprint(t) for _, t in rows_of(messy)})
+    pairs = [(a, b) for k, a in enumerate(values) for b in values[k + 1 :] if (a ^ b).bit_count() <= 2]
+    assert set(ids) - {None} == every - {None} and len(ids) == len(set(roots(values, pairs).values()))
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows without id, of one id, or equal in all columns are told apart."""
+    rnd = random.Random(3)
+    text = " ".join(rnd.choice(["ka", "lo", "mi", "ren", "sut"]) + str(k) for k in range(80))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    no_ids = [(None, text, "en", "s1", 1)] * 5 + [(None, "quite another text of seven words here", "en", "s1", 1)]
+    one_id = [(7, text, "en", "s1", 1)] * 5
+    assert simhash.one_of_each(spark.createDataFrame(no_ids, schema).repartition(3)).count() == 2
+    assert [tuple(r) for r in simhash.one_of_each(spark.createDataFrame(one_id, schema).repartition(3)).collect()] == one_id[:1]
+
+
+def test_a_mix_holds_its_budget_without_ids(spark):
+    """Half of the rows have no id; none of them comes or goes with another one."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = " ".join(["word"] * 20)
+    unnamed = [(None, words + f" {k}", "en", "s1", 1) for k in range(50)]
+    for rows in (
+        [(k, words + " x", "en", "s1", 1) for k in range(50)] + unnamed,
+        [(3, words + " x", "en", "s1", 1)] * 50 + unnamed,
+        [(None, words + " x", "en", "s1", 1)] * 100,
+    ):
+        taken = mixing.mix_documents(spark.createDataFrame(rows, schema).repartition(4), 50)
+        assert taken.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+        assert 49 <= taken.count() <= 50
 
 
 # --- Mixing
@@ -197,8 +226,8 @@ def test_mixing_is_native_and_takes_empty_tables(messy, no_documents):
     assert mixing.mixed(no_documents).count() == 0
     plan = mixing.mixed(messy)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in ("Python", "Arrow", "Cartesian", "NestedLoop") if x in plan]
-    # Only the leaf without tokens gives none.
-    assert mixing.mix_documents(messy, 100).count() == len(messy_rows()) - 1
+    # Only the two leaves without tokens, of a row each, give none.
+    assert mixing.mix_documents(messy, 100).count() == len(messy_rows()) - 2
     assert mixing.mix_documents(messy, 50).columns == messy.columns
 
 
