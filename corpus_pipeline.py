@@ -19,18 +19,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near copies."""
+    """One row, that of the least doc_id, of each group of near copies."""
     return simhash.one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret in their texts replaced by a mark."""
-    clean = docs.withColumn("text", secrets.redacted(F.col("text")))
-    return clean.withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, each secret in their texts replaced by a mark; ``n_chars`` follows where it was the length."""
+    clean = secrets.redacted(F.col("text"))
+    if "n_chars" not in docs.columns:
+        return docs.withColumn("text", clean)
+    counted = F.when(F.col("n_chars") == F.length("text"), F.length("_clean")).otherwise(F.col("n_chars"))
+    changed = docs.withColumn("_clean", clean)
+    return changed.withColumns({"n_chars": counted.cast(docs.schema["n_chars"].dataType), "text": F.col("_clean")}).select(*docs.columns)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a mix of target weights takes, each at most once."""
+    """Rows that a mix of target weights takes, each at most once."""
     return mixing.mix_documents(docs, MIX_PERCENT)
 
 
