@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import per_process, table, text_column, written
 
 #: Bounds of the labelled sample that is indexed: documents, and bytes of their texts.
-EXAMPLES = 3_000
+EXAMPLES = 2_000
 SAMPLE_BYTES = 64 << 20
 #: A list that reaches this share of the examples is stored dense.
 DENSE = 1 / 16
@@ -62,7 +62,7 @@ FOLDS = 5
 SCORED = "score double, predicted int, n_terms int, evidence string"
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
+_CACHE = 100_000
 
 
 def terms_of(token: str) -> set[str]:
@@ -110,28 +110,33 @@ class ExampleIndex:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sorted terms of a text and their weights; with the words that no example has, of length one."""
-        known, found, unseen = self.token_terms, Counter(), Counter()
+        known, ids, times, unseen = self.token_terms, [], [], {}
         for token, n in _tokens(text).items():
-            parts = known.get(token)
-            if parts is None:
-                words = _WORDS.findall(token)
-                ends = [x for w in words for x in (w, *("^" + w[:k] for k in PREFIXES if len(w) > k))]
-                ids = tuple(self.vocabulary[x] for x in ends if x in self.vocabulary)
-                parts = ids, tuple(w for w in words if w not in self.vocabulary)
-                if len(known) >= _CACHE:
-                    known.clear()
-                known[token] = parts
-            for t in parts[0]:
-                found[t] += n
-            for w in parts[1]:
-                unseen[w] += n
-        if any(t < self.telling for t in found):
-            found[len(self.vocabulary)] = max(1, sum(n for t, n in found.items() if t >= self.telling) + sum(unseen.values()))
-        terms = np.array(sorted(found), np.int64)
-        weights = (1 + np.log(np.array([found[t] for t in terms.tolist()], np.float64))) * self.idf[terms]
+            own, new = known.get(token) or self._parts(token)
+            ids += own
+            times += [n] * len(own)
+            for w in new:
+                unseen[w] = unseen.get(w, 0) + n
+        terms, at = np.unique(np.array(ids, np.int64), return_inverse=True)
+        counts = np.bincount(at, np.array(times, np.float64), minlength=len(terms)) if ids else np.zeros(0)
+        if ids and terms[0] < self.telling:
+            others = counts[terms >= self.telling].sum() + sum(unseen.values())
+            terms, counts = np.append(terms, len(self.vocabulary)), np.append(counts, max(1.0, others))
+        weights = (1 + np.log(counts)) * self.idf[terms]
         new = sum(((1 + math.log(n)) * self.unseen) ** 2 for n in unseen.values())
         return terms, weights / math.sqrt(float((weights**2).sum()) + new) if len(terms) else weights
 
+    def _parts(self, token: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
+        """Terms of a token, and those of its words that no example has; kept for the next time."""
+        words = _WORDS.findall(token)
+        ends = [x for w in words for x in (w, *("^" + w[:k] for k in PREFIXES if len(w) > k))]
+        ids = tuple(self.vocabulary[x] for x in ends if x in self.vocabulary)
+        parts = ids, tuple(w for w in words if w not in self.vocabulary)
+        if len(self.token_terms) >= _CACHE:
+            self.token_terms.clear()
+        self.token_terms[token] = parts
+        return parts
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """Exact k best (cosine, example), best first; examples without a common term are none."""
         rows = self.dense_row[terms]
@@ -187,7 +192,7 @@ class ExampleIndex:
             return self.blank_share, int(self.blank_share >= 0.5), 0, ""
         key = hashlib.blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest()
         if key not in self.answers:
-            if len(self.answers) >= _CACHE // 20:
+            if len(self.answers) >= _CACHE // 10:
                 self.answers.clear()
             best = self.nearest(terms, weights)
             votes = [(1 / (NEAR + 1 - s), self.labels[i]) for s, i in best]
