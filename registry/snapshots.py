@@ -369,6 +369,44 @@ def export_timeline_json(spark, sf):
     return stored.unionByName(info).unionByName(changes)
 
 
+@register(
+    "export_documents",
+    f"""SELECT database_id, '2024-01-31T00:00:00Z' AS exported_at, ANY_VALUE(n_all) AS snapshot_count,
+      COUNT(*) AS listed, strftime(MAX(executed_at), {ISO_SQL}) AS first_listed, CAST(SUM(snapshot_id) AS BIGINT) AS ids,
+      CAST(SUM(CAST(ROUND(avg_query_time * 100) AS BIGINT)) AS BIGINT) AS cents, COALESCE(ANY_VALUE(n_changes), 0) AS changes
+    FROM newest s LEFT JOIN (SELECT c.database_id, COUNT(*) AS n_changes FROM changes c JOIN newest n
+      ON n.database_id = c.database_id AND n.executed_at = c.executed_at GROUP BY 1) k USING (database_id) GROUP BY database_id""",
+    extra=(*CHANGES30, """newest AS (SELECT *, COUNT(*) OVER (PARTITION BY database_id) AS n_all FROM v_snapshots QUALIFY row_number() OVER (PARTITION BY database_id ORDER BY executed_at DESC, snapshot_id DESC) <= 7)"""),
+)
+def export_documents(spark, sf):
+    """Export, put each database's document of seven snapshots together again, and read it as a client would."""
+    rows = snapshots(spark, sf)
+    path = shared_folder(spark, "timeline-documents")
+    exports.export_timeline_json(rows, snap.parameter_changes(rows, AS_OF, 30), path, AS_OF)
+    parts = {
+        "export_info": "struct<exported_at:string,snapshot_count:bigint>",
+        "parameter_changes": "array<struct<id:bigint>>",
+        "snapshots": "array<struct<id:bigint,collected_at:string,metrics:map<string,double>>>",
+    }
+    schema = "struct<" + ",".join(f"{n}:{t}" for n, t in parts.items()) + ">"
+    read = exports.export_documents(spark, path, limit=7).select("database_id", F.from_json("document", schema).alias("d"))
+    cents = F.transform("d.snapshots", lambda x: F.round(F.try_element_at(x["metrics"], F.lit("avg_query_time")) * 100).cast("bigint"))
+
+    def total(values):
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+
+    return read.select(
+        "database_id",
+        "d.export_info.exported_at",
+        "d.export_info.snapshot_count",
+        F.size("d.snapshots").cast("bigint").alias("listed"),
+        F.col("d.snapshots")[0]["collected_at"].alias("first_listed"),
+        total(F.col("d.snapshots.id")).alias("ids"),
+        total(cents).alias("cents"),
+        F.size("d.parameter_changes").cast("bigint").alias("changes"),
+    )
+
+
 @register(
     "export_info",
     """SELECT database_id, '2024-01-31T00:00:00Z' AS exported_at, COUNT(*) AS snapshot_count,

@@ -102,11 +102,24 @@ def store_min_max(spark, sf):
     WHERE check_type = 'other_check' OR status = 'late' GROUP BY 1, 2""",
 )
 def check_violations(spark, sf):
+    return store.check_violations(_spoiled(spark, sf))
+
+
+def _spoiled(spark, sf):
+    """Results of which some have a type or a status that does not exist."""
     rows = view(spark, sf, "v_check_results")
-    spoiled = rows.withColumn(
+    return rows.withColumn(
         "check_type", F.when(F.col("id") % 11 == 0, "other_check").otherwise(F.col("check_type"))
     ).withColumn("status", F.when(F.col("id") % 13 == 0, "late").otherwise(F.col("status")))
-    return store.check_violations(spoiled)
+
+
+@register(
+    "check_type_filter",
+    """SELECT database_id, check_type, status, COUNT(*) AS results FROM v_check_results
+    WHERE id % 11 <> 0 AND id % 13 <> 0 GROUP BY 1, 2, 3""",
+)
+def check_type_filter(spark, sf):
+    return store.check_type_filter(_spoiled(spark, sf)).groupBy("database_id", "check_type", "status").agg(F.count("*").alias("results"))
 
 
 @register(
