@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,6 +30,8 @@ from fleetpulse.streaming.state import BUCKETS, COMPACT_EVERY, WHOLE, UnitTable,
 
 #: Pieces that a batch's readings are cut into for hot keys.
 PIECES = 64
+#: Bytes of readings, compressed, up to which a key may be sorted whole by one task.
+SORTED_WHOLE = 32 << 20
 #: Format of ``executed_at`` that names a time slice.
 SLICE = "yyyy-MM"
 _READING = ("executed_at", "id", "setting")
@@ -43,19 +45,24 @@ def _same_group(left: str, right: str, group: Sequence[str]) -> Column:
 
 
 def detect(
-    readings: DataFrame, known: DataFrame | None, keys: Sequence[str], retention: str | None = None
+    readings: DataFrame, known: DataFrame | None, keys: Sequence[str], retention: str | None = None, few: bool = False
 ) -> DataFrame:
     """The pairs that ``readings`` make or break, beside what is ``known`` already: one row per
     reading whose predecessor is new, with ``is_change``.
 
-    With ``retention`` a predecessor older than that is forgotten.
+    With ``retention`` a predecessor older than that is forgotten.  Readings that
+    are ``few`` altogether need no cutting of hot keys.
     """
     group = [*keys, "parameter"]
     columns = [*group, *_READING]
     rows = readings.select(*columns, F.lit(True).alias("_new"))
     if known is not None:
         rows = rows.unionByName(known.select(*columns, F.lit(False).alias("_new")))
-    paired = split_lag(rows, group, ["executed_at", "id"], ["executed_at", "setting", "_new"], pieces=PIECES)
+    if few:
+        window = Window.partitionBy(*group).orderBy("executed_at", "id")
+        paired = rows.withColumn("previous", F.lag(F.struct("executed_at", "setting", "_new")).over(window))
+    else:
+        paired = split_lag(rows, group, ["executed_at", "id"], ["executed_at", "setting", "_new"], pieces=PIECES)
     before, after = F.col("previous.setting"), F.col("setting")
     has_previous = F.col("previous").isNotNull()
     if retention is not None:
@@ -163,7 +170,8 @@ def stream_parameter_changes(
         fresh, units = state.part(batch_id), state.units_of(batch_id)
         if fresh is None:
             return
-        found = detect(fresh, neighbours(batch_id, units), keys, retention)
+        few = state.size(batch_id, units) <= SORTED_WHOLE
+        found = detect(fresh, neighbours(batch_id, units), keys, retention, few)
         version = F.lit(batch_id).cast("long")
         found = found.withColumns({"slice": slice_of("detected_at"), "bucket": bucket_of(group, buckets), "version": version})
         # Both follow from the part just written and from earlier batches.

@@ -95,6 +95,12 @@ class UnitTable:
             return rows
         return rows.filter(F.col("bucket").isin(*sorted({b for _, b in live})))
 
+    def size(self, batch_id: int, units: Iterable[tuple[str, int]]) -> int:
+        """Bytes of what ``units`` hold, the batch's own part included."""
+        live = self._live(self._of(units), batch_id + 1)
+        paths = [p for unit, (base, parts) in live.items() for p in self._paths(unit, base, parts)]
+        return sum(self._fs.getContentSummary(self.spark._jvm.org.apache.hadoop.fs.Path(p)).getLength() for p in paths)
+
     def all(self) -> DataFrame | None:
         return self._read(self._live(self._of(None), None))
 

@@ -99,8 +99,9 @@ def test_a_repeated_batch_writes_the_same(spark, tmp_path):
     assert runs[0] == runs[1] and [r.id for r in changes.detect(batch, state, ["database_id"]).filter("is_change").collect()] == [1]
 
 
-@pytest.mark.parametrize("compact_every", [1, 3, 10])
-def test_any_order_of_readings_equals_batch(spark, tmp_path, compact_every):
+@pytest.mark.parametrize("compact_every,whole", [(1, 0), (3, 1 << 20), (10, 0)])
+def test_any_order_of_readings_equals_batch(spark, tmp_path, monkeypatch, compact_every, whole):
+    monkeypatch.setattr(changes, "SORTED_WHOLE", whole)
     rnd = random.Random(9)
     rows = [reading(i, rnd.choice(["1MB", "2MB", "4MB", ""]), rnd.choice(["work_mem", "wal_buffers"]), rnd.randrange(40)) for i in range(60)]
     rnd.shuffle(rows)
