@@ -25,6 +25,7 @@ import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import per_process, table, text_column
 
@@ -37,6 +38,19 @@ CACHED_LENGTH = 64
 _NEVER = float("inf")
 
 
+def young_ranges() -> list[tuple[int, int]]:
+    """Ranges of the code points that are assigned for the regex module and not for Python."""
+    every = map(chr, (c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000))
+    unknown = "".join(c for c in every if unicodedata.category(c) == "Cn")
+    out: list[tuple[int, int]] = [(0x10FFFF, 0x10FFFF)]
+    for c in map(ord, regex.findall(r"\P{Cn}", unknown)):
+        if out[-1][1] == c - 1:
+            out[-1] = out[-1][0], c
+        else:
+            out.append((c, c))
+    return out
+
+
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -110,6 +124,11 @@ class WordBpe:
         self.split_words = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+", regex.V1
         )
+        # Python, the regex module and the tokenizers library know different versions of Unicode. The rare
+        # parts with a character that is new to Python are normalized and split as the library does it.
+        self.young = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in young_ranges()) + "]")
+        library = Tokenizer.from_file(path)
+        self.normalized, self.pieces = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
 
     @staticmethod
     def _border(token: int, made: dict, side: int) -> list[tuple[int, float]]:
@@ -180,6 +199,10 @@ class WordBpe:
             if k % 2:
                 out.append(_packed([self.special[part]]))
             elif part:
+                if not chunk.isascii() and self.young.search(part):
+                    part = self.normalized(part)
+                    out += [self._word(part[a:b]) for _, (a, b) in self.pieces(part)]
+                    continue
                 # Case is lowered character by character, so a final sigma is no exception.
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 out += map(self._word, self.split_words.findall(part))

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+import regex
 from conftest_llm import by_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,6 +62,17 @@ def test_bpe_equals_library_on_odd_texts(library, own, text, tail):
     assert np.frombuffer(own.encode(text + tail), "<u4").tolist() == library.encode(text + tail, add_special_tokens=False).ids
 
 
+def test_bpe_equals_library_on_every_assigned_code_point(library, own):
+    """Beside letters, digits and signs, and doubled; also a part of the code points that nobody has assigned."""
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    chosen = [c for k, c in enumerate(every) if k % 23 == 0 or not regex.match(r"\p{Cn}|\p{Co}", c)]
+    assert len(chosen) > 150_000 and len(bpe.young_ranges()) > 1
+    for k in range(0, len(chosen), 5000):
+        texts = [f"a{c}b!{c}? 7{c}{c}" for c in chosen[k : k + 5000]]
+        for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == e.ids, ascii(text)
+
+
 def test_bpe_ids_column(spark, messy, library):
     got = {r.doc_id: r.x for r in messy.select("doc_id", bpe.encoded(messy.text, bpe.vocabulary_path())["ids"].alias("x")).collect()}
     assert got[10] == library.encode(next(r.text for r in messy.collect() if r.doc_id == 10), add_special_tokens=False).ids
