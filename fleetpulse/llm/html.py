@@ -11,9 +11,12 @@ Formulas and drawings (math, svg) show their text; each svg text and each row of
 formula's table is a line of its own.
 
 Not visible: scripts, styles, templates, metadata and embedded objects; titles,
-descriptions, definitions and annotations of math and svg; elements
-with ``hidden`` or with a style of display:none or visibility:hidden; hidden
-inputs; what a closed ``details`` holds besides its summary.
+descriptions, definitions and annotations of math and svg; elements with
+``hidden`` or with display:none among the declarations of their style; a dialog
+that is not open; brackets for browsers without ruby; inputs, but for the text of
+buttons; what a closed ``details`` holds besides its summary.  visibility is
+inherited: in a hidden element only what is declared visible again is shown.
+Rules of a page's own style sheets are not read.
 
 Defined cases: null or empty html gives an empty text; quotes inside a tag open a
 string only right after "=", as in HTML; an unclosed comment, tag, quoted value
@@ -27,6 +30,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +44,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 UNSEEN = frozenset(
     "script style template head title noscript iframe noembed noframes object embed audio video canvas datalist"
-    " map meta link base".split()
+    " map meta link base rp".split()
 )
+BUTTONS = frozenset(("submit", "button", "reset"))
 #: Parts of svg and math that are never shown.
 UNSEEN_FOREIGN = frozenset("title desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
 #: Inside these parts of svg and math, tags are those of HTML again.
@@ -83,7 +88,10 @@ _ATTRIBUTE = r"""([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+
 _TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\f\r/>]*)((?:[ \t\n\f\r/]++|{_ATTRIBUTE})*+)>")
 _NAME = re.compile(r"</?[a-zA-Z]")
 _ATTR = re.compile(_ATTRIBUTE)
-_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: Declarations of a style: strings, comments and brackets are no place for a ";" or ":" that counts.
+_DECLARED = re.compile(r"""((?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\([^)]*\)|[^;"'(])+)""", re.S)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_INTEGER = re.compile(r"[ \t\n\f\r]*([+-]?[0-9]{1,9})")
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -132,16 +140,33 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, foreign: bool = False):
         self.tag, self.attrs, self.children, self.foreign = tag, attrs or {}, [], foreign
 
-    def visible(self) -> bool:
+    def displayed(self) -> bool:
         return not (
             self.tag in UNSEEN
             or self.foreign
             and self.tag in UNSEEN_FOREIGN
             or "hidden" in self.attrs
+            or self.tag == "dialog"
+            and "open" not in self.attrs
             or self.tag == "input"
-            or _HIDING.search(self.attrs.get("style", ""))
+            and self.attrs.get("type", "").strip().lower() not in BUTTONS
+            or self.declared("display") == "none"
         )
 
+    def declared(self, name: str) -> str:
+        """Value of a property in the element's style: the last one, important ones before others."""
+        style = self.attrs.get("style", "")
+        if name not in style.lower():
+            return ""
+        found, important = "", False
+        for one in _DECLARED.findall(_COMMENT.sub(" ", style)):
+            key, _, value = one.partition(":")
+            value = value.strip().lower()
+            weighty = value.endswith("important") and value[: -len("important")].rstrip().endswith("!")
+            if key.strip().lower() == name and value and weighty >= important:
+                found, important = value.partition("!")[0].strip(), weighty
+        return found
+
 
 def attributes(text: str) -> dict[str, str]:
     out: dict[str, str] = {}
@@ -357,26 +382,49 @@ def _rows(node: Node) -> int:
     return min(int(value) or 65534, 65534) if value.isascii() and value.isdigit() else 1
 
 
+def _counter(node: Node) -> list[int]:
+    """The number before that of a list's first item, and the step to the next one."""
+    step = -1 if "reversed" in node.attrs else 1
+    start = _INTEGER.match(node.attrs.get("start", ""))
+    items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
+    return [(int(start[1]) if start else items if step < 0 else 1) - step, step]
+
+
 def render(root: Node) -> str:
     """The visible text of a tree."""
     page = Writer()
     writers, grids = [page], []
-    counters: list[int | None] = []  # of open lists: None for bullets
+    counters: list[list[int] | None] = []  # number and step of open lists: None for bullets
     pre = 0
+    seen = True  # visibility as it is inherited here
+
+    def see(value: bool) -> None:
+        nonlocal seen
+        seen = value
+
     # What is left to do: a node to enter, or a function that leaves one.
     todo: list = [root]
     while todo:
         x = todo.pop()
         w = writers[-1]
         if isinstance(x, str):
-            w.verbatim(x) if pre else w.text(x)
+            if seen:
+                w.verbatim(x) if pre else w.text(x)
             continue
         if callable(x):
             x()
             continue
-        if not x.visible():
+        if not x.displayed():
             continue
         tag, children = x.tag, x.children
+        own = x.declared("visibility")
+        if own in ("visible", "hidden", "collapse") and (own == "visible") != seen:
+            todo.append(partial(see, seen))
+            seen = not seen
+        if tag == "input":
+            if seen:
+                w.text(x.attrs.get("value", ""))
+            continue
         if tag == "br":
             if not w.line:
                 w._begin()
@@ -416,9 +464,7 @@ def render(root: Node) -> str:
                 writers[-1].block(1)
         elif tag in LISTS:
             w.block(1 if counters else 2)
-            start = x.attrs.get("start", "1").strip()
-            number = int(start) if start.isascii() and start.isdigit() else 1
-            counters.append(number - 1 if tag == "ol" else None)
+            counters.append(_counter(x) if tag == "ol" else None)
 
             def leave() -> None:
                 counters.pop()
@@ -427,11 +473,12 @@ def render(root: Node) -> str:
             w.block(1)
             mark = "- "
             if counters and counters[-1] is not None:
-                counters[-1] += 1
-                mark = f"{counters[-1]}. "
+                number = _INTEGER.match(x.attrs.get("value", ""))
+                counters[-1][0] = int(number[1]) if number else sum(counters[-1])
+                mark = f"{counters[-1][0]}. "
             before = w.indent
             w.indent += " " * len(mark)
-            w.mark = mark
+            w.mark = mark if seen else ""
 
             def leave(before: str = before) -> None:
                 writers[-1].block(1)
