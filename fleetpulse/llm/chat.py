@@ -5,11 +5,14 @@ conversations are prefixes of a longer one.  Every turn gets a rolling hash of
 its conversation up to there: the sum of a hash of (position, role, text).  A
 conversation whose whole hash equals the hash of a proper prefix of another one
 is dropped by an anti join; of equal conversations the least conv_id stays.
-The turns of those that are left are rendered in the chat format.
+Only then are texts met again: the turns of those that are left are rendered in
+the chat format.  Until there a turn travels as its hashes.
 
-A conversation may hold a third of all turns: its turns are numbered and summed
-in blocks, and block totals are carried over, so no conversation is gathered.
-Hashes are 128 bits wide, in four sums of 32-bit parts that cannot overflow.
+A conversation may hold a third of all turns: its turns are numbered over sorted
+ranges, summed in blocks of ``BLOCK_TURNS`` of them, and block totals are carried
+over, so no conversation is gathered, whatever its turn numbers are.  A text that
+many turns share is one row when it is looked up.  Hashes are 128 bits wide, the
+rolling ones in four sums of 32-bit parts that cannot overflow.
 
 Defined cases: turns go by number, nulls first, then by role and text hash; a
 null role is ``unknown`` and a null text empty; repeated rows are repeated
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .turns import with_position
 
 BLOCK_TURNS = 256
 PARTS = ("s1", "s2", "s3", "s4")
@@ -37,71 +41,48 @@ def _halves(x: Column) -> list[Column]:
     return [x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32)]
 
 
-def _same(a: DataFrame, b: DataFrame, left: str, right: str, *names: str) -> Column:
-    """Null-safe equality of the columns ``names``."""
-    where = None
-    for name in names:
-        one = F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
-        where = one if where is None else where & one
-    return where
+def _said() -> dict[str, Column]:
+    """Two hashes and the rendered text of a turn."""
+    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    return {"a": F.xxhash64(role, text), "b": F.xxhash64(text, F.lit(BLOCK_TURNS), role), "rendered": rendered(role, text)}
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, position (from 1), n_turns, rolling hash ``PARTS`` and rendered text of every turn."""
-    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
-    base = turns.select(
-        "conv_id",
-        "turn",
-        F.floor(F.col("turn") / BLOCK_TURNS).alias("block"),
-        F.xxhash64(role, text).alias("a"),
-        F.xxhash64(text, F.lit(BLOCK_TURNS), role).alias("b"),
-        rendered(role, text).alias("rendered"),
-    )
-    per_conv = Window.partitionBy("conv_id")
-    earlier = per_conv.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = base.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    sizes = sizes.select(
-        "conv_id",
-        "block",
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"),
-        F.sum("n").over(per_conv).alias("n_turns"),
-    )
-    in_block = Window.partitionBy("conv_id", "block").orderBy("turn", "a", "b")
-    numbered = base.withColumn("in_block", F.row_number().over(in_block)).alias("x")
-    placed = numbered.join(sizes.alias("y"), _same(numbered, sizes, "x", "y", "conv_id", "block")).select(
-        "x.*", (F.col("offset") + F.col("in_block")).alias("position"), "n_turns"
-    )
+    """key (a struct of conv_id, in which null equals null), position (from 1), n_turns, hashes a and b,
+    and the rolling hash ``PARTS`` of every turn."""
+    said = _said()
+    light = turns.select("conv_id", "turn", said["a"].alias("a"), said["b"].alias("b"))
+    at = with_position(light, "conv_id", [F.col("turn"), F.col("a"), F.col("b")])
     terms = _halves(F.xxhash64("position", "a", "b")) + _halves(F.xxhash64("b", F.lit(BLOCK_TURNS), "position", "a"))
-    running = Window.partitionBy("conv_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumns({p: F.sum(t).over(running) for p, t in zip(PARTS, terms)})
-    summed = written(
-        summed.select("conv_id", "block", "position", "n_turns", "rendered", *PARTS), "chat-prefixes"
-    )
-    ends = summed.groupBy("conv_id", "block").agg(*(F.max_by(p, "position").alias(p) for p in PARTS))
+    block = F.struct("conv_id", F.floor((F.col("position") - 1) / BLOCK_TURNS).alias("n")).alias("block")
+    in_block = Window.partitionBy("block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    placed = at.select(block, "position", "a", "b").repartition("block")
+    summed = placed.select("*", *(F.sum(t).over(in_block).alias(p) for p, t in zip(PARTS, terms)))
+    # The last sum of a block is its total; blocks of a conversation are one row for each ``BLOCK_TURNS`` turns.
+    ends = placed.groupBy("block").agg(F.count("*").alias("n"), *(F.sum(t).alias(p) for p, t in zip(PARTS, terms)))
+    whole = Window.partitionBy("block.conv_id")
+    earlier = whole.orderBy("block.n").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        "conv_id", "block", *(F.coalesce(F.sum(p).over(earlier), F.lit(0)).alias(f"{p}_before") for p in PARTS)
+        "block",
+        F.sum("n").over(whole).alias("n_turns"),
+        *(F.coalesce(F.sum(p).over(earlier), F.lit(0)).alias(f"{p}_before") for p in PARTS),
     )
-    summed = summed.alias("x")
-    return summed.join(carried.alias("y"), _same(summed, carried, "x", "y", "conv_id", "block")).select(
-        "x.conv_id",
-        "position",
-        "n_turns",
-        "rendered",
-        *((F.col(p) + F.col(f"{p}_before")).alias(p) for p in PARTS),
+    return summed.join(carried, "block").select(
+        F.struct("block.conv_id").alias("key"), "position", "n_turns", "a", "b", *((F.col(p) + F.col(f"{p}_before")).alias(p) for p in PARTS)
     )
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """Rendered turns of the conversations that are no prefix of another one."""
     every = written(prefixes(turns), "chat-turns")
-    whole = every.where("position = n_turns").groupBy("position", *PARTS).agg(F.min("conv_id").alias("conv_id"))
+    whole = every.where("position = n_turns").groupBy("position", *PARTS).agg(F.min("key.conv_id").alias("conv_id"))
     # A first turn that a third of the conversations share is one row after the combine.
     inner = every.where("position < n_turns").groupBy("position", *PARTS).agg(F.lit(1).alias("seen"))
-    kept = whole.join(inner, ["position", *PARTS], "left_anti").select("conv_id")
-    t, k = every.alias("t"), kept.alias("k")
-    return t.join(k, F.col("t.conv_id").eqNullSafe(F.col("k.conv_id")), "left_semi").select(
-        "conv_id", "position", "n_turns", "rendered"
-    )
+    kept = whole.join(inner, ["position", *PARTS], "left_anti").select(F.struct("conv_id").alias("key"))
+    left = every.join(kept, "key", "left_semi").select("key", "position", "n_turns", "a", "b")
+    said = _said()
+    texts = turns.select(*(c.alias(n) for n, c in said.items())).groupBy("a", "b").agg(F.first("rendered").alias("rendered"))
+    return left.join(texts, ["a", "b"]).select("key.conv_id", "position", "n_turns", "rendered")
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,6 +312,19 @@ def test_chat_edge_cases(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_chat_of_a_hot_conversation_without_numbers(spark):
+    """Most turns are of one conversation and have no number, or all the same one; each stays, in one order."""
+    rows = [(1, None, "user", f"turn {k}") for k in range(3000)] + [(2, 7, "user", f"turn {k}") for k in range(900)]
+    rows += [(3, 0, "user", "same")] * 700 + [(4, 0, "user", "same")] * 699 + [(5, 0, "user", "x")]
+    found = [by_rows(chat.maximal_conversations(spark.createDataFrame(x, CONVERSATIONS).repartition(n))) for x, n in ((rows, 3), (rows[::-1], 5))]
+    assert found[0] == found[1]
+    turns = defaultdict(list)
+    for conv, position, n, text in sorted(found[0], key=lambda r: (r[0], r[1])):
+        turns[conv].append(text)
+        assert position == len(turns[conv]) and n == {1: 3000, 2: 900, 3: 700, 5: 1}[conv]
+    assert {c: len(t) for c, t in turns.items()} == {1: 3000, 2: 900, 3: 700, 5: 1} and len(set(turns[1])) == 3000
+
+
 def test_chat_sql_on_planted_snapshots(spark):
     rows = [(1, 0, "u", "a"), (2, 0, "u", "a"), (2, 1, "s", "b"), (3, 0, "u", "c"), (4, 0, "u", "c"), (5, 0, "u", "a"), (5, 1, "s", "d")]
     con = duckdb.connect()
