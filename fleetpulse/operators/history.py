@@ -15,11 +15,10 @@ from fleetpulse.sources.commits import CommittedTable
 
 
 def analyzable_executions(executions: DataFrame) -> DataFrame:
-    """Completed, analysed executions that have a plan."""
+    """Completed, analysed executions that have a plan; a log without plan texts tells by its keys."""
+    plan = "execution_plan" if "execution_plan" in executions.columns else "plan_key"
     return executions.filter(
-        (F.col("status") == "completed")
-        & F.col("execution_type").isin("analyze", "both")
-        & F.col("execution_plan").isNotNull()
+        (F.col("status") == "completed") & F.col("execution_type").isin("analyze", "both") & F.col(plan).isNotNull()
     )
 
 
@@ -27,8 +26,13 @@ def _filled(value: Column) -> Column:
     return F.coalesce(strip(value) != "", F.lit(False))
 
 
-def has_plan_data() -> Column:
-    """A plan text that is not empty; an empty JSON list or object holds no plan."""
+def has_plan_data(executions: DataFrame) -> Column:
+    """A plan text that is not empty; an empty JSON list or object holds no plan.
+
+    A log without plan texts tells by the state of its plans.
+    """
+    if "execution_plan" not in executions.columns:
+        return F.col("plan_state").isin("ok", "malformed", "too_deep", "unread")
     return _filled(F.col("execution_plan")) & ~strip(F.col("execution_plan")).isin("[]", "{}", "null")
 
 
@@ -45,7 +49,7 @@ def execution_flags(executions: DataFrame) -> DataFrame:
         kind.isin("execute", "both").alias("includes_execution"),
         kind.isin("analyze", "both").alias("includes_analysis"),
         (F.col("planning_time_ms").isNotNull() | F.col("execution_time_ms").isNotNull()).alias("has_timing_data"),
-        has_plan_data().alias("has_plan_data"),
+        has_plan_data(executions).alias("has_plan_data"),
         F.col("result_rows_count").isNotNull().alias("has_result_data"),
     )
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from fleetpulse.operators import history
 from fleetpulse.plans import compare, metrics, scores, store, tree
 
 
@@ -216,6 +217,20 @@ def test_stored_nodes_equal_parsed_ones(spark, tmp_path):
         assert [tuple(r) for r in got] == [tuple(r) for r in want]
 
 
+def test_a_log_without_plan_texts_tells_who_has_a_plan(spark, tmp_path):
+    texts = [json.dumps({"Plan": PLAN}), None, "", "[]", "null", '[{"Plan": {']
+    rows = log(spark, *texts).selectExpr(
+        "*", "'completed' AS status", "'both' AS execution_type", "'' AS error_message", "NULL AS result_rows_count",
+        "1.0 AS planning_time_ms", "1.0 AS execution_time_ms",
+    )
+    plans = store.PlanStore(spark, str(tmp_path / "plans"))
+    plans.add(rows)
+    stored = plans.with_nodes(store.keyed(rows), ("node_type",))
+    flags = [[r.has_plan_data for r in history.execution_flags(x).orderBy("exec_id").collect()] for x in (rows, stored)]
+    assert flags[0] == flags[1] == [True, False, False, False, False, True]
+    assert history.analyzable_executions(store.keyed(rows)).count() == 4
+
+
 def test_a_plan_is_parsed_once_and_new_ones_are_added(spark, tmp_path):
     node = {"Node Type": "Limit", "Actual Rows": 3}
     first, second = {**node, "Plan Rows": 1}, {**node, "Plan Rows": 2}
