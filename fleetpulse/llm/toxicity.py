@@ -89,6 +89,7 @@ class ExampleIndex:
 
     vocabulary: dict[str, int]  # telling terms, then all other words of the examples
     telling: int
+    beginnings: frozenset[str]  # of the telling beginnings of words
     idf: np.ndarray  # weights of the terms, and last of the number of other words
     unseen: float  # weight of a word that no example has
     labels: np.ndarray | None = None  # of the indexed examples
@@ -126,12 +127,19 @@ class ExampleIndex:
         new = sum(((1 + math.log(n)) * self.unseen) ** 2 for n in unseen.values())
         return terms, weights / math.sqrt(float((weights**2).sum()) + new) if len(terms) else weights
 
-    def _parts(self, token: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
+    def _parts(self, token: str) -> tuple[list[int], list[str]]:
         """Terms of a token, and those of its words that no example has; kept for the next time."""
-        words = _WORDS.findall(token)
-        ends = [x for w in words for x in (w, *("^" + w[:k] for k in PREFIXES if len(w) > k))]
-        ids = tuple(self.vocabulary[x] for x in ends if x in self.vocabulary)
-        parts = ids, tuple(w for w in words if w not in self.vocabulary)
+        ids, new = [], []
+        for w in (token,) if token.isalpha() else _WORDS.findall(token):
+            known = self.vocabulary.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                ids.append(known)
+            if w[: PREFIXES[0]] in self.beginnings:  # few words begin like a telling term
+                ends = ("^" + w[:k] for k in PREFIXES if len(w) > k)
+                ids += [self.vocabulary[x] for x in ends if x in self.vocabulary]
+        parts = ids, new
         if len(self.token_terms) >= _CACHE:
             self.token_terms.clear()
         self.token_terms[token] = parts
@@ -293,7 +301,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> ExampleInd
             n_docs.append(count)
     idf = np.log((n + 1) / (np.array(n_docs, np.float64) + 1)) + 1
     idf[len(found) :] *= COMMON
-    index = ExampleIndex(vocabulary, len(found), np.append(idf, OTHERS_IDF), COMMON * (math.log(n + 1) + 1))
+    beginnings = frozenset(x[1 : 1 + PREFIXES[0]] for x in vocabulary if x.startswith("^"))
+    index = ExampleIndex(vocabulary, len(found), beginnings, np.append(idf, OTHERS_IDF), COMMON * (math.log(n + 1) + 1))
     shared = _by_value(docs.sparkSession, index)
 
     def row(text: str) -> tuple:
