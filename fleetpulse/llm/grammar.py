@@ -42,7 +42,7 @@ from .common import per_process, table, text_column
 from .turns import JoinedDigest, runs, with_position
 
 #: Turns of a block; blocks that are put together at once.
-BLOCK = 64
+BLOCK = 16
 LEVEL = 64
 #: Alignments that a Python process keeps; short conversations are often alike.
 KEPT = 1 << 15
