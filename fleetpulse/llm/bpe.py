@@ -31,7 +31,7 @@ from .common import per_process, table, text_column
 
 ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Entries kept in the caches of a process, about 200 bytes each: parts of texts, words, pairs of tokens.
-CHUNKS, WORDS, PAIRS = 300_000, 400_000, 200_000
+CHUNKS, WORDS, PAIRS = 200_000, 250_000, 150_000
 #: Longer pieces are not cached.
 CACHED_LENGTH = 64
 
@@ -127,8 +127,7 @@ class WordBpe:
         # Python, the regex module and the tokenizers library know different versions of Unicode. The rare
         # parts with a character that is new to Python are normalized and split as the library does it.
         self.young = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in young_ranges()) + "]")
-        library = Tokenizer.from_file(path)
-        self.normalized, self.pieces = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.path, self.library = path, None
 
     @staticmethod
     def _border(token: int, made: dict, side: int) -> list[tuple[int, float]]:
@@ -200,8 +199,10 @@ class WordBpe:
                 out.append(_packed([self.special[part]]))
             elif part:
                 if not chunk.isascii() and self.young.search(part):
-                    part = self.normalized(part)
-                    out += [self._word(part[a:b]) for _, (a, b) in self.pieces(part)]
+                    if self.library is None:  # loaded where it is needed, for its memory
+                        self.library = Tokenizer.from_file(self.path)
+                    part = self.library.normalizer.normalize_str(part)
+                    out += [self._word(part[a:b]) for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part)]
                     continue
                 # Case is lowered character by character, so a final sigma is no exception.
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
