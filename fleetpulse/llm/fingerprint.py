@@ -163,28 +163,31 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     The order by doc_id is cut into buckets at quantiles of the ids.  Each bucket
     also gets the first document of the next one as a guest, so every document
     meets its successor with one shuffle of the texts, which travel compressed.
+    Buckets are found from the ids alone, so only texts without an id are read before.
     """
     spark = docs.sparkSession
-    rows = docs.select(
-        "doc_id",
-        F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))).alias("tie"),
-        "text",
-    )
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # At most n cuts and n first documents reach the driver, whatever the table holds.
-    cuts = np.array(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n), np.float64)
+    tie = F.md5(F.coalesce("text", F.lit("")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Small buckets spread evenly; at most so many cuts and first documents reach the driver, whatever the table holds.
+    n_buckets = 4 * n
+    quantiles = [k / n_buckets for k in range(1, n_buckets)]
+    cuts = np.array(docs.approxQuantile("doc_id", quantiles, 0.25 / n_buckets), np.float64)
 
     def place(ids: pa.Array) -> pa.Array:
         """0 for the greatest ids; null ids come last."""
         known = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
-        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), n + 1, len(cuts) - known), pa.int32())
-
-    placed = rows.withColumn("bucket", F.arrow_udf(place, "int")(F.col("doc_id")))
-    firsts = (
-        placed.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"), F.min("tie").alias("tie")).orderBy("bucket").collect()
-    )
+        last = n_buckets + 1
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), last, len(cuts) - known), pa.int32())
+
+    bucket = F.arrow_udf(place, "int")(F.col("doc_id"))
+    rows = docs.select("doc_id", "text").withColumn("bucket", bucket)
+    known = docs.select("doc_id").where("doc_id IS NOT NULL").withColumn("bucket", bucket)
+    firsts = [(r[0], r[1], None) for r in known.groupBy("bucket").agg(F.max("doc_id")).orderBy("bucket").collect()]
+    nameless = docs.where("doc_id IS NULL").agg(F.min(tie)).first()[0]
+    if nameless is not None:
+        firsts.append((n_buckets + 1, None, nameless))
     # bucket of the guest's host, by the guest
-    hosts = {(f["doc_id"], f["tie"]): firsts[k - 1]["bucket"] for k, f in enumerate(firsts)}
+    hosts = {(doc_id, tie_of): firsts[k - 1][0] for k, (_, doc_id, tie_of) in enumerate(firsts)}
 
     def host(ids: pa.Array, ties: pa.Array) -> pa.Array:
         return pa.array([hosts.get(x) for x in zip(ids.to_pylist(), ties.to_pylist())], pa.int32())
@@ -193,9 +196,9 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
         F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(True).alias("guest"))
     )
     seated = (
-        placed.withColumn("host", F.arrow_udf(host, "int")(F.col("doc_id"), F.col("tie")))
+        rows.withColumn("host", F.arrow_udf(host, "int")(F.col("doc_id"), F.when(F.col("doc_id").isNull(), tie)))
         .withColumn("packed", F.arrow_udf(_squeezed, "binary")(F.col("text")))
-        .select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("tie"), "packed", F.explode(seats).alias("seat"))
+        .select("doc_id", tie.alias("tie"), "packed", F.explode(seats).alias("seat"))
         .where("seat.bucket IS NOT NULL")
         .select("seat.bucket", "seat.guest", "doc_id", "tie", "packed")
     )

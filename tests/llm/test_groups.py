@@ -264,6 +264,23 @@ def test_likeness_estimates_the_share_in_common():
         assert abs(got - same / 400) < 0.35 * (1 - same / 400) + 1e-9
 
 
+def test_fingerprints_read_texts_once(spark):
+    """Buckets come from ids; only the texts of rows without an id are read before the shuffle, which keeps its width."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        read.add(1)
+        return f"text {i}"
+
+    docs = spark.range(400).select(F.when(F.col("id") >= 10, F.col("id")).alias("doc_id"), text("id").alias("text"))
+    found = fingerprint.document_fingerprints(docs)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read.value = 0
+    assert fingerprint.document_fingerprints(docs).count() == 400
+    assert read.value == 410
+
+
 def test_fingerprints_empty_table(no_documents):
     assert fingerprint.document_fingerprints(no_documents).count() == 0
 
