@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 from uuid import uuid4
 
 import numpy as np
@@ -62,7 +63,7 @@ FOLDS = 5
 SCORED = "score double, predicted int, n_terms int, evidence string"
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE = 100_000
+_ANSWERS = 10_000
 
 
 def terms_of(token: str) -> set[str]:
@@ -77,6 +78,14 @@ def _tokens(text: str) -> Counter[str]:
     return Counter(text.lower().split())
 
 
+def _words(text: str) -> Counter[str]:
+    """How often each word stands in a text: those of its tokens, most of which are words already."""
+    counts = Counter(text.lower().split())
+    mixed = [(t, counts.pop(t)) for t in [t for t in counts if not t.isalpha()]]
+    counts.update(_WORDS.findall(" ".join([t for t, n in mixed for _ in range(n)])))
+    return counts
+
+
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All numbers of all the ranges, in order."""
     n = ends - starts
@@ -90,6 +99,7 @@ class ExampleIndex:
     vocabulary: dict[str, int]  # telling terms, then all other words of the examples
     telling: int
     beginnings: frozenset[str]  # of the telling beginnings of words
+    rooted: np.ndarray  # [term]: whether it is a word that begins like one of them
     idf: np.ndarray  # weights of the terms, and last of the number of other words
     unseen: float  # weight of a word that no example has
     labels: np.ndarray | None = None  # of the indexed examples
@@ -106,44 +116,38 @@ class ExampleIndex:
     dense_max: np.ndarray | None = None  # [row, block]: largest weight
     blank_share: float = 0.0
     share: float = 0.0
-    token_terms: dict = field(default_factory=dict)
     answers: dict = field(default_factory=dict)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sorted terms of a text and their weights; with the words that no example has, of length one."""
-        known, ids, times, unseen = self.token_terms, [], [], {}
-        for token, n in _tokens(text).items():
-            own, new = known.get(token) or self._parts(token)
-            ids += own
-            times += [n] * len(own)
-            for w in new:
-                unseen[w] = unseen.get(w, 0) + n
-        terms, at = np.unique(np.array(ids, np.int64), return_inverse=True)
-        counts = np.bincount(at, np.array(times, np.float64), minlength=len(terms)) if ids else np.zeros(0)
-        if ids and terms[0] < self.telling:
-            others = counts[terms >= self.telling].sum() + sum(unseen.values())
+        found = _words(text)
+        ids = np.fromiter(map(self.vocabulary.get, found, repeat(-1)), np.int64, len(found))
+        times = np.fromiter(found.values(), np.float64, len(found))
+        known = ids >= 0
+        unseen, terms, counts = times[~known], ids[known], times[known]
+        more = self._beginnings(list(found), np.flatnonzero(~known | self.rooted[ids]).tolist())
+        if more:
+            of, beginning = zip(*more)
+            terms, at = np.unique(np.append(terms, beginning), return_inverse=True)
+            counts = np.bincount(at, np.append(counts, times[list(of)]), minlength=len(terms))
+        else:  # words differ, so do their terms
+            order = np.argsort(terms)
+            terms, counts = terms[order], counts[order]
+        if len(terms) and terms[0] < self.telling:
+            others = counts[terms >= self.telling].sum() + unseen.sum()
             terms, counts = np.append(terms, len(self.vocabulary)), np.append(counts, max(1.0, others))
         weights = (1 + np.log(counts)) * self.idf[terms]
-        new = sum(((1 + math.log(n)) * self.unseen) ** 2 for n in unseen.values())
-        return terms, weights / math.sqrt(float((weights**2).sum()) + new) if len(terms) else weights
-
-    def _parts(self, token: str) -> tuple[list[int], list[str]]:
-        """Terms of a token, and those of its words that no example has; kept for the next time."""
-        ids, new = [], []
-        for w in (token,) if token.isalpha() else _WORDS.findall(token):
-            known = self.vocabulary.get(w)
-            if known is None:
-                new.append(w)
-            else:
-                ids.append(known)
-            if w[: PREFIXES[0]] in self.beginnings:  # few words begin like a telling term
-                ends = ("^" + w[:k] for k in PREFIXES if len(w) > k)
-                ids += [self.vocabulary[x] for x in ends if x in self.vocabulary]
-        parts = ids, new
-        if len(self.token_terms) >= _CACHE:
-            self.token_terms.clear()
-        self.token_terms[token] = parts
-        return parts
+        new = (((1 + np.log(unseen)) * self.unseen) ** 2).sum()
+        return terms, weights / math.sqrt(float((weights**2).sum() + new)) if len(terms) else weights
+
+    def _beginnings(self, words: list[str], asked: list[int]) -> list[tuple[int, int]]:
+        """The telling beginnings of the asked words: number of the word, and term."""
+        out = []
+        for k in asked:
+            if (w := words[k])[: PREFIXES[0]] in self.beginnings:  # few words begin like a telling term
+                ends = ("^" + w[:n] for n in PREFIXES if len(w) > n)
+                out += [(k, self.vocabulary[x]) for x in ends if x in self.vocabulary]
+        return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """Exact k best (cosine, example), best first; examples without a common term are none."""
@@ -200,7 +204,7 @@ class ExampleIndex:
             return self.blank_share, int(self.blank_share >= 0.5), 0, ""
         key = hashlib.blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest()
         if key not in self.answers:
-            if len(self.answers) >= _CACHE // 10:
+            if len(self.answers) >= _ANSWERS:
                 self.answers.clear()
             best = self.nearest(terms, weights)
             votes = [(1 / (NEAR + 1 - s), self.labels[i]) for s, i in best]
@@ -302,7 +306,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = EXAMPLES) -> ExampleInd
     idf = np.log((n + 1) / (np.array(n_docs, np.float64) + 1)) + 1
     idf[len(found) :] *= COMMON
     beginnings = frozenset(x[1 : 1 + PREFIXES[0]] for x in vocabulary if x.startswith("^"))
-    index = ExampleIndex(vocabulary, len(found), beginnings, np.append(idf, OTHERS_IDF), COMMON * (math.log(n + 1) + 1))
+    rooted = np.array([*(w[: PREFIXES[0]] in beginnings for w in vocabulary), False])
+    unseen = COMMON * (math.log(n + 1) + 1)
+    index = ExampleIndex(vocabulary, len(found), beginnings, rooted, np.append(idf, OTHERS_IDF), unseen)
     shared = _by_value(docs.sparkSession, index)
 
     def row(text: str) -> tuple:

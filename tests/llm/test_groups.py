@@ -374,6 +374,40 @@ def test_nearest_examples_are_exact(spark, sf_dir):
     assert asked > 100
 
 
+def test_vectors_in_plain_python(spark, sf_dir, monkeypatch):
+    """Terms and weights of every text, and that a text's words are searched once, not token by token."""
+    small = sf_dir.replace("sf0.001", "sf0.01")
+    docs = table(spark, small, "documents")
+    index = toxicity.fit(docs, table(spark, small, "labels"))
+    words, searched = toxicity._WORDS, []
+
+    class Counted:
+        def findall(self, text):
+            searched.append(text)
+            return words.findall(text)
+
+    monkeypatch.setattr(toxicity, "_WORDS", Counted())
+    texts = [t for _, t in rows_of(docs)]
+    texts += ["", "12 _ 34", "half½word a1b2 ﬁne ünï", " ".join(f"{w}, {w}! {w}" for w in texts[0].split()), texts[1].upper() * 3]
+    for text in texts:
+        counts = Counter(words.findall(text.lower()))
+        want = Counter()
+        for w, n in counts.items():
+            for term in (w, *("^" + w[:k] for k in toxicity.PREFIXES if len(w) > k)):
+                if term in index.vocabulary:
+                    want[index.vocabulary[term]] += n
+        if want and min(want) < index.telling:
+            others = sum(n for t, n in want.items() if t >= index.telling)
+            want[len(index.vocabulary)] = max(1, others + sum(n for w, n in counts.items() if w not in index.vocabulary))
+        weights = [(1 + math.log(want[t])) * index.idf[t] for t in sorted(want)]
+        new = [(1 + math.log(n)) * index.unseen for w, n in counts.items() if w not in index.vocabulary]
+        size = math.sqrt(sum(x * x for x in [*weights, *new]))
+        terms, got = index.vector(text)
+        assert terms.tolist() == sorted(want)
+        assert np.allclose(got, [x / size for x in weights], rtol=1e-12, atol=0)
+    assert index.telling and len(searched) == len(texts)
+
+
 def test_held_out_accuracy(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.1")
     labels = table(spark, big, "labels")
